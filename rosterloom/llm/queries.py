@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, shuffle_shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled uniformly into 40 shards whose row counts are at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = shuffle_shards.shard(docs, ["doc_id", "text_crc32", "size"], 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, and of the bytes its ids decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,5 +31,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
+QUERIES = {"op2_shards": op2_shards, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {}
