@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shuffle_shards
+from . import bpe, line_dedup, shuffle_shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,27 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that over a tenth of its source's documents share."""
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.drop_lines(docs, F.col("source"))
+    return kept.select("doc_id", "source", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+OP7_SQL = """
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+pages AS (SELECT source, count(*) AS all_pages FROM documents GROUP BY source),
+common AS (
+    SELECT source, trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY source, trim(line)
+    HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * (SELECT all_pages FROM pages p WHERE p.source = lines.source)),
+marked AS (SELECT l.*, c.line IS NULL AS stays FROM lines l LEFT JOIN common c ON l.source = c.source AND trim(l.line) = c.line)
+SELECT doc_id, source, cast(count(*) AS integer) AS n_lines, cast(count(*) FILTER (NOT stays) AS integer) AS n_dropped,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_md5
+FROM marked GROUP BY doc_id, source
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, and of the bytes its ids decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,5 +52,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_shards": op2_shards, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
