@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, shuffle_shards
+from . import bpe, line_dedup, mil_quality, shuffle_shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,15 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = mil_quality.train(docs, labels.filter(mil_quality.fold() != 0))
+    scored = mil_quality.score(docs.select("doc_id", "text"), model, keep_text=False)
+    held_out = mil_quality.fold() == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that over a tenth of its source's documents share."""
     docs = table(spark, sf_dir, "documents")
@@ -52,5 +61,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
