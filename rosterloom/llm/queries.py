@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mil_quality, shuffle_shards
+from . import bpe, line_dedup, mil_quality, shuffle_shards, simhash
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id it reaches over near fingerprints."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that over a tenth of its source's documents share."""
     docs = table(spark, sf_dir, "documents")
@@ -61,5 +67,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
+QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
