@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mil_quality, shuffle_shards, simhash
+from . import audio, bpe, line_dedup, mil_quality, shuffle_shards, simhash
 from .common import table
 
+#: The last bytes of a stored text that op9 gives a checksum of.
+TAIL = 16
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -67,5 +69,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as 8-bit sound, read back and described."""
+    stored = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    seen = audio.describe(stored.select("doc_id", "n_bytes", "media"))
+    feature = F.concat(F.lit("frames="), "n_frames", F.lit(";segments="), F.size("segments"), F.lit(";tensors="), F.sha2("tensors", 256))
+    return seen.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -TAIL, TAIL)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
+QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
