@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, line_dedup, mil_quality, shuffle_shards, simhash
+from . import audio, bpe, decontaminate, language_id, line_dedup, mil_quality, shuffle_shards, simhash
 from .common import table
 
 #: The last bytes of a stored text that op9 gives a checksum of.
@@ -22,6 +22,13 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) within the item's error budget, at its best place."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_hits(docs, items, keep_text=False)
+    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.edits", "h.start", "h.end")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from the labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -31,6 +38,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the texts outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(mil_quality.fold() != 0))
+    labelled = language_id.label(docs.select("doc_id", "text"), model, keep_text=False)
+    held_out = mil_quality.fold() == 0
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and the smallest id it reaches over near fingerprints."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -81,5 +97,5 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_shards": op2_shards, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio}
+QUERIES = {"op2_shards": op2_shards, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
