@@ -60,7 +60,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", keep_text: bool = True) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", keep_text: bool = True, shingle: int = SHINGLE) -> DataFrame:
     """``df`` with ``out`` (bigint, the 64 bits as a signed number)."""
     kept = without(df, out).withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     kept = kept if keep_text else without(kept, text)
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", ke
 
     def run(batches):
         for batch in batches:
-            marks = np.array([fingerprint(t) for t in batch.column("__t").to_pylist()], np.uint64).view(np.int64)
+            marks = np.array([fingerprint(t, shingle) for t in batch.column("__t").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(marks, pa.int64())], names=[*names, out])
 
     return kept.mapInArrow(run, T.StructType([*[kept.schema[c] for c in names], T.StructField(out, T.LongType())]))
@@ -167,9 +167,9 @@ def components(edges: DataFrame, labels: DataFrame, rounds: int = 60) -> DataFra
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(key, fingerprint bigint, component_id): one row for each row of ``df``."""
-    marks = cut(fingerprints(df.select(key, text), text, keep_text=False))
+    marks = cut(fingerprints(df.select(key, text), text, keep_text=False, shingle=shingle))
     first = marks.filter(F.col(key).isNotNull()).groupBy(F.col("fingerprint").alias("node")).agg(F.min(key).alias("label"))
     known = cut(first)
     edges = cut(links(known, "node", radius))
