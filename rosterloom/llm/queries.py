@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, language_id, line_dedup, mil_quality, shuffle_shards, simhash
+from . import audio, bpe, decontaminate, language_id, line_dedup, mil_quality, shuffle_shards, simhash, suffix_dedup
 from .common import table
 
 #: The last bytes of a stored text that op9 gives a checksum of.
@@ -97,5 +97,11 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the bytes that lie in a 400-byte string found elsewhere too."""
+    cut = suffix_dedup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_shards": op2_shards, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
