@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, language_id, line_dedup, mil_quality, shuffle_shards, simhash, suffix_dedup
+from . import audio, bpe, chat, decontaminate, language_id, line_dedup, mil_quality, shuffle_shards, simhash, suffix_dedup
 from .common import table
 
 #: The last bytes of a stored text that op9 gives a checksum of.
@@ -14,6 +14,11 @@ TAIL = 16
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired to legal turns at the least cost, rendered piece by piece."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled uniformly into 40 shards whose row counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
@@ -103,5 +108,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_chat": op1_chat, "op2_shards": op2_shards, "op3_decontaminate": op3_decontaminate, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_audio": op9_audio, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
