@@ -1,4 +1,4 @@
 """All registered queries on the driver's tables, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import firm_queries  # noqa: F401
+from .plans.base import ORACLE_SQL, QUERIES  # noqa: F401
