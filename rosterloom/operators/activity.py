@@ -74,7 +74,7 @@ def health(sends: DataFrame, bounces: DataFrame, rep: str, domain: str, least: i
 def too_soon(df: DataFrame, key: str, stamp: str, tie: str, seconds: int) -> DataFrame:
     """A flag: whether the event before it on the key was less than ``seconds`` ago."""
     before = F.lag(stamp).over(Window.partitionBy(key).orderBy(stamp, tie))
-    gap = F.unix_seconds(F.col(stamp)) - F.unix_seconds(before)
+    gap = F.unix_seconds(F.col(stamp).cast("timestamp")) - F.unix_seconds(before.cast("timestamp"))
     return df.withColumn("too_soon", F.coalesce(gap < seconds, F.lit(False)))
 
 

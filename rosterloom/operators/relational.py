@@ -108,7 +108,7 @@ def runner_up(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
 
 
 def rolling_sum(df: DataFrame, key: str, stamp: str, value: str, seconds: int) -> Column:
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(stamp))).rangeBetween(-(seconds - 1), 0)
+    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(stamp).cast("timestamp"))).rangeBetween(-(seconds - 1), 0)
     return F.sum(value).over(w)
 
 
