@@ -205,7 +205,7 @@ def label_texts(texts: list[str], model: Model, penalty: float = PENALTY):
     """For each text: (language position or -1, share, span rows of (start, end, language, text))."""
     w = find_words(texts)
     words = np.bincount(w.text, minlength=len(texts)) if len(w.text) else np.zeros(len(texts), np.int64)
-    if not model.langs:
+    if not model.langs or not len(w.first):
         return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros((0, 4), np.int64)
     path = best_paths(model.word_scores(w), words, penalty)
     n = len(model.langs)
