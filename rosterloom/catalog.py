@@ -1,4 +1,4 @@
 """All registered queries on the driver's tables, with the SQL that checks them."""
 
-from .plans import activity_queries, firm_queries, match_queries, place_queries, text_queries  # noqa: F401
+from .plans import activity_queries, firm_queries, match_queries, place_queries, territory_queries, text_queries  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -30,7 +30,9 @@ NO_RANK = np.int32(2**31 - 1)
 #: Bytes from which a piece is merged alone with a heap: rounds over a matrix would be quadratic.
 LONG_PIECE = 512
 #: Characters worked on at once in a task; a longer text makes a group of its own.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 1_500_000
+#: Ids decoded at once in a task.
+GROUP_IDS = 300_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _kinds: np.ndarray | None = None
 
@@ -360,7 +362,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0).to_pylist()
-            for part in groups(counts, GROUP_CHARS // 2):
+            for part in groups(counts, GROUP_IDS):
                 rows = batch.slice(part.start, part.stop - part.start)
                 v, tokens = vocabulary.value, rows.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(tokens) and (tokens.min() < 0 or tokens.max() >= len(v.lengths) or not v.lengths[tokens].all()):

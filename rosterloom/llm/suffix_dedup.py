@@ -7,10 +7,11 @@ keep the suffix sorting to what can matter, without losing a string:
 2. Every window of ``width`` bytes is given to the k-gram in it that has the smallest hash. Equal
    windows hold equal k-grams, so they have the same owner; a k-gram that owns windows at one place
    only owns no repeated window. The windows of one owner at one place form a fragment.
-3. Fragments of an owner that are equal byte for byte are folded. An owner whose fragments all
-   fold into one needs no sorting. Other owners are dealt to shards, and each shard's fragments
-   are sorted by ``suffix_sort`` (external induced sorting), where suffixes that share ``width``
-   bytes lie side by side.
+3. Fragments of an owner that are equal byte for byte are folded. A window reaches half of its
+   other bytes or more to the left or to the right of its owner, so only fragments that agree with
+   another on such a half can share one. Those are dealt to shards by owner, and each shard's
+   fragments are sorted by ``suffix_sort`` (external induced sorting), where suffixes that share
+   ``width`` bytes lie side by side.
 
 Owners with more than ``HOT`` distinct fragments would make a shard of their own and more; their
 windows are compared by digest instead, counted with map-side folding, so no group has to fit
@@ -59,8 +60,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def owners(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of each owner in order; ``data`` has width bytes or more.
+def owners(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window, place) of each owner in order; ``data`` has width bytes or more.
 
     The order of k-grams is by 40 bits of their hash and then by place, so one pass of least values
     finds both hash and place of the leftmost least k-gram of every window.
@@ -75,7 +76,7 @@ def owners(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         key = np.minimum(key[: len(key) - (span - size)], key[span - size :])
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     at = (key[new] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return h[at].view(np.int64), new, np.append(new[1:], len(key)) - 1
+    return h[at].view(np.int64), new, np.append(new[1:], len(key)) - 1, at
 
 
 def _runs(batches, width: int):
@@ -85,29 +86,34 @@ def _runs(batches, width: int):
         for row, text in enumerate(texts):
             data = np.frombuffer(text, np.uint8)
             for a in range(0, len(data) - width + 1, BLOCK):
-                h, lo, hi = owners(data[a : a + BLOCK + width - 1], width)
+                h, lo, hi, place = owners(data[a : a + BLOCK + width - 1], width)
                 rows.append(np.full(len(h), row))
-                found.append((h, lo + a, hi + a))
+                found.append((h, lo + a, hi + a, place + a))
         if rows:
             take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), ids.take(take), *[pa.array(np.concatenate([f[k] for f in found]).astype(np.int32)) for k in (1, 2)]], names=["h", "tid", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), ids.take(take), *[pa.array(np.concatenate([f[k] for f in found]).astype(np.int32)) for k in (1, 2, 3)]], names=["h", "tid", "lo", "hi", "at"])
 
 
 def _fragments(batches, width: int):
-    """A row for each window run of each text; the bytes come with the first of equal ones."""
+    """A row for each window run of each text: digests of its fragment and of the owner's two sides."""
+    half = (width - GRAM) // 2
+    names = ["h", "mark", "tid", "lo", "hi", "left", "right"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    digest = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
     for batch in batches:
         texts = batch.column("t").cast(pa.binary()).to_pylist()
+        out: list[tuple] = []
         for tid, text, runs in zip(batch.column("tid").to_pylist(), texts, batch.column("runs").to_pylist()):
-            seen: set[tuple[int, bytes]] = set()
-            out: list[tuple] = []
             for r in runs:
-                part = text[r["lo"] : r["hi"] + width]
-                mark = xxhash.xxh3_128_digest(part)
-                out.append((r["h"], mark, tid, r["lo"], r["hi"], None if (r["h"], mark) in seen else part))
-                seen.add((r["h"], mark))
-            for a in range(0, len(out), 20_000):
-                cols = list(zip(*out[a : a + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "mark", "tid", "lo", "hi", "part"])
+                lo, hi, at = r["lo"], r["hi"], r["at"]
+                left = digest(text[at - half : at + GRAM]) if at - half >= lo else None
+                right = digest(text[at : at + GRAM + half]) if at + GRAM + half <= hi + width else None
+                out.append((r["h"], xxhash.xxh3_128_digest(text[lo : hi + width]), tid, lo, hi, left, right))
+            if len(out) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 def _flag_runs(flags: np.ndarray) -> list[dict]:
@@ -166,16 +172,31 @@ def _written(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
-def _verdicts(parts: DataFrame, width: int) -> DataFrame:
+def _forget(spark, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _open_parts(parts: DataFrame) -> DataFrame:
+    """The distinct fragments that agree with another of their owner on a side, some of them single."""
+    sides = parts.select("h", "mark", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("m")), F.struct(F.lit(1).alias("side"), F.col("right").alias("m")))).alias("s"))
+    sides = sides.select("h", "mark", "n", "s.side", "s.m").filter("m is not null")
+    again = sides.groupBy("h", "side", "m").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    open_ = sides.join(again.select("h", "side", "m"), ["h", "side", "m"]).select("h", "mark").distinct()
+    kinds = open_.groupBy("h").agg(F.count("*").alias("kinds"))
+    return parts.join(open_, ["h", "mark"]).join(kinds, "h").select("h", "mark", "n", "tid", "lo", "hi", "kinds")
+
+
+def _verdicts(parts: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(h, mark, spans): the repeated windows of fragments, null spans meaning all of them."""
-    owners_ = parts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    mixed = owners_.filter((F.col("kinds") > 1) & (F.col("least") == 1)).select(F.col("h").alias("owner"), "kinds")
-    open_ = parts.join(mixed, F.col("h") == F.col("owner")).select("h", "mark", "n", "part", "kinds")
-    size = open_.filter(F.col("kinds") <= HOT).agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    open_ = cut(_open_parts(parts))
+    size = open_.filter(F.col("kinds") <= HOT).agg(F.sum(F.col("hi") - F.col("lo") + width)).first()[0] or 0
     shards = max(12, math.ceil(size / SHARD_BYTES))
-    dealt = open_.filter(F.col("kinds") <= HOT).select("h", "mark", "n", "part", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    body = F.substring(F.col("t").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + width)
+    cut_out = texts.select("tid", "t").join(open_, "tid").select("h", "mark", "n", "kinds", body.alias("part"))
+    dealt = cut_out.filter(F.col("kinds") <= HOT).select("h", "mark", "n", "part", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
     found = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _sort_shard(t, width), "h bigint, mark binary, spans array<struct<a:int,b:int>>")
-    windows = open_.filter(F.col("kinds") > HOT).select("h", "mark", "n", "part").mapInArrow(lambda b: _window_marks(b, width), "w binary, h bigint, mark binary, n bigint, at int")
+    windows = cut_out.filter(F.col("kinds") > HOT).select("h", "mark", "n", "part").mapInArrow(lambda b: _window_marks(b, width), "w binary, h bigint, mark binary, n bigint, at int")
     twice = windows.groupBy("w").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("w").alias("again"))
     hot = windows.filter("n = 1").join(twice, F.col("w") == F.col("again")).groupBy("h", "mark").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("spans"))
     whole = parts.filter("n > 1").select("h", "mark", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
@@ -189,15 +210,16 @@ def drop_repeated(df: DataFrame, text: str = "text", width: int = 400, keep_text
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = df.select(F.unhex(F.md5(body)).alias("tid"), body.alias("t"))
     long = texts.filter(F.octet_length("t") >= width)
-    runs = _written(long.mapInArrow(lambda b: _runs(b, width), "h bigint, tid binary, lo int, hi int"), f"{at}/runs").distinct()
-    again = _written(runs, f"{at}/places")
+    again = _written(long.mapInArrow(lambda b: _runs(b, width), "h bigint, tid binary, lo int, hi int, at int").distinct(), f"{at}/places")
     shared = again.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select(F.col("h").alias("owner"))
-    marked = again.join(shared, F.col("h") == F.col("owner")).groupBy("tid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("runs"))
+    marked = again.join(shared, F.col("h") == F.col("owner")).groupBy("tid").agg(F.collect_list(F.struct("h", "lo", "hi", "at")).alias("runs"))
     once = long.groupBy("tid").agg(F.first("t").alias("t"))
     open_ = _written(once.join(marked, "tid"), f"{at}/open")
-    pieces = _written(open_.mapInArrow(lambda b: _fragments(b, width), "h bigint, mark binary, tid binary, lo int, hi int, part binary"), f"{at}/pieces")
-    parts = _written(pieces.groupBy("h", "mark").agg(F.count("*").alias("n"), F.first("part", ignorenulls=True).alias("part")), f"{at}/parts")
-    verdicts = cut(_verdicts(parts, width))
+    _forget(spark, f"{at}/places")  # all that later steps need is in the open texts
+    pieces = _written(open_.mapInArrow(lambda b: _fragments(b, width), "h bigint, mark binary, tid binary, lo int, hi int, left bigint, right bigint"), f"{at}/pieces")
+    first = F.min(F.struct("tid", "lo", "hi", "left", "right")).alias("f")
+    parts = cut(pieces.groupBy("h", "mark").agg(F.count("*").alias("n"), first).select("h", "mark", "n", "f.*"))
+    verdicts = cut(_verdicts(parts, open_, width))
     placed = pieces.select("h", "mark", "tid", "lo", "hi").join(verdicts, ["h", "mark"])
     spans = F.when(F.col("spans").isNull(), F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"]).alias("b"))))
     per_text = placed.groupBy("tid").agg(F.flatten(F.collect_list(spans)).alias("spans"))

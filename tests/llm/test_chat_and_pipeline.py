@@ -62,7 +62,7 @@ def test_chat_edge_rows(spark):
     rows = [(None, 0, "user", "a"), (None, 1, "assistant", None), (1, None, "user", "b"), (1, 5, "user", "x" * 300_000), (1, 5, "user", "c"), (1, 5, "user", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("old"))
     got = chat.format_chats(df).collect()
-    assert len([r for r in got if r.conv_id is None]) == 2 and sorted(r.action for r in got if r.conv_id == 1) == ["insert", "keep", "merge", "merge", "merge"]
+    assert len([r for r in got if r.conv_id is None]) == 2 and sorted(r.action for r in got if r.conv_id == 1) == ["keep", "merge", "merge", "relabel"]
     assert chat.format_chats(df.filter("false")).collect() == []
 
 
