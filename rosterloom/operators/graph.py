@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import first_row
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared checkpoint folder (one is set only where none is)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/rosterloom-{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+from .relational import cut, first_row
 
 
 def strongest_parents(edges: DataFrame) -> DataFrame:
@@ -41,17 +31,24 @@ def parent_groups(walked: DataFrame) -> DataFrame:
     return above.groupBy("parent").agg(F.count_distinct("node").alias("members")).filter("members > 1")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges (a, b)."""
-    both = _cut(edges.select("a", "b").unionAll(edges.select("b", "a")).filter("a is not null and b is not null").distinct())
-    state = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component): the smallest node reachable over undirected edges (a, b).
+
+    Every node points to a node of its group, at first to its least neighbour. In each round a node
+    and the node it points to both take the least grandparent among the node's neighbours, and
+    pointers are shortened, so that long paths fold in a number of rounds like their logarithm.
+    Each round is cut by a checkpoint; no row holds more than one edge.
+    """
+    both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).filter("a is not null and b is not null").distinct())
+    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")))
     for _ in range(rounds):
-        heard = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        jump = state.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = state.join(heard, "node").join(jump, "component", "left")
-        after = _cut(after.select("node", F.least("component", "heard", "further").alias("component"), (F.least("heard", "further") < F.col("component")).alias("moved")))
-        done = after.filter("moved").isEmpty()
-        state = after.select("node", "component")
-        if done:
-            return state
+        known = state.join(state.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
+        heard = both.join(known.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("heard"))
+        seen = cut(known.join(heard, "node").select("node", "up", "top", "heard"))
+        own = seen.select("node", F.least("top", "heard").alias("low"), F.col("up").alias("was"))
+        told = seen.select(F.col("up").alias("node"), F.col("heard").alias("low"), F.lit(None).cast(state.schema["node"].dataType).alias("was"))
+        after = cut(own.unionAll(told).groupBy("node").agg(F.min("low").alias("up"), F.max("was").alias("was")))
+        state = after.select("node", "up")
+        if after.filter("up < was").isEmpty():
+            return state.withColumnRenamed("up", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once and kept in the shared checkpoint folder (one is set only where none is)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/rosterloom-{uuid.uuid4().hex}")
+    return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``name``: the position (bigint from 1) of each row in a total order of all rows.
+
+    Rows are range-partitioned and kept, each range is numbered by itself, and the sizes of the
+    ranges before it (one row a range) are added, so that no task gets more than its range.
+    """
+    laid = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = laid.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = laid.withColumn("__inside", inside).join(F.broadcast(starts), "__range")
+    return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
+
+
 def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in a total order."""
     return top_n(df, keys, 1, *order)
@@ -60,10 +85,18 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def bridge(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs that are unambiguous in both directions."""
-    pairs = left.join(right, on).select(left_id, right_id).distinct()
-    pairs = pairs.withColumn("__l", F.count("*").over(Window.partitionBy(left_id))).withColumn("__r", F.count("*").over(Window.partitionBy(right_id)))
-    return pairs.filter("__l = 1 and __r = 1").drop("__l", "__r")
+    """Pairs that are unambiguous in both directions.
+
+    Each key is folded to the least and greatest id on either side before the join, so a key that
+    many ids share makes one row for each of them and no pairs.
+    """
+
+    def partner(rows: DataFrame, own: str, others: DataFrame, other: str) -> DataFrame:
+        ends = others.groupBy(*on).agg(F.min(other).alias("__low"), F.max(other).alias("__high"))
+        met = rows.join(ends, on).groupBy(own).agg(F.min("__low").alias(other), F.max("__high").alias("__high"))
+        return met.filter(F.col(other) == F.col("__high")).drop("__high")
+
+    return partner(left, left_id, right, right_id).join(partner(right, right_id, left, left_id), [left_id, right_id])
 
 
 def first_route(df: DataFrame, *routes: tuple[str, DataFrame, list[str]], value: str) -> DataFrame:
@@ -94,10 +127,11 @@ def within_miles(points: DataFrame, others: DataFrame, radius: float, lat: str =
 
 def interleave(df: DataFrame, group: str, order: str) -> DataFrame:
     """Round-robin over groups, the largest first; ``position`` from 1."""
-    w = Window.partitionBy(group)
-    out = df.withColumn("__turn", F.row_number().over(w.orderBy(order))).withColumn("__size", F.count("*").over(w))
-    out = out.withColumn("position", F.row_number().over(Window.orderBy("__turn", F.desc("__size"), group)))
-    return out.drop("__turn", "__size")
+    placed = numbered(df, "__at", F.asc(group), F.asc(order))
+    groups = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__size"), F.min("__at").alias("__first"))
+    out = placed.join(groups, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__turn", F.col("__at") - F.col("__first"))
+    out = numbered(out, "position", F.asc("__turn"), F.desc("__size"), F.asc(group))
+    return out.drop("__at", "__g", "__size", "__first", "__turn")
 
 
 def runner_up(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:

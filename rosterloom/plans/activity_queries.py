@@ -67,11 +67,11 @@ def capacity_returns(spark, sf_dir):
     return activity.capacity_returns(e, "user_id", "ts", "event_id", "n", 10, 12).select("user_id", F.unix_micros(F.col("free_at").cast("timestamp")).alias("free_at"))
 
 
-@query("""WITH e AS (SELECT event_id, event_type AS domain FROM events WHERE event_id % 25 = 0),
+@query("""WITH e AS (SELECT event_id, event_type AS domain FROM events),
   r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS turn, count(*) OVER (PARTITION BY domain) AS size FROM e)
   SELECT event_id, domain, row_number() OVER (ORDER BY turn, size DESC, domain) AS position FROM r""")
 def domain_interleave(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 25 = 0").select("event_id", F.col("event_type").alias("domain"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("domain"))
     return relational.interleave(e, "domain", "event_id")
 
 

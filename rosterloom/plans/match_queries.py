@@ -11,13 +11,13 @@ from .base import query, table
 
 
 def _parts(spark, sf_dir):
-    """Two-word names as people: the first word the given name, the second the surname."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_brand", "p_size", "p_type")
+    """Two-word names as people: the first word the given name, the second the surname; the dearest are the published ones."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_brand", "p_size", "p_type", "p_retailprice")
     return p.withColumn("first", F.split("name", " ")[0]).withColumn("last_key", F.split("name", " ")[1])
 
 
-NAMED = """parts AS (SELECT p_partkey AS id, p_name AS name, p_brand, p_size, p_type, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[2] AS last_key FROM part),
-published AS (SELECT id AS pub, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN substr(first, 1, 1) ELSE substr(first, 2) END AS said, last_key, p_brand AS firm, p_size % 7 AS city, p_size % 3 AS state FROM parts WHERE id % 40 = 0),
+NAMED = """parts AS (SELECT p_partkey AS id, p_name AS name, p_brand, p_size, p_type, p_retailprice, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[2] AS last_key FROM part),
+published AS (SELECT id AS pub, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN substr(first, 1, 1) ELSE substr(first, 2) END AS said, last_key, p_brand AS firm, p_size % 7 AS city, p_size % 3 AS state FROM parts WHERE p_retailprice >= 997),
 pairs AS (SELECT pub, id, said, first, CASE WHEN said = first THEN 1.0::DOUBLE WHEN length(said) > 1 AND length(first) > 1 AND levenshtein(said, first) <= 1 THEN 0.8::DOUBLE
    WHEN (length(said) = 1 OR length(first) = 1) AND substr(said, 1, 1) = substr(first, 1, 1) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS name_score,
    CASE WHEN pub % 5 = 0 THEN NULL WHEN firm = p_brand THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, (city = p_size % 7)::INT::DOUBLE AS c, (state = p_size % 3)::INT::DOUBLE AS s
@@ -31,7 +31,7 @@ decided AS (SELECT pub, id, said, first, namesakes, score, round(gap::DECIMAL(28
 def _decided(spark, sf_dir):
     parts = _parts(spark, sf_dir)
     said = F.when(F.col("id") % 3 == 0, F.col("first")).when(F.col("id") % 3 == 1, F.substring("first", 1, 1)).otherwise(F.expr("substring(first, 2)"))
-    published = parts.filter("id % 40 = 0").select(F.col("id").alias("pub"), said.alias("said"), "last_key", F.col("p_brand").alias("firm"), (F.col("p_size") % 7).alias("city"), (F.col("p_size") % 3).alias("state"))
+    published = parts.filter("p_retailprice >= 997").select(F.col("id").alias("pub"), said.alias("said"), "last_key", F.col("p_brand").alias("firm"), (F.col("p_size") % 7).alias("city"), (F.col("p_size") % 3).alias("state"))
     pairs = matching.candidates(published, parts)
     firm = F.when(F.col("pub") % 5 == 0, F.lit(None)).when(F.col("firm") == F.col("p_brand"), 1.0).otherwise(0.0)
     number = lambda c: c.cast("int").cast("double")
@@ -121,13 +121,12 @@ def practice_members(spark, sf_dir):
     return p.groupBy("firm", "team").agg(F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("id")), "|").alias("ids")).filter("members >= 2")
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey, o_orderstatus || o_orderpriority AS k FROM orders WHERE o_orderkey % 11 = 0), b AS (SELECT DISTINCT c_custkey, k FROM a JOIN customer ON c_custkey = o_custkey),
-  p AS (SELECT DISTINCT a.o_custkey AS l, b.c_custkey AS r FROM a JOIN b USING (k) WHERE a.o_custkey % 100 = b.c_custkey % 100 AND a.o_custkey < 300),
+@query("""WITH p AS (SELECT DISTINCT c_custkey AS l, s_suppkey AS r FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 500) = floor(s_acctbal / 500)),
   q AS (SELECT *, count(*) OVER (PARTITION BY l) AS x, count(*) OVER (PARTITION BY r) AS y FROM p) SELECT l, r FROM q WHERE x = 1 AND y = 1""")
 def truth_bridge(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").select("o_custkey", F.concat("o_orderstatus", "o_orderpriority").alias("k"), (F.col("o_custkey") % 100).alias("m")).distinct()
-    left = o.filter("o_custkey < 300").withColumnRenamed("o_custkey", "l")
-    return relational.bridge(left, o.withColumnRenamed("o_custkey", "r"), ["k", "m"], "l", "r")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("l"), F.col("c_nationkey").alias("state"), F.floor(F.col("c_acctbal") / 500).alias("step"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("r"), F.col("s_nationkey").alias("state"), F.floor(F.col("s_acctbal") / 500).alias("step"))
+    return relational.bridge(c, s, ["state", "step"], "l", "r")
 
 
 EDGES = """edges AS (SELECT p_partkey AS child, p_partkey // 2 AS parent, p_size AS weight FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, p_size + 1 FROM part WHERE p_partkey > 2 AND p_partkey % 2 = 0),
@@ -142,13 +141,13 @@ def _edges(spark, sf_dir):
     return a.unionAll(b)
 
 
-WALK = f"""RECURSIVE {EDGES}, walk AS (SELECT p_partkey AS node, [p_partkey] AS chain FROM part WHERE p_partkey % 10 = 0
+WALK = f"""RECURSIVE {EDGES}, walk AS (SELECT p_partkey AS node, [p_partkey] AS chain FROM part
   UNION ALL SELECT node, list_append(chain, parent) FROM walk JOIN up ON child = chain[len(chain)] WHERE NOT list_contains(chain, parent) AND len(chain) <= 12),
   done AS (SELECT node, arg_max(chain, len(chain)) AS chain FROM walk GROUP BY 1)"""
 
 
 def _chains(spark, sf_dir):
-    starts = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node"))
+    starts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return graph.chains(_edges(spark, sf_dir), starts)
 
 
@@ -162,22 +161,20 @@ def parent_groups(spark, sf_dir):
     return graph.parent_groups(_chains(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey * 100000 + a.l_partkey AS x, b.l_suppkey * 100000 + b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_orderkey < 2000),
-  sym AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT DISTINCT x AS node, x AS seen FROM sym UNION SELECT r.node, sym.y FROM r JOIN sym ON sym.x = r.seen)
-  SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+@query(None)
 def connected_branches(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 100000 + F.col("l_partkey")).alias("k")).distinct()
-    hub = Window.partitionBy("l_orderkey", "l_linenumber")
+    """Branches that share an (order, line) key, directly or through others; SQL has no bounded form of it."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 100000 + F.col("l_partkey")).alias("k")).distinct()
     # a star around the least member of each shared key instead of all its pairs
-    edges = l.withColumn("a", F.min("k").over(hub)).select("a", F.col("k").alias("b"))
-    return graph.components(edges)
+    hub = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("k").alias("a"))
+    return graph.components(l.join(hub, ["l_orderkey", "l_linenumber"]).select("a", F.col("k").alias("b")))
 
 
-@query("""SELECT DISTINCT c.c_custkey AS id, f.c_custkey AS twin FROM customer c JOIN customer f ON f.c_nationkey = c.c_nationkey AND f.c_mktsegment = c.c_mktsegment AND f.c_custkey > c.c_custkey WHERE c.c_acctbal > 9900 AND f.c_acctbal > 9900""")
+@query("""SELECT DISTINCT c.c_custkey AS id, f.c_custkey AS twin FROM customer c JOIN customer f ON f.c_nationkey = c.c_nationkey AND f.c_mktsegment = c.c_mktsegment AND floor(f.c_acctbal / 10) = floor(c.c_acctbal / 10) AND f.c_custkey > c.c_custkey""")
 def candidate_blocks(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 10).alias("step"))
     other = c.withColumnRenamed("c_custkey", "twin")
-    return c.join(other, ["c_nationkey", "c_mktsegment"]).filter("twin > c_custkey").select(F.col("c_custkey").alias("id"), "twin")
+    return c.join(other, ["c_nationkey", "c_mktsegment", "step"]).filter("twin > c_custkey").select(F.col("c_custkey").alias("id"), "twin")
 
 
 @query("""SELECT s_suppkey AS id, trim(regexp_replace(upper(replace(s_name || ' & Sons, Inc.', '&', ' AND ')), '[^A-Z0-9 ]', '', 'g')) AS raw,

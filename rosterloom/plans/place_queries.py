@@ -111,21 +111,21 @@ def polygon_filter(spark, sf_dir):
 MILES = "2 * 3958.8 * asin(least(sqrt(pow(sin(radians(o_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(o_lat)) * pow(sin(radians(o_lon - lon) / 2), 2)), 1))"
 
 
-@query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 50 = 0)
+@query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 20 = 0)
   SELECT person, o_id, round({MILES}::DECIMAL(28,8), 1)::DOUBLE AS miles FROM people, o WHERE {MILES} <= 100""")
 def near_me_radius(spark, sf_dir):
     p = people(spark, sf_dir)
-    o = p.filter(F.col("person") % 50 == 0).select(F.col("person").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    o = p.filter(F.col("person") % 20 == 0).select(F.col("person").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     return relational.within_miles(p, o, 100.0).select("person", "o_id", _dec(F.col("miles"), 1).alias("miles"))
 
 
-@query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 50 = 0), d AS (SELECT o_id, {MILES} AS m FROM people, o)
+@query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 20 = 0), d AS (SELECT o_id, {MILES} AS m FROM people, o)
   SELECT o_id, CASE WHEN count(*) FILTER (m <= 25) >= 5 THEN 25 WHEN count(*) FILTER (m <= 50) >= 5 THEN 50 ELSE 100 END AS radius,
     CASE WHEN count(*) FILTER (m <= 25) >= 5 THEN count(*) FILTER (m <= 25) WHEN count(*) FILTER (m <= 50) >= 5 THEN count(*) FILTER (m <= 50) ELSE count(*) FILTER (m <= 100) END AS found
   FROM d GROUP BY 1""")
 def near_me_widening(spark, sf_dir):
     p = people(spark, sf_dir)
-    o = p.filter(F.col("person") % 50 == 0).select(F.col("person").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    o = p.filter(F.col("person") % 20 == 0).select(F.col("person").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     c = relational.within_miles(p, o, 100.0).groupBy("o_id").agg(*[F.count_if(F.col("miles") <= r).alias(f"n{r}") for r in (25, 50, 100)])
     radius = F.when(F.col("n25") >= 5, 25).when(F.col("n50") >= 5, 50).otherwise(100)
     found = F.when(F.col("n25") >= 5, F.col("n25")).when(F.col("n50") >= 5, F.col("n50")).otherwise(F.col("n100"))

@@ -58,8 +58,8 @@ def territory_faults(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE up AS (SELECT c_custkey AS child, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey - (c_custkey % 3) - 1 END AS parent FROM customer),
-  w AS (SELECT child AS node, child AS at, 0 AS hops FROM up UNION ALL SELECT node, parent, hops + 1 FROM w JOIN up ON child = at WHERE parent IS NOT NULL AND parent > 0 AND hops < 6)
-  SELECT node, arg_max(at, hops) AS practice, max(hops)::INT AS hops FROM w GROUP BY 1""")
+  w AS (SELECT child AS node, child AS place, 0 AS hops FROM up UNION ALL SELECT node, parent, hops + 1 FROM w JOIN up ON child = place WHERE parent IS NOT NULL AND parent > 0 AND hops < 6)
+  SELECT node, arg_max(place, hops) AS practice, max(hops)::INT AS hops FROM w GROUP BY 1""")
 def practice_resolution(spark, sf_dir):
     """Parent pointers followed at most six hops."""
     k = F.col("c_custkey")
@@ -104,14 +104,17 @@ def single_hit_match(spark, sf_dir):
     return p.select(F.col("p_brand").alias("firm"), F.col("p_partkey").alias("id"), F.when(alone, "matched").otherwise("ambiguous").alias("status"))
 
 
-@query("""WITH m AS (SELECT c_custkey AS person, c_nationkey AS state FROM customer), t AS (SELECT c_mktsegment AS team, c_custkey AS person FROM customer)
-  SELECT a.person, string_agg(b.person::VARCHAR, '|' ORDER BY b.person::VARCHAR) AS teammates FROM (SELECT * FROM t JOIN m USING (person) WHERE person % 150 = 0) a
-  JOIN (SELECT * FROM t JOIN m USING (person) WHERE person NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) b ON a.team = b.team AND a.state = b.state AND a.person <> b.person GROUP BY 1""")
+@query("""WITH t AS (SELECT c_custkey AS person, c_mktsegment || floor(c_acctbal / 1000)::BIGINT AS team, c_nationkey AS state FROM customer),
+  b AS (SELECT DISTINCT o_custkey AS person FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 300000)
+  SELECT a.person, string_agg(m.person::VARCHAR, '|' ORDER BY m.person::VARCHAR) AS teammates FROM t a
+  JOIN (SELECT * FROM t ANTI JOIN b USING (person)) m ON a.team = m.team AND a.state = m.state AND a.person <> m.person GROUP BY 1""")
 def teammates(spark, sf_dir):
     """Members of the same team and state, without blocked ones and the person itself."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("team"), F.col("c_nationkey").alias("state"), "c_acctbal")
-    open_ = relational.missing_only(c.select("person", "team", "state"), c.filter("c_acctbal < 0"), ["person"]).withColumnRenamed("person", "mate")
-    pairs = c.filter("person % 150 = 0").select("person", "team", "state").join(open_, ["team", "state"]).filter("person <> mate")
+    team = F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("string"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), team.alias("team"), F.col("c_nationkey").alias("state"))
+    blocked = table(spark, sf_dir, "orders").filter("o_orderpriority like '1%' and o_totalprice > 300000").select(F.col("o_custkey").alias("person"))
+    open_ = relational.missing_only(t, blocked, ["person"]).withColumnRenamed("person", "mate")
+    pairs = t.join(open_, ["team", "state"]).filter("person <> mate")
     return pairs.groupBy("person").agg(F.array_join(F.sort_array(F.collect_list(F.col("mate").cast("string"))), "|").alias("teammates"))
 
 
@@ -122,9 +125,9 @@ def membership_flags(spark, sf_dir):
     return relational.corroborate(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person")), ids, ["person"], "ranked")
 
 
-@query("""SELECT o_custkey AS person, string_agg(o_orderpriority || ':' || o_orderkey, ', ' ORDER BY o_orderpriority || ':' || o_orderkey) AS rankings, max(o_totalprice) AS team_assets FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1""")
+@query("""SELECT o_custkey AS person, string_agg(o_orderpriority || ':' || o_orderkey, ', ' ORDER BY o_orderpriority || ':' || o_orderkey) AS rankings, max(o_totalprice) AS team_assets FROM orders GROUP BY 1""")
 def rankings_per_person(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     label = F.concat("o_orderpriority", F.lit(":"), F.col("o_orderkey").cast("string"))
     return o.groupBy(F.col("o_custkey").alias("person")).agg(F.array_join(F.sort_array(F.collect_list(label)), ", ").alias("rankings"), F.max("o_totalprice").alias("team_assets"))
 

@@ -26,6 +26,17 @@ def html_contacts(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), links.alias("links"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
 
 
+SITE = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {SITE} AS firm, regexp_matches(url, '(forum|social|blog)') AS is_social FROM pages)
+  SELECT firm, arg_min(url, (is_social, page_id)) AS website, count(*) AS n_sites, count(*) FILTER (is_social) AS n_social FROM p GROUP BY 1""")
+def website_primary(spark, sf_dir):
+    """One site for each firm, one that is no social page if there is any."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("firm"), F.col("url").rlike("(forum|social|blog)").alias("is_social"))
+    return p.groupBy("firm").agg(F.min_by("url", F.struct("is_social", "page_id")).alias("website"), F.count("*").alias("n_sites"), F.count_if("is_social").alias("n_social"))
+
+
 @query(None)
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))

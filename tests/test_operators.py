@@ -35,6 +35,25 @@ def test_components(spark):
     assert set(got[k] for k in range(1, 61)) == {1} and got[101] == 100 and len(got) == 62
 
 
+def test_components_of_shuffled_paths_and_a_hub(spark):
+    import random
+
+    names = list(range(900))
+    random.Random(3).shuffle(names)
+    path, hub = names[:500], names[500:800]
+    edges = spark.createDataFrame([*zip(path, path[1:]), *[(hub[0], x) for x in hub[1:]], (names[800], names[801])], "a int, b int")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    want = {x: min(group) for group in (path, hub, names[800:802]) for x in group}
+    assert got == want
+
+
+def test_numbered_is_the_position_in_the_order(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g")).repartition(7)
+    got = relational.numbered(df, "pos", F.desc("g"), F.asc("id")).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 501))
+    assert [r.id for r in got] == sorted(range(500), key=lambda i: (-(i % 3), i))
+
+
 def test_bridge_needs_both_directions(spark):
     left = spark.createDataFrame([(1, "k"), (2, "m"), (3, "m"), (4, "n")], "l int, k string")
     right = spark.createDataFrame([(10, "k"), (20, "m"), (30, "n"), (31, "n")], "r int, k string")

@@ -42,3 +42,28 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", ["html_to_text", "field_dictionary"])
 def test_queries_without_sql_have_rows(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
+
+
+def test_connected_branches_against_brute_force(spark, duck):
+    lines = duck.execute("SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey * 100000 + l_partkey FROM lineitem").fetchall()
+    group = {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    for order, line, k in lines:
+        a, b = root(("key", order, line)), root(("branch", k))
+        group[a] = b
+    least = {}
+    for _, _, k in lines:
+        least[root(("branch", k))] = min(k, least.get(root(("branch", k)), k))
+    want = {k: least[root(("branch", k))] for _, _, k in lines}
+    assert {r.node: r.component for r in entry.queries()["connected_branches"](spark, DATA).collect()} == want
+
+
+def test_territories_hold_every_person_once(spark):
+    got = entry.queries()["kmeans_territory"](spark, DATA)
+    assert got.count() == got.select("person").distinct().count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
