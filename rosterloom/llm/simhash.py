@@ -7,7 +7,7 @@ are ordered by population count and cut into tiles, tile pairs whose population
 within the radius are skipped, and the rest is compared with exclusive-or and bit counts. Bounds on
 the counts of the whole fingerprint and of its eight bytes both skip tiles; both are exact. A cell
 hands on only a spanning forest of its links. Components are the smallest label reachable, found by
-rounds of hooking to neighbours' labels and label jumping, each round cut by a checkpoint.
+rounds of hooking and pointer jumping, each round cut by a checkpoint.
 
 Defined results: a text without words (empty, null, blanks only) has fingerprint zero and links
 like any other; texts with fewer words than a shingle hash their whole word sequence; rows with a
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import graph
 from .common import cut, without
 
 SHINGLE = 3
@@ -150,21 +151,12 @@ def links(marks: DataFrame, column: str = "fingerprint", radius: int = RADIUS, g
     return dealt.repartition(groups * (groups + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, labels: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest label that each node can reach over the edges (a, b).
-
-    ``labels`` gives every node of the edges a starting label. Each round joins nodes with their
-    neighbours' labels; a message carries one label for each edge, folded before the shuffle.
-    """
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut(labels.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "label", F.lit(True).alias("moved")))
-    for _ in range(rounds):
-        heard = both.join(state.filter("moved").select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        after = state.join(heard, "node", "left").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved"))
-        state = cut(after.withColumn("moved", F.coalesce("moved", F.lit(False))))
-        if state.filter("moved").isEmpty():
-            return state.select("node", "label")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the smallest label that each node can reach over the edges (a, b)."""
+    groups = graph.components(edges)
+    # kept, so that both sides of the next join come straight from an exchange and a large group can be split
+    least = cut(groups.join(labels, "node").groupBy("component").agg(F.min("label").alias("label")))
+    return groups.join(least, "component").select("node", "label")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -174,6 +166,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     known = cut(first)
     edges = cut(links(known, "node", radius))
     reached = components(edges, known)
-    final = known.join(reached.select("node", F.col("label").alias("reached")), "node", "left").select("node", F.coalesce("reached", "label").alias("component_id"))
+    final = cut(known.join(reached.select("node", F.col("label").alias("reached")), "node", "left").select("node", F.coalesce("reached", "label").alias("component_id")))
     out = marks.join(final, marks["fingerprint"] == final["node"], "left")
     return out.select(key, "fingerprint", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
