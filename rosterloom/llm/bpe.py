@@ -30,9 +30,9 @@ NO_RANK = np.int32(2**31 - 1)
 #: Bytes from which a piece is merged alone with a heap: rounds over a matrix would be quadratic.
 LONG_PIECE = 512
 #: Characters worked on at once in a task; a longer text makes a group of its own.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 400_000
 #: Ids decoded at once in a task.
-GROUP_IDS = 300_000
+GROUP_IDS = 100_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _kinds: np.ndarray | None = None
 

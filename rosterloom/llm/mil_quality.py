@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import without
 
 PASSAGE = 256
-#: Passages worked on at once in a task (16 MB of text).
-BLOCK = 16_384
+#: Passages worked on at once in a task (1 MB of text).
+BLOCK = 4096
 _ASCII = 96
 N_FEATURES = _ASCII + 6
 
@@ -70,8 +70,9 @@ def text_passages(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
     nth = np.arange(int(count.sum())) - first
     at = np.repeat(starts, count) + nth * PASSAGE
     held = np.minimum(PASSAGE, np.repeat(sizes, count) - nth * PASSAGE)
-    padded = np.concatenate([data, np.zeros(PASSAGE, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[np.minimum(at, len(data))]
+    low, high = (int(starts.min()), int((starts + sizes).max())) if len(starts) else (0, 0)
+    padded = np.concatenate([data[low:high], np.zeros(PASSAGE, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[np.minimum(at - low, high - low)]
     rows[np.arange(PASSAGE)[None, :] >= held[:, None]] = 0
     return rows, held, count
 
