@@ -168,7 +168,7 @@ def _cut_texts(batches, width: int):
 
 
 def _written(df: DataFrame, at: str) -> DataFrame:
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
@@ -211,11 +211,13 @@ def drop_repeated(df: DataFrame, text: str = "text", width: int = 400, keep_text
     texts = df.select(F.unhex(F.md5(body)).alias("tid"), body.alias("t"))
     long = texts.filter(F.octet_length("t") >= width)
     again = _written(long.mapInArrow(lambda b: _runs(b, width), "h bigint, tid binary, lo int, hi int, at int").distinct(), f"{at}/places")
-    shared = again.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select(F.col("h").alias("owner"))
+    # written, so that both sides of the join come straight from an exchange and hot owners can be split
+    shared = _written(again.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select(F.col("h").alias("owner")), f"{at}/shared")
     marked = again.join(shared, F.col("h") == F.col("owner")).groupBy("tid").agg(F.collect_list(F.struct("h", "lo", "hi", "at")).alias("runs"))
     once = long.groupBy("tid").agg(F.first("t").alias("t"))
     open_ = _written(once.join(marked, "tid"), f"{at}/open")
-    _forget(spark, f"{at}/places")  # all that later steps need is in the open texts
+    for name in ("places", "shared"):  # all that later steps need is in the open texts
+        _forget(spark, f"{at}/{name}")
     pieces = _written(open_.mapInArrow(lambda b: _fragments(b, width), "h bigint, mark binary, tid binary, lo int, hi int, left bigint, right bigint"), f"{at}/pieces")
     first = F.min(F.struct("tid", "lo", "hi", "left", "right")).alias("f")
     parts = cut(pieces.groupBy("h", "mark").agg(F.count("*").alias("n"), first).select("h", "mark", "n", "f.*"))
