@@ -164,7 +164,11 @@ def parent_groups(spark, sf_dir):
 @query(None)
 def connected_branches(spark, sf_dir):
     """Branches that share an (order, line) key, directly or through others; SQL has no bounded form of it."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 100000 + F.col("l_partkey")).alias("k")).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    # part keys take a span of their own for each supplier, however many there are
+    low, high = lines.agg(F.min("l_partkey"), F.max("l_partkey")).first()
+    span = max(100000, (high or 0) - (low or 0) + 1)
+    l = lines.select("l_orderkey", "l_linenumber", (F.col("l_suppkey").cast("long") * F.lit(span).cast("long") + F.col("l_partkey")).alias("k")).distinct()
     # a star around the least member of each shared key instead of all its pairs
     hub = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("k").alias("a"))
     return graph.components(l.join(hub, ["l_orderkey", "l_linenumber"]).select("a", F.col("k").alias("b")))
