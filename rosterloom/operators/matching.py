@@ -37,11 +37,17 @@ def score(name: Column, firm: Column, city: Column, state: Column, generation: C
     return F.when(firm.isNull(), scaled).otherwise(rest + firm * config.firm) + generation * config.generation
 
 
-def decide(scored: DataFrame, key: str, candidate: str, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The best candidate per key with gap, namesakes and tier (high, review or none)."""
+def decide(scored: DataFrame, key: str, candidate: str, config: MatchConfig = MatchConfig(), copies: str | None = None) -> DataFrame:
+    """The best candidate per key with gap, namesakes and tier (high, review or none).
+
+    ``copies``: a column that says for how many candidates a row stands, ``candidate`` being the least.
+    """
+    n = F.col(copies) if copies else F.lit(1)
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc(candidate))
-    out = scored.withColumn("namesakes", F.count_if(F.col("name_score") >= config.near_name).over(Window.partitionBy(key)))
-    out = out.withColumn("gap", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("__rn", F.row_number().over(w))
+    near = F.sum(F.when(F.col("name_score") >= config.near_name, n).otherwise(0)).over(Window.partitionBy(key))
+    out = scored.withColumn("namesakes", near.cast("long"))
+    following = F.when(n > 1, F.col("score")).otherwise(F.lead("score").over(w))
+    out = out.withColumn("gap", F.col("score") - F.coalesce(following, F.lit(0.0))).withColumn("__rn", F.row_number().over(w))
     passed = F.col("score") >= config.accept
     tier = F.when(passed & (F.col("gap") >= config.margin) & (F.col("namesakes") <= config.namesakes), "high").when(passed, "review").otherwise("none")
     return out.filter("__rn = 1").drop("__rn").withColumn("tier", tier)

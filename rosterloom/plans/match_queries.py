@@ -59,6 +59,39 @@ def match_calibration(spark, sf_dir):
     return matching.calibrate(_decided(spark, sf_dir), F.col("score"), F.col("pub") == F.col("id"), [0.3, 0.5, 0.7, 0.9])
 
 
+def _decided_all(spark, sf_dir):
+    """Every published name. Names and candidates with the same evidence are compared once, with counts and least ids."""
+    parts = _parts(spark, sf_dir).select("id", "first", "last_key", "p_brand", (F.col("p_size") % 7).alias("p_city"), (F.col("p_size") % 3).alias("p_state"))
+    said = F.when(F.col("id") % 3 == 0, F.col("first")).when(F.col("id") % 3 == 1, F.substring("first", 1, 1)).otherwise(F.expr("substring(first, 2)"))
+    firm = F.when(F.col("id") % 5 != 0, F.col("p_brand"))
+    published = parts.select(F.col("id").alias("pub"), F.struct("last_key", said.alias("said"), firm.alias("firm"), F.col("p_city").alias("city"), F.col("p_state").alias("state")).alias("profile"))
+    index = parts.groupBy("last_key", "first", "p_brand", "p_city", "p_state").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    pairs = matching.candidates(published.select("profile", "profile.*").distinct(), index).withColumn("name_score", names.given_score(F.col("said"), F.col("first")))
+    number = lambda c: c.cast("int").cast("double")
+    same_firm = F.when(F.col("firm").isNull(), F.lit(None)).when(F.col("firm") == F.col("p_brand"), 1.0).otherwise(0.0)
+    raw = matching.score(F.col("name_score"), same_firm, number(F.col("city") == F.col("p_city")), number(F.col("state") == F.col("p_state")), F.lit(0.0))
+    scored = pairs.select("profile", "id", "copies", "said", "first", "name_score", F.round(raw.cast("decimal(28,8)"), 4).cast("double").alias("score"))
+    best = matching.decide(scored, "profile", "id", copies="copies").withColumn("gap", F.round(F.col("gap").cast("decimal(28,8)"), 4).cast("double"))
+    out = published.withColumnRenamed("profile", "__p").join(best, F.col("__p").eqNullSafe(F.col("profile")))
+    return out.drop("__p", "profile", "copies")
+
+
+@query(None)
+def entity_match_tiers_all(spark, sf_dir):
+    """``entity_match_tiers`` for every published name, not the dearest alone."""
+    return _decided_all(spark, sf_dir).select("pub", "id", "namesakes", "score", "gap", "tier")
+
+
+@query(None)
+def match_demotion_all(spark, sf_dir):
+    return matching.demote(_decided_all(spark, sf_dir), F.array("said"), F.array("first")).select("pub", "id", "demoted")
+
+
+@query(None)
+def match_calibration_all(spark, sf_dir):
+    return matching.calibrate(_decided_all(spark, sf_dir), F.col("score"), F.col("pub") == F.col("id"), [0.3, 0.5, 0.7, 0.9])
+
+
 @query("""WITH d AS (SELECT d.doc_id, n_chars, quality FROM documents d JOIN labels l USING (doc_id)), t AS (SELECT unnest([500, 1000, 2000, 4000])::DOUBLE AS threshold)
   SELECT threshold, count(*) FILTER (n_chars >= threshold) AS accepted, count(*) FILTER (n_chars >= threshold AND quality = 1) AS correct, count(*) FILTER (quality = 1) AS positives FROM d, t GROUP BY 1""")
 def threshold_grid(spark, sf_dir):

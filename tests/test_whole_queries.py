@@ -1,6 +1,32 @@
 """Queries that must answer for all rows, on small tables of their own."""
 
-from rosterloom.catalog import QUERIES
+import os
+
+import duckdb
+import pytest
+
+from rosterloom.catalog import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(frame):
+    return sorted(map(repr, frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None)))
+
+
+def wanted(sql):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    return con.execute(sql).df()
+
+
+@pytest.mark.parametrize("name", ["entity_match_tiers", "match_demotion", "match_calibration"])
+def test_every_published_name_is_matched(spark, name):
+    sql = ORACLE_SQL[name].replace(" WHERE p_retailprice >= 997", "")
+    want = wanted(sql)
+    assert sql != ORACLE_SQL[name] and len(want) >= 4
+    assert rows(QUERIES[f"{name}_all"](spark, DATA).toPandas()) == rows(want)
 
 
 def test_branches_with_large_part_keys_stay_apart(spark, tmp_path):
