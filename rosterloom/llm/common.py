@@ -6,7 +6,8 @@ the same name (compared without case, as Spark does), all others pass through un
 
 from __future__ import annotations
 
-import uuid
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; set here only where the cluster names none."""
+    """The shared folder for cut lineage, as the cluster names it.
+
+    Only a local session, whose executors are the driver, gets one of its own where none is named.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/rosterloom-{uuid.uuid4().hex}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or f"{Path(tempfile.mkdtemp(prefix='rosterloom-')).as_uri()}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, at: str) -> DataFrame:
+    """``df`` as a table at a path below the shared folder, read back."""
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def forget(df: DataFrame, *paths: str) -> None:
+    """Deletes tables that no later step reads; ``df`` only lends its session."""
+    spark = df.sparkSession
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder; it outlives executors."""
     checkpoint_dir(df.sparkSession)

@@ -99,7 +99,7 @@ def test_audio_edge_rows(spark):
         audio.from_wav(audio.to_wav(b"x" * 192).replace(b"\x80\x3e\0\0", b"\x40\x1f\0\0"))
 
 
-@pytest.mark.parametrize("memory,chunk", [(64, 2), (64, 3), (1 << 20, 1 << 18)])
+@pytest.mark.parametrize("memory,chunk", [(3, 2), (16, 3), (64, 64), (1 << 20, 1 << 18)])
 def test_suffix_order_and_shared_lengths(memory, chunk):
     r = random.Random(5)
     for _ in range(60):
@@ -108,7 +108,7 @@ def test_suffix_order_and_shared_lengths(memory, chunk):
         parts += [parts[0] * 3] if r.random() < 0.4 else []
         symbols, _ = suffix_sort.join_parts(parts)
         cap = r.choice([3, 5, 1000])
-        got = list(suffix_sort.Shard(symbols, cap, memory=memory, chunk=chunk).sorted_chunks())
+        got = list(suffix_sort.Text(symbols, cap, suffix_sort.BYTE_BITS, suffix_sort.Scratch(memory), chunk).sorted_chunks())
         order, lengths, s = np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist(), symbols.tolist()
         keys = [s[i : i + cap] for i in order]
         assert keys == sorted(keys) and sorted(order) == list(range(len(s)))
@@ -124,12 +124,29 @@ def texts_with_repeats():
     return [*texts, *[t[:50] + passage + t[60:] for t in texts[:20]], "a" * 500, "a" * 700, "ab" * 300, None, "", texts[0], texts[0], "é" * 90]
 
 
-@pytest.mark.parametrize("hot", [4096, 4])
-def test_repeats_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_shard_far_larger_than_memory():
+    """The queue merges its runs, names recurse on disk, and the flags equal those of a sort in memory."""
+    r = random.Random(9)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(80)]
+    parts = [b" ".join(r.choice(words) for _ in range(120)) for _ in range(12)]
+    parts += [p[100:400] + b"z" * 50 for p in parts[:5]] + [b"a" * 900]
+    symbols, _ = suffix_sort.join_parts(parts)
+    want = suffix_sort.repeated(symbols, 40)
+    assert want.any() and (np.asarray(suffix_sort.repeated(symbols, 40, memory=len(symbols) // 60, chunk=50)) == want).all()
+
+
+@pytest.mark.parametrize("shard_bytes,memory,depth,block", [(4_000_000, 1 << 23, 3, 4_000_000), (400, 1 << 23, 2, 200), (400, 300, 1, 97), (400, 500, 0, 4_000_000)])
+def test_repeats_against_brute_force(spark, monkeypatch, shard_bytes, memory, depth, block):
+    """Small shards deal every owner again; a small memory sends shards to disk; small blocks cut every text."""
+    monkeypatch.setattr(suffix_dedup, "DEPTH", depth)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     texts = texts_with_repeats()
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string").withColumn("KEPT", F.lit(1))
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.drop_repeated(df, width=60).collect()}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    for name in ("KEPT", "n_Bytes", "n_removed", "n_spans", "tid", "t", "of", "copies"):
+        df = df.withColumn(name, F.lit(1))
+    out = suffix_dedup.drop_repeated(df, width=60, shard_bytes=shard_bytes, memory=memory)
+    assert {"tid", "t"} <= set(out.columns)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()}
     assert [got[k] for k in range(len(texts))] == suffix_dedup.brute_force(texts, 60)
 
 
