@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,17 @@ from ..functions import geo
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared checkpoint folder (one is set only where none is)."""
+    """Computed once and kept in the shared checkpoint folder.
+
+    The folder is the one that the cluster names; only a local session, whose executors are the
+    driver, gets one of its own where none is named.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/rosterloom-{uuid.uuid4().hex}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="rosterloom-")).as_uri())
     return df.checkpoint(eager=True)
 
 
