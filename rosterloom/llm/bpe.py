@@ -3,7 +3,8 @@
 ``encode`` finds the pieces of a batch of texts with array operations on code points, keeps each
 distinct piece once, and merges all of them together: pieces of like length share a padded matrix,
 every row merges its leftmost minimum-rank pair each round through a hashed pair table, and
-finished rows leave the matrix. ``decode`` turns ids back into bytes.
+finished rows leave the matrix. A piece of ``LONG_PIECE`` bytes or more is a matrix of one row whose
+rounds merge all pairs of the least rank that come next in that order. ``decode`` turns ids back into bytes.
 
 Defined results: a null text is the empty text and gives no ids; an empty table gives an empty
 table; equal texts give equal ids wherever they stand; texts are never cut. ``token_ids`` (or the
@@ -14,7 +15,6 @@ outside the vocabulary raise.
 from __future__ import annotations
 
 import base64
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .common import without
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 NO_RANK = np.int32(2**31 - 1)
-#: Bytes from which a piece is merged alone with a heap: rounds over a matrix would be quadratic.
+#: Bytes from which a piece is a matrix of one row, which merges many pairs in a round.
 LONG_PIECE = 512
 #: Characters worked on at once in a task; a longer text makes a group of its own.
 GROUP_CHARS = 400_000
@@ -206,33 +206,36 @@ def merge_rows(rows: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) ->
 
 
 def merge_long(piece: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The same merges for one long piece, with a heap of (rank, place) over a linked list."""
-    ids = vocabulary.byte_ids[piece].astype(np.int64)
-    n = len(ids)
+    """The ids of one long row: the merges of ``merge_rows``, many in a round.
+
+    A round takes the least rank and merges all its pairs from the left, as far as merging them one
+    by one would do: it stops after the first merge that makes a pair of lower rank, which then is
+    next.
+    """
+    ids = vocabulary.byte_ids[piece]
     ranks = vocabulary.pair_ranks(ids[:-1], ids[1:])
-    heap = [(int(r), int(i), int(i) + 1, int(ids[i]), int(ids[i + 1])) for i, r in enumerate(ranks) if r != NO_RANK]
-    heapq.heapify(heap)
-    ids = ids.tolist()
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    table = {}
-
-    def rank(a: int, b: int) -> int:
-        if (a, b) not in table:
-            table[a, b] = int(vocabulary.pair_ranks(np.array([a]), np.array([b]))[0])
-        return table[a, b]
-
-    while heap:
-        r, i, j, a, b = heapq.heappop(heap)
-        if ids[i] != a or ids[j] != b or nxt[i] != j:
-            continue
-        ids[i], ids[j] = r, -1
-        nxt[i] = nxt[j]
-        if nxt[i] < n:
-            prv[nxt[i]] = i
-        for x, y in ((prv[i], i), (i, nxt[i])):
-            if x >= 0 and y < n and (q := rank(ids[x], ids[y])) != NO_RANK:
-                heapq.heappush(heap, (q, x, y, ids[x], ids[y]))
-    return np.array([x for x in ids if x >= 0], np.int32)
+    while len(ranks) and (best := ranks.min()) != NO_RANK:
+        at = np.flatnonzero(ranks == best)
+        order = np.arange(len(at))
+        run = np.ones(len(at), bool)
+        run[1:] = at[1:] != at[:-1] + 1
+        at = at[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]  # of overlapping pairs every second
+        token = np.full(len(at), best, ids.dtype)
+        right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+        left = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
+        left[1:] = np.where(at[1:] == at[:-1] + 2, best, left[1:])
+        early = np.flatnonzero((vocabulary.pair_ranks(token, right) < best) | (vocabulary.pair_ranks(left, token) < best))
+        if len(early):
+            at = at[: early[0] + 1]
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        ids[at] = best
+        place = at - np.arange(len(at))  # of the merged tokens after the others have gone
+        ids, ranks = ids[stay], ranks[stay[1:]]
+        for fresh in (place, place - 1):
+            fresh = fresh[(fresh >= 0) & (fresh < len(ids) - 1)]
+            ranks[fresh] = vocabulary.pair_ranks(ids[fresh], ids[fresh + 1])
+    return ids
 
 
 def _encode_pieces(buffer: np.ndarray, at: np.ndarray, size: np.ndarray, vocabulary: Vocabulary):
