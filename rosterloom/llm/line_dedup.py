@@ -1,10 +1,10 @@
 """Site-relative line deduplication: lines that too many pages of one host share are dropped.
 
-For each host the pages containing a line are divided by the host's pages; lines above ``ratio``
-(and on at least ``min_pages`` pages, so that a small host keeps its text) are boilerplate and go
-from every page of that host. Lines are compared after trimming white space; blank lines are never
-boilerplate. A line counts once a page however often it stands there. Only DataFrame and SQL
-functions are used.
+For each host the pages containing a line are divided by the host's pages; lines above ``ratio`` are
+boilerplate and go from every page of that host. A line that one page alone has is repeated nowhere
+and stays, however few pages its host has. Lines are compared after trimming white space; blank
+lines are never boilerplate. A line counts once a page however often it stands there. Only
+DataFrame and SQL functions are used.
 
 A host has at most (distinct lines of a mean page) / ``ratio`` boilerplate lines, since each takes
 more than ``ratio`` of its pages; so one list of them per host stays small however large the host.
@@ -32,7 +32,7 @@ def _key(line: Column) -> Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), F.length(line).alias("n")))
 
 
-def boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float = 0.1) -> DataFrame:
     """(host, keys): the keys of the lines to drop, one row for each host that has any."""
     keys = F.array_compact(F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _key)))
     pages = df.select(host.alias("host"), keys.alias("keys"))
@@ -40,15 +40,15 @@ def boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float =
     lines = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint,n:int>")), "keys")).alias("key"))
     counts = lines.groupBy("host", "key").agg(F.count("*").alias("pages"))
     total = counts.filter("key is null").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"))
-    common = counts.filter(F.col("key").isNotNull() & (F.col("pages") >= min_pages))
+    common = counts.filter(F.col("key").isNotNull() & (F.col("pages") > 1))
     found = common.join(total, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("pages") > F.col("all_pages") * F.lit(ratio))
     return found.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = 0.1) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text``, and ``n_lines`` and ``n_dropped`` (int)."""
     kept = without(df, "n_lines", "n_dropped", "__host", "__keys")
-    found = cut(boilerplate(kept, host, text, ratio, min_pages).select(F.col("host").alias("__h"), F.col("keys").alias("__keys")))
+    found = cut(boilerplate(kept, host, text, ratio).select(F.col("host").alias("__h"), F.col("keys").alias("__keys")))
     size = found.agg(F.sum(F.size("__keys") * 40 + 64)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     joined = kept.withColumn("__host", host).join(found, F.col("__host").eqNullSafe(F.col("__h")), "left")

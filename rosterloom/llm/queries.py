@@ -71,7 +71,7 @@ WITH lines AS (
 pages AS (SELECT source, count(*) AS all_pages FROM documents GROUP BY source),
 common AS (
     SELECT source, trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY source, trim(line)
-    HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * (SELECT all_pages FROM pages p WHERE p.source = lines.source)),
+    HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT doc_id) > 0.1 * (SELECT all_pages FROM pages p WHERE p.source = lines.source)),
 marked AS (SELECT l.*, c.line IS NULL AS stays FROM lines l LEFT JOIN common c ON l.source = c.source AND trim(l.line) = c.line)
 SELECT doc_id, source, cast(count(*) AS integer) AS n_lines, cast(count(*) FILTER (NOT stays) AS integer) AS n_dropped,
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_md5
