@@ -2,9 +2,11 @@
 
 A fingerprint sums the bits of the 64-bit hashes of a text's word shingles. Equal fingerprints are
 folded first, so that a group of copies is one entry however large. The distinct fingerprints are
-dealt to groups, and every pair of groups is one cell of work for one task: inside it, fingerprints
-are ordered by population count and cut into tiles, tile pairs whose population counts cannot lie
-within the radius are skipped, and the rest is compared with exclusive-or and bit counts. Bounds on
+dealt to cells by their population counts, over as many stretches of bits as keep cells small; only
+cells whose counts differ by no more than the radius meet, so the copies of a fingerprint do not
+grow with their number. Inside a cell, fingerprints are ordered by population count and cut into
+tiles, tile pairs whose population counts cannot lie within the radius are skipped, and the rest is
+compared with exclusive-or and bit counts. Bounds on
 the counts of the whole fingerprint and of its eight bytes both skip tiles; both are exact. A cell
 hands on only a spanning forest of its links. Components are the smallest label reachable, found by
 rounds of hooking and pointer jumping, each round cut by a checkpoint.
@@ -33,8 +35,8 @@ from .common import cut, without
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints in one group: a task holds two groups (4 MB of fingerprints).
-GROUP = 1 << 18
+#: Fingerprints at home in one cell; with visitors a task holds some times as many, 8 bytes each.
+GROUP = 1 << 16
 TILE = 256
 #: Shingles hashed and counted at once in a task.
 BLOCK = 1 << 17
@@ -97,7 +99,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cell_links(marks: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (member, root) among ``marks``; sides 0 and 1 are compared across, side 2 within."""
+    """Star links (member, root) among ``marks``; sides 0 and 1 are compared across, side 2 within and with 1."""
     counts = np.bitwise_count(marks.view(np.uint8).reshape(-1, 8)).astype(np.int16)
     total = counts.sum(axis=1)
     order = np.lexsort((marks, counts[:, 2], counts[:, 1], counts[:, 0], total))
@@ -113,7 +115,8 @@ def cell_links(marks: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tup
     for i, (kind, rows) in enumerate(tiles):
         apart = np.maximum(0, np.maximum(low - high[i], low[i] - high)).sum(axis=1)
         near = (apart <= radius) & (least - most[i] <= radius) & (least[i] - most <= radius)
-        near &= (kinds == 2) & (np.arange(len(tiles)) >= i) if kind == 2 else (kinds == 1 if kind == 0 else False)
+        mates = ((kinds == 2) & (np.arange(len(tiles)) >= i)) | (kinds == 1) if kind == 2 else (kinds == 1) & (kind == 0)
+        near &= mates
         mine = marks[rows]
         for j in np.flatnonzero(near):
             other = tiles[j][1]
@@ -135,19 +138,62 @@ def cell_links(marks: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tup
     return marks[moved], marks[root[moved]]
 
 
+def _part_counts(parts: int):
+    """Population counts of ``parts`` equal stretches of the bits of column m."""
+    width = 64 // parts
+    mask = -1 if width == 64 else (1 << width) - 1
+    return [F.bit_count(F.shiftrightunsigned("m", k * width).bitwiseAND(F.lit(mask).cast("long"))).cast("int") for k in range(parts)]
+
+
+def _moves(parts: int, radius: int) -> list[list[int]]:
+    """All changes of the counts by ``radius`` in sum, zero first; of two opposite ones the greater only."""
+    found = [[]]
+    for _ in range(parts):
+        found = [[*m, d] for m in found for d in range(-radius, radius + 1) if sum(map(abs, m)) + abs(d) <= radius]
+    zero = [0] * parts
+    return [zero, *[m for m in found if m > zero]]
+
+
+def _dealt_by_counts(distinct: DataFrame, radius: int) -> DataFrame | None:
+    """(m, cell, side): each fingerprint at home in the cell of its counts, and a visitor in nearby cells.
+
+    Fingerprints within the radius differ by no more than that in the sum over the stretches, so
+    every link is met in one cell. The fewest stretches are taken that keep cells within ``GROUP``;
+    None if even bytes do not.
+    """
+    for parts in (1, 2, 4, 8):
+        key = F.array(*_part_counts(parts))
+        most = distinct.groupBy(key.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= GROUP:
+            moves = _moves(parts, radius)
+            cells = [F.struct(F.array(*[c + d for c, d in zip(_part_counts(parts), m)]).alias("cell"), F.lit(2 if not any(m) else 1).alias("side")) for m in moves]
+            dealt = distinct.select("m", F.explode(F.array(*cells)).alias("c")).select("m", "c.cell", "c.side")
+            return dealt.filter(F.forall("cell", lambda x: x.between(0, 64 // parts)))
+    return None
+
+
 def links(marks: DataFrame, column: str = "fingerprint", radius: int = RADIUS, groups: int | None = None) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints within the radius, over whole groups' cells."""
-    distinct = marks.select(F.col(column).alias("m")).filter("m is not null").distinct()
-    groups = groups or max(6, math.ceil(distinct.count() / GROUP))
-    own = F.pmod(F.xxhash64("m"), F.lit(groups)).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct(F.least(g, own).alias("i"), F.greatest(g, own).alias("j"), F.when(g == own, 2).when(own < g, 0).otherwise(1).alias("side")))
-    dealt = distinct.select("m", F.explode(cells).alias("c")).select("m", "c.i", "c.j", "c.side")
+    """(a, b): links that connect all distinct fingerprints within the radius.
+
+    Cells are made of population counts. Where those leave a cell beyond ``GROUP`` (or with
+    ``groups``), fingerprints are dealt to groups by hash and every pair of groups is a cell.
+    """
+    distinct = cut(marks.select(F.col(column).alias("m")).filter("m is not null").distinct())
 
     def run(key, rows):
-        m = rows.column("m").to_numpy().view(np.uint64)
-        a, b = cell_links(m, rows.column("side").to_numpy(), radius)
+        side = rows.column("side").to_numpy()
+        if 2 not in side and len(np.unique(side)) < 2:  # visitors without anyone at home
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = cell_links(rows.column("m").to_numpy().view(np.uint64), side, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
+    dealt = None if groups else _dealt_by_counts(distinct, radius)
+    if dealt is not None:
+        return dealt.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    groups = groups or max(6, math.ceil(distinct.count() / GROUP))
+    own = F.pmod(F.xxhash64("m"), F.lit(groups)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct(F.least(g, own).alias("i"), F.greatest(g, own).alias("j"), F.when(g == own, 2).when(own < g, 0).otherwise(1).alias("side")))
+    dealt = distinct.select("m", F.explode(cells).alias("c")).select("m", "c.i", "c.j", "c.side")
     return dealt.repartition(groups * (groups + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
