@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` bytes, and only bags have labels.
 described by its byte make-up and by how much of it repeats, encoded by a learned layer, weighted
 by gated attention that is learned together with it, and the weighted passage representation gives
 the score. Training runs on the driver over a bounded sample of labelled documents
-(``train_docs``, and at most ``train_passages`` evenly spaced passages of each); scoring runs in
-tasks, over every passage of every document, in blocks of bounded size.
+(``train_docs`` rows, every passage of each: the driver holds 408 bytes a passage of 256 bytes);
+scoring runs in tasks, over every passage of every document, in blocks of bounded size.
 
 Defined results: a null or empty text is one empty passage and gets a score; labels other than 0
 and 1 and null labels are not learned from; a document labelled more than once counts once for
@@ -186,7 +186,7 @@ def _clean(df: DataFrame, text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", train_docs: int = 6000, train_passages: int = 64) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", train_docs: int = 6000) -> Model:
     """Fit on at most ``train_docs`` label rows, those with the smallest key hashes."""
     sample = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__y"))
     sample = sample.orderBy(F.xxhash64("__key"), "__key", "__y").limit(train_docs)
@@ -197,11 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
             data, starts, sizes = _bytes_of(batch.column("__t"))
             out = []
             for a, s in zip(starts.tolist(), sizes.tolist()):
-                n = int(passage_counts(np.array([s]))[0])
-                pick = np.unique(np.linspace(0, n - 1, min(n, train_passages)).astype(np.int64))
-                at, held = a + pick * PASSAGE, np.minimum(PASSAGE, s - pick * PASSAGE)
-                rows, width, _ = text_passages(data, at, held)
-                out.append(features(rows, width).tobytes())
+                parts = []
+                for at in range(a, a + max(s, 1), BLOCK * PASSAGE):
+                    rows, width, _ = text_passages(data, np.array([at]), np.array([min(BLOCK * PASSAGE, a + s - at)]))
+                    parts.append(features(rows, width).tobytes())
+                out.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column("__k").cast(pa.int64()), batch.column("__y"), pa.array(out, pa.binary())], names=["k", "y", "x"])
 
     got = rows.select(F.xxhash64("__k").alias("__k"), "__y", "__t").mapInArrow(describe, "k bigint, y double, x binary").toPandas()
