@@ -19,6 +19,7 @@ are integers.
 from __future__ import annotations
 
 import math
+import uuid
 
 import ahocorasick
 import pyarrow as pa
@@ -119,26 +120,27 @@ class Block:
         return [{"item_id": i, "edits": e, "start": -s, "end": at} for i, (e, at, s) in sorted(best.items())]
 
 
-_built: dict[int, Block] = {}
+_built: dict[str, Block] = {}
 
 
-def _block(sent, error_rate: float) -> Block:
-    """The automaton of a broadcast block, built once in a Python worker."""
-    if id(sent) not in _built:
+def _block(sent: tuple[str, float, list[tuple[int, str]]]) -> Block:
+    """The automaton of a broadcast block, built once in a Python worker; the block brings its own name."""
+    name, error_rate, items = sent
+    if name not in _built:
         _built.clear()
-        _built[id(sent)] = Block(sent, error_rate)
-    return _built[id(sent)]
+        _built[name] = Block(items, error_rate)
+    return _built[name]
 
 
 def _one_block(kept: DataFrame, items: list[tuple[int, str]], text: str, error_rate: float, last: bool, keep_text: bool) -> DataFrame:
-    sent = kept.sparkSession.sparkContext.broadcast(items)
+    sent = kept.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, error_rate, items))
     names = [c for c in kept.columns if c != "__t"] + ([] if last else ["__t"])
     names = [c for c in names if c not in ("hits",) and (keep_text or c != text)]
     schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("hits", T._parse_datatype_string(HIT))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        block = _block(sent.value, error_rate)
+        block = _block(sent.value)
         for batch in batches:
             old = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [[]] * len(batch)
             got = [[*a, *block.hits(t)] for a, t in zip(old, batch.column("__t").to_pylist())]
