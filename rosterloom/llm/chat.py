@@ -14,7 +14,8 @@ gives for those the cheapest cost from each state to each state, the driver join
 
 Defined results: roles are compared trimmed and lower-cased; any other or null role must be
 relabelled; a null text is empty; turns are ordered by ``turn`` (nulls first), rows with the same
-turn by the hash of role and text, and repeated rows are turns of their own; rows with a null
+turn by the hash of role and text, and repeated rows are turns of their own; ``<|`` inside a text
+is rendered as ``<\\|``, so that no text opens or closes a turn; rows with a null
 conversation id form one conversation; an empty table gives an empty table. The result has columns
 of its own, so extra input columns cannot clash.
 """
@@ -175,7 +176,7 @@ def _render(conv, rows, entry, leave, piece, turn, ends):
         turn += not merged
         fresh = False
         piece += 1
-        return (conv, piece - 1, turn - 1, *given, ROLES[role], action, head + text)
+        return (conv, piece - 1, turn - 1, *given, ROLES[role], action, head + text.replace("<|", "<\\|"))
 
     out = []
     for (t, r, x), (path, role, merged), number in zip(rows, repair(roles, entry, leave), roles):
