@@ -7,8 +7,8 @@ filterbanks and a hysteresis over the frame energies. Features come as an Arrow
 
 Defined results: a null text is the empty text; a text is padded with blanks to a positive multiple
 of ``UNIT`` bytes, so no file is empty; the last tensor is padded with ``FLOOR``; equal texts give
-equal bytes and features; bytes that are no such WAV file raise; an empty table gives an empty
-table. The columns that the functions add replace input columns of the same names.
+equal bytes and features; bytes that are no such WAV file raise; a row whose stored media are null
+stays, with null features; an empty table gives an empty table. The columns that the functions add replace input columns of the same names.
 """
 
 from __future__ import annotations
@@ -169,10 +169,12 @@ ADDED = T.StructType([
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with ``payload`` (the samples read back), ``n_frames``, ``segments`` and ``tensors``."""
-    kept = without(df, *ADDED.names).filter(F.col(media).isNotNull())
+    kept = without(df, *ADDED.names)
     names = kept.columns
 
-    def one(file: bytes) -> tuple:
+    def one(file: bytes | None) -> tuple:
+        if file is None:
+            return (None,) * len(ADDED)
         payload = from_wav(file)
         parts = list(log_mel(np.frombuffer(payload, np.uint8)))
         energy = np.concatenate([e for _, e in parts])
