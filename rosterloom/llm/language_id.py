@@ -113,6 +113,8 @@ def learn(counts: np.ndarray, langs: list[str]) -> Model:
     """``counts``: for each language, trigram buckets, word buckets and letters by script."""
 
     def logs(part: np.ndarray, smooth: float) -> np.ndarray:
+        if not len(part):
+            return np.zeros((part.shape[1], 0), np.float32)
         p = (part + smooth) / (part.sum(axis=1, keepdims=True) + smooth * part.shape[1])
         out = np.log(p)
         return (out - out.mean(axis=0)).T.astype(np.float32).copy()
