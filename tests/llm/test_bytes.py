@@ -158,3 +158,58 @@ def test_suffix_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in q.op10_suffix_dedup(spark, DATA).collect()}
     assert [got[k] for k in texts] == suffix_dedup.brute_force(list(texts.values()))
+
+
+def test_long_rows_merge_like_the_short_ones_do():
+    """Rows whose rounds merge many pairs give the ids of one pair a round, low new ranks included."""
+    r = random.Random(12)
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(q.RANKS))
+    for alphabet in ("a", "ab", "aA1", "etaoin", "中文字", "=-_", "0123456789abcdef"):
+        for n in (1, 2, 40, 300):
+            piece = np.frombuffer("".join(r.choice(alphabet) for _ in range(n)).encode(), np.uint8)
+            ids, counts = bpe.merge_rows(piece[None, :].copy(), np.array([len(piece)]), vocabulary)
+            assert bpe.merge_long(piece, vocabulary).tolist() == ids[0, : counts[0]].tolist()
+    # a made vocabulary in which a merge makes a pair of lower rank
+    tokens = [bytes([b]) for b in range(256)] + [b"xbc", b"bc", b"bcb", b"xb", b"cbc"]
+    made = bpe.Vocabulary(tokens)
+    for _ in range(300):
+        piece = np.frombuffer(bytes(r.choice(b"xbc") for _ in range(r.randint(2, 30))), np.uint8)
+        ids, counts = bpe.merge_rows(piece[None, :].copy(), np.array([len(piece)]), made)
+        assert bpe.merge_long(piece, made).tolist() == ids[0, : counts[0]].tolist()
+
+
+def test_features_against_direct_formulas(spark):
+    """Resampling as the sum over taps, the filterbank as a plain transform, one frame at a time."""
+    rng = np.random.default_rng(3)
+    samples = rng.integers(0, 256, 2000).astype(np.uint8)
+    wave = samples.astype(float) / 128 - 1
+    h = np.zeros(audio.UP * audio.TAPS)
+    for j in range(audio.UP):
+        h[j :: audio.UP] = audio.phase_filters()[j][::-1]
+    size = audio.resampled_size(len(samples))
+    want = [sum(h[m * audio.DOWN - audio.UP * k] * wave[k] for k in range(len(wave)) if 0 <= m * audio.DOWN - audio.UP * k < len(h)) for m in range(size)]
+    got = audio.resample(samples, 0, size)
+    assert np.allclose(got, want, atol=1e-4)
+    mel, energy = (np.concatenate(x) for x in zip(*audio.log_mel(samples)))
+    n = np.arange(audio.WINDOW)
+    for f in (0, 3, len(mel) - 1):
+        frame = np.zeros(audio.WINDOW)
+        part = np.array(want[f * audio.HOP : f * audio.HOP + audio.WINDOW])
+        frame[: len(part)] = part
+        frame *= 0.5 - 0.5 * np.cos(2 * np.pi * n / (audio.WINDOW - 1))
+        power = np.array([abs(sum(frame * np.exp(-2j * np.pi * k * n / audio.WINDOW))) ** 2 for k in range(audio.WINDOW // 2 + 1)])
+        assert np.allclose(10 ** mel[f], np.maximum(power @ audio.mel_filters(), 1e-10), rtol=2e-2, atol=1e-5)
+        assert np.isclose(10 ** energy[f], power.sum(), rtol=1e-2)
+    df = spark.createDataFrame([(1, None), (2, bytearray(audio.to_wav(b" " * 192)))], "id int, media binary")
+    rows = {r.id: r for r in audio.describe(df).collect()}
+    assert rows[1].payload is None and rows[1].segments is None and rows[2].n_frames > 0
+    assert audio.describe(df.filter("false")).collect() == []
+
+
+def test_audio_query_stores_every_text(spark):
+    import zlib
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in q.op9_audio(spark, DATA).collect():
+        payload = texts[r.doc_id] + b" " * (-len(texts[r.doc_id]) % 192 or (192 if not texts[r.doc_id] else 0))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))

@@ -36,6 +36,23 @@ def test_blocks_do_not_change_scores(monkeypatch):
         assert np.allclose(mil_quality.score_texts(data, np.cumsum(sizes) - sizes, sizes, model), whole)
 
 
+def test_scores_are_the_attention_sum_written_out():
+    """One softmax over all passages of a text, without blocks or running sums."""
+    rng = np.random.default_rng(2)
+    p = mil_quality._start(mil_quality.N_FEATURES, 6, 4, 0.3, rng)
+    model = mil_quality.Model(rng.normal(size=mil_quality.N_FEATURES), rng.random(mil_quality.N_FEATURES) + 0.5, p)
+    for n in (0, 5, 256, 3000):
+        text = bytes(rng.integers(32, 120, n).astype(np.uint8))
+        parts = [text[i : i + mil_quality.PASSAGE] for i in range(0, max(1, n), mil_quality.PASSAGE)]
+        x = np.concatenate([mil_quality.features(np.frombuffer(t.ljust(mil_quality.PASSAGE, b"\0"), np.uint8)[None, :], np.array([len(t)])) for t in parts])
+        h = np.tanh((x - model.mean) / model.scale @ p["w"] + p["b"])
+        e = (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]
+        w = np.exp(e) / np.exp(e).sum()
+        want = 1 / (1 + np.exp(-(w @ h @ p["c"] + p["d"])))
+        got = mil_quality.score_texts(np.frombuffer(text, np.uint8), np.array([0]), np.array([n]), model)[0]
+        assert abs(got - want) < 1e-6
+
+
 def test_quality_on_the_held_out_fold(spark):
     got = q.op4_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.93

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.llm import line_dedup, shuffle_shards
+from rosterloom.llm import queries as q
 
 
 @pytest.mark.parametrize("rows,blocks,per_block", [(5000, 64, 10**6), (3000, 150, 200), (7, 64, 10**6), (0, 64, 10**6)])
@@ -46,13 +47,13 @@ def test_matrix_has_the_margins_and_the_moments_of_a_uniform_shuffle(spark):
     assert 0.85 < excess < 1.15  # the variance of a hypergeometric draw, nearly binomial here
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio):
     pages, seen = Counter(h for h, _ in rows), defaultdict(set)
     for k, (h, t) in enumerate(rows):
         for x in (t or "").split("\n"):
             if x.strip(" "):
                 seen[h, x.strip(" ")].add(k)
-    drop = {key for key, v in seen.items() if len(v) >= least and len(v) > ratio * pages[key[0]]}
+    drop = {key for key, v in seen.items() if len(v) > 1 and len(v) > ratio * pages[key[0]]}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" ")) not in drop) for h, t in rows]
 
 
@@ -60,9 +61,9 @@ def test_lines_against_brute_force(spark):
     rows = [(f"h{k % 3}" if k % 17 else None, "\n".join(["menu", f"own {k}", " menu " if k % 2 else "", f"rare {k % 9}"])) for k in range(80)]
     rows += [("h0", None), ("h0", ""), ("h1", "menu"), ("lonely", "only"), ("h0", "x" * 100_000)]
     df = spark.createDataFrame([(k, *r, 9) for k, r in enumerate(rows)], "id int, host string, text string, N_LINES int")
-    for ratio, least in ((0.3, 5), (0.05, 2), (0.9, 1)):
-        got = {r.id: r.text for r in line_dedup.drop_lines(df, F.col("host"), ratio=ratio, min_pages=least).collect()}
-        assert [got[k] for k in range(len(rows))] == brute_lines(rows, ratio, least)
+    for ratio in (0.3, 0.05, 0.9):
+        got = {r.id: r.text for r in line_dedup.drop_lines(df, F.col("host"), ratio=ratio).collect()}
+        assert [got[k] for k in range(len(rows))] == brute_lines(rows, ratio)
 
 
 def test_lines_by_shuffle_instead_of_broadcast(spark, monkeypatch):
@@ -75,3 +76,26 @@ def test_lines_by_shuffle_instead_of_broadcast(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "host string, text string")
     assert line_dedup.drop_lines(df, F.col("host")).collect() == []
+
+
+def test_shard_query_on_whole_and_odd_rows(spark, tmp_path):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(10**6, None), (10**6, ""), (None, "é"), (None, "é")], "doc_id long, text string").withColumn("SIZE", F.lit("old")).withColumn("shard", F.lit(9))
+    docs.unionByName(odd, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text").collect()
+    got = q.op2_shards(spark, str(tmp_path)).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1 and {r.law for r in got} == {"rows"}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_line_query_without_a_guard_for_small_hosts(spark):
+    df = spark.createDataFrame([("small", "menu\nown a"), ("small", "menu\nown b"), ("lonely", "menu\nonly")], "host string, text string")
+    assert sorted(r.text for r in line_dedup.drop_lines(df, F.col("host")).collect()) == ["menu\nonly", "own a", "own b"]

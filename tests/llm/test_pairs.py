@@ -115,3 +115,53 @@ def test_contamination_edge_rows(spark, monkeypatch):
         assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 4, 6]
     assert decontaminate.find_hits(docs.filter("false"), items).collect() == []
     assert all(r.hits == [] for r in decontaminate.find_hits(docs, items.filter("false")).collect())
+
+
+def brute_hits(text, items):
+    """Edit distance of every item to the best place of the whole folded text, row by row."""
+    out = []
+    text = decontaminate.fold_text(text or "")
+    for number, item in items:
+        item, budget = decontaminate.fold_text(item or ""), int(len(decontaminate.fold_text(item or "")) * decontaminate.ERROR_RATE)
+        if not item:
+            continue
+        row = np.zeros(len(text) + 1, np.int64)
+        for i, c in enumerate(item, 1):
+            change = row[:-1] + np.array([x != c for x in text], np.int64)
+            new = np.minimum(np.concatenate([[i], change]), np.concatenate([[i], row[1:] + 1]))
+            new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            row = new
+        if row.min() <= budget:
+            out.append((number, int(row.min()), int(row.argmin())))
+    return sorted(out)
+
+
+def test_decontamination_query_against_whole_tables(spark, tmp_path):
+    r = random.Random(6)
+    items = [(k, " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 6))) for _ in range(12))) for k in range(12)]
+    damaged = lambda t, n: "".join(r.choice("xyz") if i in set(r.sample(range(len(t)), n)) else c for i, c in enumerate(t))
+    texts = [f"Lead in. {damaged(t, e).upper()}  and\nout" for _, t in items for e in (0, 1, 2, 3)] + [None, "", "unrelated words"]
+    spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, __t string, hits int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*items, (None, "no id"), (50, None), (51, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((x.doc_id, x.item_id, x.edits, x.end) for x in q.op3_decontaminate(spark, str(tmp_path)).collect())
+    assert got == sorted((k, *h) for k, t in enumerate(texts) for h in brute_hits(t, items))
+    spark_items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, HITS int")
+    found = decontaminate.find_hits(docs, spark_items)
+    assert sum(len(x.hits) for x in found.collect()) == len(got)
+
+
+@pytest.mark.parametrize("group", [1 << 16, 300, 40, 1])
+def test_cells_by_counts_find_every_link(spark, monkeypatch, group):
+    """Few and many stretches of bits, and the fall back to groups by hash, give the same components."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    r = random.Random(group)
+    base = [r.getrandbits(64) for _ in range(250)]
+    marks = sorted({0, 2**64 - 1, *base, *[b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base[:80]], *[b ^ (7 << r.randrange(60)) for b in base[:40]]})
+    df = spark.createDataFrame([(m - 2**64 if m >= 2**63 else m,) for m in marks], "fingerprint long")
+    pairs = [(x, y) for i, x in enumerate(marks) for y in marks[:i] if bin(x ^ y).count("1") <= 2]
+    spot = {m: k for k, m in enumerate(marks)}
+    want = simhash._forest(len(marks), np.array([spot[a] for a, _ in pairs]), np.array([spot[b] for _, b in pairs]))
+    rows = simhash.links(df, groups=7 if group == 1 else None).collect()
+    got = simhash._forest(len(marks), np.array([spot[x.a % 2**64] for x in rows]), np.array([spot[x.b % 2**64] for x in rows]))
+    assert (got == want).all()
