@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +33,44 @@ def parent_groups(walked: DataFrame) -> DataFrame:
     return above.groupBy("parent").agg(F.count_distinct("node").alias("members")).filter("members > 1")
 
 
+def _local_stars(batches):
+    """The links of a task's rows as stars around the least node of each local group."""
+    for batch in batches:
+        nodes, codes = np.unique(np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
+        a, b = codes[: len(batch)], codes[len(batch) :]
+        root = np.arange(len(nodes))
+        while len(a):
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        kind = batch.schema.field("a").type
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[root], kind)], names=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b).
 
-    Every node points to a node of its group, at first to its least neighbour. In each round a node
-    and the node it points to both take the least grandparent among the node's neighbours, and
-    pointers are shortened, so that long paths fold in a number of rounds like their logarithm.
-    Each round is cut by a checkpoint; no row holds more than one edge.
+    The edges that a task reads together are first contracted to stars, so that hot nodes and long
+    paths shrink before anything is shuffled. Then every node points to a node of its group, at first
+    to its least neighbour. In each round a node and the node it points to both take the least
+    grandparent among the node's neighbours, and pointers are shortened, so that long paths fold in a
+    number of rounds like their logarithm. Each round is cut by a checkpoint; no row holds more than
+    one edge.
     """
-    both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).filter("a is not null and b is not null").distinct())
+    known = edges.select("a", "b").filter("a is not null and b is not null")
+    known = known.mapInArrow(_local_stars, known.schema)
+    both = cut(known.unionAll(known.select("b", "a")).distinct())
     state = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")))
     for _ in range(rounds):
         known = state.join(state.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
         heard = both.join(known.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("heard"))
-        seen = cut(known.join(heard, "node").select("node", "up", "top", "heard"))
-        own = seen.select("node", F.least("top", "heard").alias("low"), F.col("up").alias("was"))
-        told = seen.select(F.col("up").alias("node"), F.col("heard").alias("low"), F.lit(None).cast(state.schema["node"].dataType).alias("was"))
-        after = cut(own.unionAll(told).groupBy("node").agg(F.min("low").alias("up"), F.max("was").alias("was")))
+        own = F.struct(F.col("node").alias("node"), F.least("top", "heard").alias("low"), F.col("up").alias("was"))
+        told = F.struct(F.col("up").alias("node"), F.col("heard").alias("low"), F.lit(None).cast(state.schema["node"].dataType).alias("was"))
+        said = known.join(heard, "node").select(F.explode(F.array(own, told)).alias("x")).select("x.*")
+        after = cut(said.groupBy("node").agg(F.min("low").alias("up"), F.max("was").alias("was")))
         state = after.select("node", "up")
         if after.filter("up < was").isEmpty():
             return state.withColumnRenamed("up", "component")
