@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from . import names
 
 #: Credentials that may trail a published name.
-CREDENTIALS = ["cfa", "cfp", "cpa", "cima", "chfc", "clu", "aif", "cdfa", "cpwa", "crpc", "crps", "aams", "awma", "mba", "jd", "phd", "ea"]
+CREDENTIALS = (
+    "cfa cfp cpa cima chfc clu aif aifa cdfa cpfa cpwa crpc crps crpsi aams accredited citp qka qpa qpfc cebs cfs cltc cmfc cpc crc csa caia cbe cfe "
+    "chsnc ea jd llm ll m mba ms msa msf mst phd ricp wmcp bfa cap afc shrmscp shrmcp sphr phr cpm clf fpqp iaccp cippus cipp cams frm abv pfs cva "
+    "cexp cep ctfa cwsi cws aep rma awma wms apma planner"
+).split()
+#: What is left of a trademark sign after a credential.
+MARKS = ["tm", "sm", "r"]
+#: Area codes that reach a queue, and labels of numbers from the best.
+TOLL_FREE = ["800", "833", "844", "855", "866", "877", "888"]
+LABELS = ["direct", "local", "office", "main", "branch"]
+_PHONE = r"(?<!\d)(?:\+?1[\s.\- ]?)?\(?\d{3}\)?[\s.\-]*\d{3}[\s.\-]*\d{4}(?!\d)"
 #: Subject lines of machines.
 AUTO_SUBJECT = r"(?i)^\s*(automatic reply|out of office|autoreply|auto:)"
 AUTO_PRECEDENCE = ["auto_reply", "bulk", "list", "junk"]
@@ -26,10 +36,8 @@ def email(text: Column) -> Column:
 
 
 def email_list(cell: Column) -> Column:
-    """The addresses in a cell: a JSON list, or split at semicolons, commas and blanks."""
-    listed = F.from_json(F.when(F.trim(cell).startswith("["), F.trim(cell)), "array<string>")
-    split = F.filter(F.split(cell, r"[;,\s]+"), lambda x: F.contains(x, F.lit("@")))
-    return F.coalesce(F.filter(listed, lambda x: F.trim(x) != ""), split, F.array().cast("array<string>"))
+    """All addresses in a cell, whatever parts them: a JSON list, semicolons, commas or blanks."""
+    return F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(r'[^\s;,"\[\]]+@[^\s;,"\[\]]+'), F.lit(0))
 
 
 def local_words(address: Column) -> Column:
@@ -44,39 +52,110 @@ def email_surname(address: Column) -> Column:
     return F.when(F.size(words) >= 2, F.element_at(words, -1))
 
 
+def email_given(address: Column) -> Column:
+    """The given names that an address of two words or more spells out."""
+    words = local_words(address)
+    return F.when(F.size(words) >= 2, F.slice(words, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
+
+
+def given_names_disagree(name: Column, ours: Column, theirs: Column) -> Column:
+    """Whether two addresses of one surname name different people; false where either tells no given name."""
+    last = F.regexp_replace(F.lower(F.try_element_at(F.split(F.trim(name), r"\s+"), F.lit(-1))), "[^a-z]", "")
+
+    def told(address: Column) -> Column:
+        words = F.split(F.lower(F.split(address, "@")[0]), r"[._\-0-9]+")
+        words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^a-z]", "")), lambda w: (F.length(w) > 1) & (w != F.coalesce(last, F.lit(""))))
+        return F.when(F.contains(address, F.lit("@")), words).otherwise(F.array().cast("array<string>"))
+
+    a, b = told(F.coalesce(ours, F.lit(""))), told(F.coalesce(theirs, F.lit("")))
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
 def own_email(name: Column, addresses: Column) -> Column:
     """The person's own address among several.
 
     The only address is theirs; else the first with surname and a form of the given name, then the
     first with surname and initial, then the one that alone has the surname, else none.
     """
-    last, given = names.surname(name), F.try_element_at(names.given(name), F.lit(1))
-    forms = names.forms(F.coalesce(given, F.lit("")))
-    with_last = F.filter(addresses, lambda a: F.array_contains(local_words(a), last))
-    named = F.filter(with_last, lambda a: F.exists(forms, lambda f: (f != "") & F.array_contains(local_words(a), f)))
-    initial = F.filter(with_last, lambda a: F.array_contains(local_words(a), F.substring(given, 1, 1)))
-    first = lambda found: F.try_element_at(found, F.lit(1))
-    several = F.coalesce(first(named), F.when(given.isNotNull(), first(initial)), F.when(F.size(with_last) == 1, first(with_last)))
-    return F.when(F.size(addresses) == 1, first(addresses)).when(last.isNotNull(), several)
+    bare = without_credentials(name)
+    last, given = names.surname(bare), F.try_element_at(names.given(bare), F.lit(1))
+    real = F.filter(F.transform(addresses, email), lambda a: a.isNotNull())
+    points = lambda a: F.when(~F.array_contains(local_words(a), last), 0).when(
+        given.isNotNull() & F.arrays_overlap(local_words(a), names.forms(F.coalesce(given, F.lit("")))), 3
+    ).when(given.isNotNull() & F.array_contains(local_words(a), F.substring(given, 1, 1)), 2).otherwise(1)
+    rated = F.filter(F.transform(real, lambda a: F.struct(points(a).alias("p"), a.alias("a"))), lambda x: x["p"] > 0)
+    best = F.array_max(F.transform(rated, lambda x: x["p"]))
+    top = F.filter(rated, lambda x: x["p"] == best)
+    several = F.when((best > 1) | (F.size(rated) == 1), F.try_element_at(top, F.lit(1))["a"])
+    return F.when((F.size(addresses) == 1) & (F.size(real) == 1), F.try_element_at(real, F.lit(1))).when(last != "", several)
 
 
 def without_credentials(name: Column) -> Column:
-    """Known credentials dropped from the comma parts; anything unknown stays."""
+    """A name without the comma parts that are known credentials, marked or not; anything unknown stays."""
+    known = [*CREDENTIALS, *[c + m for c in CREDENTIALS if len(c) > 1 for m in MARKS]]
     parts = F.transform(F.split(name, ","), lambda p: F.trim(p))
+    letters = lambda part: F.regexp_replace(F.lower(part), "[^a-z]", "")
+    rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda part: ~letters(part).isin("", *known))
+    return F.when(name.isNotNull(), F.array_join(F.concat(F.slice(parts, 1, 1), rest), ", "))
 
-    def stays(part: Column, position: Column) -> Column:
-        token = F.regexp_replace(F.lower(part), "[^a-z]", "")
-        bare = F.regexp_replace(token, "(tm|sm|r)$", "")
-        return (position == 0) | ((token != "") & ~token.isin(*CREDENTIALS) & ~bare.isin(*CREDENTIALS))
 
-    return F.array_join(F.filter(parts, stays), ", ")
+def _titled(words: Column) -> Column:
+    """Capitals at the start of words, and after apostrophes and hyphens."""
+    out = F.initcap(F.regexp_replace(F.lower(words), "(['-])", "$1 "))
+    return F.regexp_replace(out, "(['-]) ", "$1")
 
 
 def city_state(address: Column) -> Column:
-    """struct(city, state) from an address that ends in city, state and ZIP; nulls otherwise."""
-    pattern = r"(?:^|[,;]\s*|\d{4,}\s)([A-Za-z][A-Za-z .'\-]*?),?\s+([A-Z]{2})\s+\d{5}(?:-\d{4})?\s*$"
-    part = lambda i: F.nullif(F.regexp_extract(F.regexp_replace(F.trim(address), r"\s+", " "), pattern, i), F.lit(""))
-    return F.struct(part(1).alias("city"), part(2).alias("state"))
+    """struct(city, state) from an address that ends in city, state and ZIP; nulls otherwise.
+
+    The city is the words before the state, back to a number or a separator and without a unit
+    designator; capitals are cased.
+    """
+    words = F.filter(F.split(F.regexp_replace(address, "([,;])", " $1 "), r"\s+"), lambda w: w != "")
+    state, zipped = F.try_element_at(words, F.lit(-2)), F.try_element_at(words, F.lit(-1)).rlike(r"^\d{5}(-\d{4})?$")
+    back = F.reverse(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))))
+    back = F.when(F.try_element_at(back, F.lit(1)) == ",", F.slice(back, 2, F.greatest(F.size(back), F.lit(1)))).otherwise(back)
+    stop = F.array_position(F.transform(back, lambda w: ~w.rlike("^[A-Za-z.'-]+$")), True).cast("int")
+    city = F.reverse(F.when(stop > 0, F.slice(back, 1, stop - 1)).otherwise(back))
+    unit = (F.size(city) > 2) & F.upper(F.try_element_at(city, F.lit(1))).isin("STE", "SUITE", "UNIT", "FL", "FLOOR")
+    told = F.array_join(F.when(unit, F.slice(city, 3, F.size(city))).otherwise(city), " ")
+    told = F.when(told == F.upper(told), _titled(told)).otherwise(told)
+    good = zipped & state.rlike("^[A-Z]{2}$") & told.rlike("^[A-Za-z].")
+    return F.struct(F.when(good, told).alias("city"), F.when(good, state).alias("state"))
+
+
+def phone_digits(text: Column) -> Column:
+    """The digits of a number without a leading country code."""
+    digits = F.regexp_replace(text, r"\D", "")
+    return F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
+
+
+def e164(text: Column) -> Column:
+    """+1 and ten digits; null for what is no such number."""
+    digits = phone_digits(text)
+    return F.when(digits.rlike(r"^[2-9]\d{9}$"), F.concat(F.lit("+1"), digits))
+
+
+def _label_is(word: str):
+    return lambda x: F.lower(F.trim(x["label"])) == word
+
+
+def first_number(cell: Column) -> Column:
+    """One number out of a cell of several: the best label, else the first that is not toll-free, else the first."""
+    text = F.translate(F.coalesce(cell, F.lit("")), "\u00a0", " ")
+    labelled = rf"(?i)([A-Za-z][A-Za-z \-]*?)\s*Phone\s*:\s*({_PHONE})"
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(labelled), F.lit(1)).alias("label"), F.regexp_extract_all(text, F.lit(labelled), F.lit(2)).alias("number"))
+    named = [F.try_element_at(F.filter(found, _label_is(w)), F.lit(-1))["number"] for w in LABELS]
+    every = F.regexp_extract_all(text, F.lit(_PHONE), F.lit(0))
+    local = F.filter(every, lambda n: ~F.substring(phone_digits(n), 1, 3).isin(*TOLL_FREE))
+    return F.coalesce(*named, F.try_element_at(local, F.lit(1)), F.try_element_at(every, F.lit(1)))
+
+
+def team_name(cell: Column) -> Column:
+    """The name of a team from a plain cell, a JSON object or the first of a JSON list; null for none."""
+    text = F.trim(cell)
+    inside = lambda root: F.coalesce(*[F.nullif(F.trim(F.get_json_object(text, f"{root}.{k}")), F.lit("")) for k in ("team_name", "name", "title")])
+    return F.when(text.isin("", "[]", "{}", "nan"), F.lit(None)).when(text.startswith("["), inside("$[0]")).when(text.startswith("{"), inside("$")).otherwise(text)
 
 
 def absolute_url(url: Column, base: Column) -> Column:
@@ -127,13 +206,19 @@ def platform(code: Column, known: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(labels, F.substring(code, 1, 3)), F.element_at(labels, two), F.when(two == "", "(blank)").otherwise(two))
 
 
-def reply_kind(submitted: Column, precedence: Column, subject: Column) -> Column:
-    """auto_reply where the headers or the subject say that a machine wrote, else reply."""
-    machine = (F.lower(submitted) != "no") & (submitted != "")
-    bulk = F.lower(F.trim(precedence)).isin(*AUTO_PRECEDENCE)
-    said = subject.rlike(AUTO_SUBJECT)
-    hit = F.coalesce(machine, F.lit(False)) | F.coalesce(bulk, F.lit(False)) | F.coalesce(said, F.lit(False))
-    return F.when(hit, "auto_reply").otherwise("reply")
+def machine_wrote(headers: Column, subject: Column) -> Column:
+    """Whether a message answers by itself, from its headers (a map with lower-case names) and its subject."""
+    said = lambda name: F.coalesce(F.element_at(headers, F.lit(name)), F.lit(""))
+    flags = [said(h) != "" for h in ("x-auto-response-suppress", "x-autoreply", "x-autorespond")]
+    submitted = (said("auto-submitted") != "") & (F.lower(said("auto-submitted")) != "no")
+    precedence = F.lower(F.trim(said("precedence"))).isin(*AUTO_PRECEDENCE)
+    return F.coalesce(submitted | flags[0] | flags[1] | flags[2] | precedence, F.lit(False)) | F.coalesce(subject.rlike(AUTO_SUBJECT), F.lit(False))
+
+
+def reply_kind(headers: Column, subject: Column, report: Column | None = None) -> Column:
+    """bounce where the message is a delivery report, auto_reply where a machine wrote it, else reply."""
+    out = F.when(machine_wrote(headers, subject), "auto_reply").otherwise("reply")
+    return out if report is None else F.when(F.coalesce(report, F.lit(False)), "bounce").otherwise(out)
 
 
 def guard_level(n: Column, *steps: tuple[int, str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def number(text: Column) -> Column:
     """A filed number: padding and thousands commas go, anything else unreadable is null."""
-    return F.expr("try_cast(x as double)") if text is None else F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast("double")
+    return F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def flag(text: Column, yes: tuple[str, ...] = ("Y",)) -> Column:

@@ -7,15 +7,22 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Street suffixes and directions with their short forms.
+#: Street suffixes and directions with their short forms, longer directions first.
 SUFFIXES = {
-    "AVENUE": "AVE", "BOULEVARD": "BLVD", "CIRCLE": "CIR", "COURT": "CT", "DRIVE": "DR", "HIGHWAY": "HWY",
-    "LANE": "LN", "PARKWAY": "PKWY", "PLACE": "PL", "PLAZA": "PLZ", "ROAD": "RD", "SQUARE": "SQ", "STREET": "ST", "TERRACE": "TER",
+    "STREET": "ST", "ROAD": "RD", "AVENUE": "AVE", "DRIVE": "DR", "BOULEVARD": "BLVD", "PARKWAY": "PKWY", "LANE": "LN", "COURT": "CT",
+    "CIRCLE": "CIR", "PLACE": "PL", "TERRACE": "TER", "HIGHWAY": "HWY", "TRAIL": "TRL", "SQUARE": "SQ", "TURNPIKE": "TPKE", "EXPRESSWAY": "EXPY",
+    "CENTER": "CTR", "PLAZA": "PLZ", "POINT": "PT", "RIDGE": "RDG", "CROSSING": "XING", "EXTENSION": "EXT", "FREEWAY": "FWY", "JUNCTION": "JCT",
 }
-DIRECTIONS = {"NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW", "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W"}
-#: Legal forms that do not tell firms apart.
-LEGAL_FORMS = ["INCORPORATED", "INC", "LLC", "LLP", "LP", "LTD", "CORPORATION", "CORP", "COMPANY", "CO", "PLLC"]
-_UNIT = r"[\s,]+(SUITE|STE|UNIT|APT|FLOOR|FL|ROOM|RM|#).*$"
+DIRECTIONS = {
+    "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW", "NORTH EAST": "NE", "NORTH WEST": "NW", "SOUTH EAST": "SE", "SOUTH WEST": "SW",
+    "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W",
+}
+#: Designators of a part of a building.
+UNITS = ["SUITE", "STE", "FLOOR", "FL", "UNIT", "APT", "APARTMENT", "ROOM", "RM", "BLDG", "BUILDING"]
+#: Legal forms that do not tell firms apart; blanks stand where points stood.
+LEGAL_FORMS = ["INC", "INCORPORATED", "LLC", "L L C", "LLP", "LP", "L P", "LTD", "CO", "COMPANY", "CORP", "CORPORATION", "PLLC", "PC", "PA", "SA", "NA", "N A", "TRUST", "GROUP"]
+#: Filed placeholders that are no names.
+NO_NAMES = ["SAME", "NA", "NONE", "N A", "NOT APPLICABLE", "SEE ABOVE", "NULL"]
 
 
 def blank_to_null(text: Column) -> Column:
@@ -47,20 +54,42 @@ def loose_contains(text: Column, term: Column) -> Column:
     return F.contains(loose(text), loose(term)) | ((F.length(tight) >= 3) & F.contains(F.replace(loose(text), F.lit(" "), F.lit("")), tight))
 
 
+def _squeeze(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def firm_key(name: Column) -> Column:
     """Firm names that differ in case, ampersands, punctuation or legal form compare equal."""
-    out = F.replace(F.upper(name), F.lit("&"), F.lit(" AND "))
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, "[^A-Z0-9 ]", ""), " +", " "))
-    return F.trim(F.regexp_replace(out, f"( ({'|'.join(LEGAL_FORMS)}))+$", ""))
+    plain = F.regexp_replace(F.replace(F.upper(name), F.lit("&"), F.lit(" AND ")), r"[^\w\s]", " ")
+    forms = "|".join(f.replace(" ", r"\s*") for f in LEGAL_FORMS)
+    return _squeeze(F.regexp_replace(plain, rf"\b({forms})\b", " "))
+
+
+def aliases(current: Column, others: Column) -> Column:
+    """The distinct other names of a firm in filed order: no placeholders, none that equals the current name or an earlier one."""
+    keyed = F.filter(F.transform(F.coalesce(others, F.array().cast("array<string>")), lambda n: F.struct(F.trim(n).alias("n"), firm_key(n).alias("k"))), lambda x: (F.length(x["k"]) >= 3) & ~x["k"].isin(*NO_NAMES) & (x["k"] != firm_key(current)))
+    first = F.filter(keyed, lambda x, i: ~F.array_contains(F.transform(F.slice(keyed, 1, i), lambda y: y["k"]), x["k"]))
+    return F.transform(first, lambda x: x["n"])
 
 
 def street(line: Column) -> Column:
-    """A street line for comparison; null unless it begins with a house number."""
-    out = F.regexp_replace(F.upper(F.trim(line)), "[.]", "")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, _UNIT, ""), r"\s+", " "))
+    """A street line for comparison; null unless it begins with a digit.
+
+    A building's name before a dash goes, so does what follows a unit designator or a comma.
+    """
+    out = _squeeze(F.replace(F.upper(line), F.lit("."), F.lit(" ")))
+    out = F.regexp_replace(out, r"^[A-Z][A-Z '-]*[-–] ?(?=\d)", "")
+    out = F.regexp_replace(out, rf"[ ,]*(\b({'|'.join(UNITS)})\b|(?<=\w)#(?=\w)).*$", "")
+    out = F.split(out, " ?,")[0]
     for long, short in [*DIRECTIONS.items(), *SUFFIXES.items()]:
         out = F.regexp_replace(out, rf"\b{long}\b", short)
-    return F.when(out.rlike(r"^\d+ "), out)
+    out = _squeeze(out)
+    return F.when(out.rlike(r"^\d"), out)
+
+
+def street_of(line1: Column, line2: Column) -> Column:
+    """The line that carries a street address, the first if both do."""
+    return F.coalesce(street(line1), street(line2))
 
 
 def house_number(line: Column) -> Column:
@@ -83,26 +112,44 @@ def pretty_phone(digits: Column) -> Column:
 
 
 def money(text: Column) -> Column:
-    """"$5.7B", "250M", "900K" and plain numbers as doubles."""
-    clean = F.upper(F.regexp_replace(text, "[$, ]", ""))
-    amount = F.regexp_extract(clean, r"^([0-9]*\.?[0-9]+)", 1).try_cast("double")
-    unit = F.regexp_extract(clean, r"^[0-9.]+([BMK])", 1)
+    """"over $5.7B", "250 M", "900K" and plain numbers as doubles; the first amount in the text."""
+    found = lambda k: F.regexp_extract(text, r"(?i)\$?\s*([\d.,]+)\s*([BMK])?", k)
+    amount, unit = F.replace(found(1), F.lit(","), F.lit("")).try_cast("double"), F.upper(found(2))
     return amount * F.when(unit == "B", 1e9).when(unit == "M", 1e6).when(unit == "K", 1e3).otherwise(1.0)
 
 
+#: Typographic variants and ligatures with what they stand for.
+VARIANTS = ("‘’‚‛“”„–—−\u00a0\ufffd", "'" * 4 + '"' * 3 + "-" * 3 + " " * 2)
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+
+
 def fold_quote(text: Column) -> Column:
     """Curly quotes, dashes, ligatures, white space and case folded, for containment tests."""
-    out = F.translate(text, "‘’“”–— ", "''\"\"-- ")
-    for ligature, plain in (("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "...")):
+    out = F.translate(text, *VARIANTS)
+    for ligature, plain in LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(plain))
-    return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
+    return F.lower(_squeeze(out))
 
 
 def quote_present(text: Column, quote: Column, least: int = 12) -> Column:
-    """Contained, or each ellipsis-split part longer than ``least`` characters is."""
+    """Contained, or split at its ellipses each part longer than ``least`` characters is (and there is one)."""
     body, said = fold_quote(text), fold_quote(quote)
-    parts = F.filter(F.split(said, r"\.\.\."), lambda p: F.length(F.trim(p)) > least)
-    return F.contains(body, said) | ((F.size(parts) > 0) & F.contains(said, F.lit("...")) & F.forall(parts, lambda p: F.contains(body, F.trim(p))))
+    parts = F.filter(F.split(said, r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > least)
+    return (said != "") & (F.contains(body, said) | ((F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(body, p))))
+
+
+#: What a field says when it was not found, or found absent.
+NEGATIVE = ["no", "false", "none", "not_stated", "null", ""]
+
+
+def quote_status(given: Column, value: Column, quote: Column, source: Column) -> Column:
+    """Of one extracted field: missing, not stated, a negative finding, without quote, verified or not in the source."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return (
+        F.when(~F.coalesce(given, F.lit(False)), "missing_field").when(value.isNull() | value.isin("", "null", "not_stated"), "not_stated")
+        .when(low(value).isin(*NEGATIVE), "negative_finding").when(low(quote).isin(*NEGATIVE), "VALUE_WITHOUT_QUOTE")
+        .when(F.coalesce(quote_present(source, quote), F.lit(False)), "verified").otherwise("QUOTE_NOT_IN_SOURCE")
+    )
 
 
 def csv_guard(text: Column) -> Column:

@@ -20,12 +20,22 @@ def reconcile(allocated: DataFrame, totals: DataFrame, owner: str, total: str) -
     return totals.agg(F.sum(total).alias("stated")).crossJoin(with_rows).crossJoin(allocated.agg(F.coalesce(F.sum("allocated"), F.lit(0.0)).alias("allocated")))
 
 
-def latest_book(df: DataFrame, account: str, value: str, *stamps: Column) -> DataFrame:
-    """One row per account: the value with the latest stamp, and whether values conflict."""
-    w = Window.partitionBy(account)
-    out = df.withColumn("__rn", F.row_number().over(w.orderBy(*[s.desc() for s in stamps], F.col(value).desc())))
-    out = out.withColumn("holders", F.count("*").over(w)).withColumn("conflict", F.min(F.round(value, 2)).over(w) != F.max(F.round(value, 2)).over(w))
-    return out.filter("__rn = 1").drop("__rn")
+def latest_book(df: DataFrame, account: str, value: str, *stamps: Column, holder: Column | None = None) -> DataFrame:
+    """One row per account: the value with the latest stamp.
+
+    ``holders`` counts the distinct holders (rows without one given), ``conflict`` says that values
+    differ, ``unresolved`` that they do and the latest stamp is not alone.
+    """
+    order = F.struct(*stamps)
+    lead = F.struct(*stamps, F.col(value))
+    top = df.groupBy(account).agg(
+        F.max(order).alias("__stamp"), F.max(lead).alias("__lead"),
+        (F.count("*") if holder is None else F.count_distinct(holder)).alias("holders"),
+        (F.min(F.round(value, 2)) != F.max(F.round(value, 2))).alias("conflict"),
+    )
+    ties = df.select(F.col(account), order.alias("__stamp")).groupBy(account, "__stamp").agg(F.count("*").alias("__n"))
+    out = top.join(ties, [account, "__stamp"])
+    return out.select(account, F.col("__lead")[value].alias(value), "holders", "conflict", (F.col("conflict") & (F.col("__n") > 1)).alias("unresolved"))
 
 
 def union_total(holdings: DataFrame, accounts: DataFrame, account: str, value: str) -> DataFrame:

@@ -150,10 +150,23 @@ def runner_up(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
 
 
 def rolling_sum(df: DataFrame, key: str, stamp: str, value: str, seconds: int) -> Column:
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(stamp).cast("timestamp"))).rangeBetween(-(seconds - 1), 0)
+    """Sum over the key's rows of the last ``seconds``, a row exactly that old included."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(stamp).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return F.sum(value).over(w)
 
 
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Per key: values at places of the order of its values, from counts of equal values.
+
+    ``places`` gives for each name a place from 0 as a column of ``n``, the number of rows of the
+    key. No list of a key's values is built.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(value))
+    ranked = counts.withColumn("__upto", upto).withColumn("n", F.sum("__c").over(Window.partitionBy(*keys)))
+    return ranked.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name) for name, place in places.items()])
+
+
 def learned_map(df: DataFrame, key: str, value: str, least: int, share: float = 1.0) -> DataFrame:
     """key -> value where one value has ``share`` of at least ``least`` rows."""
     counts = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

@@ -31,29 +31,60 @@ def engagement_fold(spark, sf_dir):
     return _fold(spark, sf_dir).select("rep", "advisor", *stamps, "out_recent", "in_recent")
 
 
-@query(f"""WITH {FOLD}, r AS (SELECT *, CASE WHEN last_bounce >= coalesce(last_out, last_bounce) THEN 'bounced' WHEN last_reply > coalesce(last_out, TIMESTAMP '1970-01-01') THEN 'replied'
-  WHEN last_out < TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 'quiet' END AS reason FROM fold) SELECT rep, advisor, reason FROM r WHERE reason IS NOT NULL""")
+DECIDED = f"""{FOLD}, kept AS (SELECT user_id % 7 AS rep, user_id % 40 AS advisor, max(ts) AS acted_at, CASE (user_id % 40) % 5 WHEN 0 THEN 'follow_up' WHEN 1 THEN 'done' END AS reply_state,
+    CASE WHEN user_id % 40 % 6 = 0 THEN TIMESTAMP '2024-01-20' WHEN user_id % 40 % 6 = 1 THEN TIMESTAMP '2024-02-20' END AS next_action_at,
+    CASE WHEN user_id % 40 % 11 = 0 THEN TIMESTAMP '2024-01-26' WHEN user_id % 40 % 11 = 1 THEN TIMESTAMP '2024-01-24' END AS snoozed_until, user_id % 40 % 2 = 0 AS bounce_dismissed
+    FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+  state AS (SELECT fold.*, greatest(last_out, last_in) AS last_activity, next_action_at, snoozed_until, coalesce(bounce_dismissed, false) AS dismissed,
+    CASE WHEN last_reply IS NULL THEN coalesce(reply_state, 'none') WHEN acted_at IS NULL OR last_reply > acted_at THEN 'new' ELSE coalesce(reply_state, 'reviewed') END AS said FROM fold LEFT JOIN kept USING (rep, advisor))"""
+
+
+def _projection(spark, sf_dir):
+    """The fold with what reps decided, taken from purchases."""
+    a = F.col("user_id") % 40
+    at = lambda day: F.lit(day).cast("timestamp")
+    p = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+        (F.col("user_id") % 7).alias("rep"), a.alias("advisor"), "ts", F.when(a % 5 == 0, "follow_up").when(a % 5 == 1, "done").alias("reply_state"),
+        F.when(a % 6 == 0, at("2024-01-20")).when(a % 6 == 1, at("2024-02-20")).alias("next_action_at"),
+        F.when(a % 11 == 0, at("2024-01-26")).when(a % 11 == 1, at("2024-01-24")).alias("snoozed_until"), (a % 2 == 0).alias("bounce_dismissed"),
+    )
+    kept = p.groupBy("rep", "advisor", "reply_state", "next_action_at", "snoozed_until", "bounce_dismissed").agg(F.max("ts").alias("acted_at"))
+    return activity.fold(log(spark, sf_dir), ["rep", "advisor"], _as_of(), 14, decisions=kept)
+
+
+@query(f"""WITH {DECIDED}, r AS (SELECT rep, advisor, said AS reply_state, CASE WHEN snoozed_until > TIMESTAMP '{AS_OF}' THEN NULL WHEN said = 'new' AND last_reply IS NOT NULL THEN 'reply_new' WHEN said = 'follow_up' THEN 'reply_followup'
+    WHEN next_action_at <= TIMESTAMP '{AS_OF}' THEN 'due' WHEN last_bounce IS NOT NULL AND NOT dismissed THEN 'bounced' WHEN last_reply IS NOT NULL AND last_activity < TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 'quiet_warm' END AS reason,
+    last_activity FROM state)
+  SELECT rep, advisor, reply_state, reason, row_number() OVER (PARTITION BY rep ORDER BY list_position(['reply_new', 'reply_followup', 'due', 'bounced', 'quiet_warm'], reason), last_activity, advisor) AS place FROM r WHERE reason IS NOT NULL""")
 def attention_queue(spark, sf_dir):
-    return activity.attention(_fold(spark, sf_dir), _as_of(), 1).select("rep", "advisor", "reason")
+    """Whom each rep should work now: one reason a person, the most urgent and longest waiting first."""
+    w = Window.partitionBy("rep").orderBy("urgency", "last_activity", "advisor")
+    return activity.attention(_projection(spark, sf_dir), _as_of(), 1).select("rep", "advisor", "reply_state", "reason", F.row_number().over(w).alias("place"))
 
 
-@query(f"""WITH {FOLD}, again AS (SELECT * FROM fold WHERE rep <> 3), drift AS (SELECT rep, advisor FROM fold EXCEPT SELECT rep, advisor FROM again) SELECT rep, count(*) AS drifted FROM drift GROUP BY 1""")
+@query(f"""WITH {LOG}, old AS (SELECT rep, advisor, max(occurred_at) FILTER (direction = 'outbound') AS o, max(occurred_at) FILTER (direction = 'inbound') AS i FROM log WHERE occurred_at < TIMESTAMP '{AS_OF}' GROUP BY 1, 2),
+  new AS (SELECT rep, advisor, max(occurred_at) FILTER (direction = 'outbound') AS o, max(occurred_at) FILTER (direction = 'inbound') AS i FROM log GROUP BY 1, 2)
+  SELECT rep, advisor, CASE WHEN old.o IS DISTINCT FROM new.o THEN 'last_out' ELSE 'last_in' END AS "column" FROM old JOIN new USING (rep, advisor) WHERE old.o IS DISTINCT FROM new.o OR old.i IS DISTINCT FROM new.i""")
 def rebuild_drift(spark, sf_dir):
-    now = _fold(spark, sf_dir)
-    kept = now.filter("rep <> 3")
-    return now.exceptAll(kept).groupBy("rep").agg(F.count("*").alias("drifted"))
+    """A stored projection of the log up to a day against one made anew from the whole log."""
+    whole = log(spark, sf_dir)
+    stored = activity.fold(whole.filter(F.col("occurred_at") < _as_of()), ["rep", "advisor"], _as_of(), 14)
+    return activity.drift(stored, activity.fold(whole, ["rep", "advisor"], _as_of(), 14), ["rep", "advisor"], ["last_out", "last_in"])
 
 
-@query("""SELECT event_id, CASE WHEN code LIKE '5.7.%' OR regexp_matches(lower(props), 'spam|blocked|policy') THEN 'policy' WHEN code IN ('5.1.1', '5.1.2', '5.1.3', '5.1.6', '5.1.10', '5.4.1') THEN 'hard'
-  WHEN regexp_matches(code, '^[45]\\.') THEN 'soft' END AS kind FROM (SELECT event_id, props, CASE event_id % 4 WHEN 0 THEN '5.1.1' WHEN 1 THEN '5.7.1' WHEN 2 THEN '4.2.2' ELSE '' END AS code FROM events WHERE event_type = 'error')""")
+REPORT = """CASE event_id % 8 WHEN 0 THEN '5.1.1' WHEN 1 THEN '5.7.1' WHEN 2 THEN '4.2.2' WHEN 3 THEN '5.1.8' WHEN 4 THEN '5.2.2' WHEN 5 THEN '2.0.0' WHEN 6 THEN '550' ELSE '' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, {REPORT} AS code FROM events WHERE event_type = 'error')
+  SELECT event_id, CASE WHEN code IN ('', '2.0.0') THEN NULL WHEN code LIKE '4.%' THEN 'soft' WHEN code IN ('5.2.2', '5.7.1') THEN 'policy' ELSE 'hard' END AS kind, CASE WHEN code NOT IN ('', '2.0.0') THEN code END AS code FROM r""")
 def bounce_classify(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    k = F.col("event_id") % 4
-    said = F.concat(F.lit("smtp; 550 "), F.when(k == 0, "5.1.1").when(k == 1, "5.7.1").when(k == 2, "4.2.2").otherwise("none"), F.lit(" rejected"))
-    return e.select("event_id", activity.bounce_kind(said, F.col("props")).alias("kind"))
+    codes = ["Status: 5.1.1", "status: 5.07.1", "Status: 4.2.2", "Status: 5.1.8", "Status: 5.2.2", "Status: 2.0.0", "smtp; 550 refused", "blocked as spam"]
+    said = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 8 + 1).cast("int"))
+    return e.select("event_id", activity.bounce(F.concat(F.lit("The report says: "), said)).alias("b")).select("event_id", "b.kind", "b.code")
 
 
-@query("""SELECT event_id, sum(1) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)::BIGINT AS used FROM (SELECT *, epoch(date_trunc('second', ts)) AS s FROM events)""".replace("epoch(ts)::BIGINT", "s::BIGINT"))
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS used FROM events""")
 def rolling_limit(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("one", F.lit(1))
     return e.select("event_id", relational.rolling_sum(e, "user_id", "ts", "one", 86400).alias("used"))
@@ -75,13 +106,25 @@ def domain_interleave(spark, sf_dir):
     return relational.interleave(e, "domain", "event_id")
 
 
-@query("""WITH b AS (SELECT user_id % 7 AS rep, event_id % 5 AS domain, (event_type = 'view')::INT AS s, (event_type = 'error')::INT AS b FROM events WHERE event_type IN ('view', 'error')),
-  g AS (SELECT rep, domain, sum(s)::BIGINT AS sent, sum(b)::BIGINT AS bounced FROM b GROUP BY ROLLUP (rep, domain) HAVING rep IS NOT NULL)
-  SELECT rep, domain::VARCHAR AS domain, sent, bounced, CASE WHEN sent < 30 THEN 'too_few' WHEN bounced * 100 > sent * 5 THEN 'bad' WHEN bounced * 100 > sent * 2 THEN 'watch' ELSE 'good' END AS level FROM g""")
+@query("""WITH e AS (SELECT user_id % 7 AS rep, (event_id % 5)::VARCHAR AS domain, CASE WHEN event_type = 'view' THEN 'sent' WHEN event_type = 'signup' THEN 'unsubscribed' WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' ELSE 'policy' END END AS kind FROM events),
+  g AS (SELECT rep, domain, count(*) FILTER (kind = 'sent') AS sent, count(*) FILTER (kind = 'hard') AS hard, count(*) FILTER (kind = 'soft') AS soft, count(*) FILTER (kind = 'policy') AS policy, count(*) FILTER (kind = 'unsubscribed') AS unsubscribed
+    FROM e WHERE kind IS NOT NULL GROUP BY ROLLUP (rep, domain) HAVING rep IS NOT NULL)
+  SELECT *, CASE WHEN sent < 30 THEN 'unknown' WHEN hard * 100 >= sent * 5 THEN 'bad' WHEN hard * 100 >= sent * 2 THEN 'warn' ELSE 'ok' END AS hard_level,
+    CASE WHEN sent < 30 THEN 'unknown' WHEN soft * 100 >= sent * 25 THEN 'bad' WHEN soft * 100 >= sent * 10 THEN 'warn' ELSE 'ok' END AS soft_level,
+    CASE WHEN sent < 30 THEN 'unknown' WHEN policy * 100 >= sent * 3 THEN 'bad' WHEN policy * 100 >= sent * 1 THEN 'warn' ELSE 'ok' END AS policy_level,
+    CASE WHEN sent < 30 THEN 'unknown' WHEN unsubscribed * 100 >= sent * 3 THEN 'bad' WHEN unsubscribed * 100 >= sent * 1 THEN 'warn' ELSE 'ok' END AS unsubscribed_level FROM g""")
 def sender_health(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("rep"), (F.col("event_id") % 5).alias("domain"), "event_type")
-    out = activity.health(e.filter("event_type = 'view'"), e.filter("event_type = 'error'"), "rep", "domain")
-    return out.withColumn("domain", F.col("domain").cast("string"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("rep"), (F.col("event_id") % 5).alias("domain"), "event_type", "event_id")
+    k = F.col("event_id") % 3
+    reports = e.filter("event_type = 'error'").withColumn("kind", F.when(k == 0, "hard").when(k == 1, "soft").otherwise("policy"))
+    return activity.health(e.filter("event_type = 'view'"), reports, e.filter("event_type = 'signup'"), "rep", "domain")
+
+
+@query("""WITH n AS (SELECT user_id % 7 AS rep, '5.1.' || event_id % 13 AS code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY n DESC, code) AS place FROM n)
+  SELECT * FROM r WHERE place <= 8""")
+def sender_codes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return activity.top_codes(e.select((F.col("user_id") % 7).alias("rep"), F.concat(F.lit("5.1."), (F.col("event_id") % 13).cast("string")).alias("code")), "rep", "code")
 
 
 @query("""SELECT user_id AS member, arg_max(event_type, (ts, event_id)) AS outcome, count(*) AS touches FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1""")
@@ -90,29 +133,33 @@ def cycle_progress(spark, sf_dir):
     return e.groupBy(F.col("user_id").alias("member")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("outcome"), F.count("*").alias("touches"))
 
 
-@query("""WITH b AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-  SELECT event_id, coalesce(epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', before))::BIGINT < 3600, false) AS too_soon FROM b""")
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  f AS (SELECT user_id, event_id, ts AS last, k, true AS admitted FROM o WHERE k = 1 UNION ALL
+    SELECT o.user_id, o.event_id, CASE WHEN o.ts - f.last >= INTERVAL 6 HOUR THEN o.ts ELSE f.last END, o.k, o.ts - f.last >= INTERVAL 6 HOUR FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+  SELECT event_id, admitted FROM f""")
 def pacing_gate(spark, sf_dir):
-    return activity.too_soon(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600).select("event_id", "too_soon")
+    """Events at least six hours after the last one that was let through."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return activity.admitted(e, "user_id", "ts", "event_id", 6 * 3600).select("event_id", "admitted")
 
 
 CODES = "CASE user_id % 8 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'C' WHEN 3 THEN 'P' WHEN 4 THEN '3' WHEN 5 THEN 'N' WHEN 6 THEN 'NC' ELSE 'U' END"
 
 
 @query(f"""WITH c AS (SELECT event_id % 500 AS address, {CODES} AS code FROM events WHERE event_type IN ('error', 'signup')),
-  k AS (SELECT address, arg_max(code, list_position(['1', '2', 'C', 'P', '3', 'N', 'NC', 'U'], code)) AS code FROM c GROUP BY 1)
+  k AS (SELECT address, arg_max(code, (CASE code WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN 'C' THEN 1 WHEN 'P' THEN 2 WHEN '3' THEN 3 WHEN 'N' THEN 4 WHEN 'NC' THEN 5 ELSE 6 END, code)) AS code FROM c GROUP BY 1)
   SELECT c_custkey AS person, code FROM customer LEFT JOIN k ON address = c_custkey WHERE code IS NULL OR code IN ('1', '2', 'C')""")
 def suppression_floor(spark, sf_dir):
     m = F.col("user_id") % 8
-    code = F.element_at(F.array(*[F.lit(c) for c in activity.CODE_ORDER]), (m + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, ["1", "2", "C", "P", "3", "N", "NC", "U"])), (m + 1).cast("int"))
     c = table(spark, sf_dir, "events").filter("event_type in ('error', 'signup')").select((F.col("event_id") % 500).alias("person"), code.alias("code"))
     held = activity.strongest_code(c, "person", "code")
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
     return people.join(held, "person", "left").filter("code is null or code in ('1', '2', 'C')")
 
 
-@query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS reply, user_id, ts FROM events WHERE event_type = 'click')
-  SELECT reply, s.event_id::VARCHAR AS sent FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.ts >= s.ts""".replace("SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'", "SELECT max(event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts"))
+@query("""WITH s AS (SELECT max(event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts), r AS (SELECT event_id AS reply, user_id, ts FROM events WHERE event_type = 'click')
+  SELECT reply, s.event_id::VARCHAR AS sent FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.ts >= s.ts""")
 def latest_sender(spark, sf_dir):
     """Each reply with the latest message sent to the same party before it."""
     e = table(spark, sf_dir, "events").filter("event_type in ('view', 'click')")
@@ -149,12 +196,14 @@ def batch_validation(spark, sf_dir):
     return e.select("event_id", F.array_join(found, ", ").alias("errors"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Message sent' WHEN 'click' THEN 'Reply received' WHEN 'error' THEN 'Delivery failed' ELSE 'Other: ' || event_type END AS label
-  FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 50""")
+@query("""WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'Message sent' WHEN 'click' THEN 'Reply received' WHEN 'error' THEN 'Delivery failed' ELSE 'Other: ' || event_type END AS label,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) SELECT * FROM r WHERE place <= 50""")
 def activity_timeline(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id = 7")
+    """The fifty latest events of every user."""
+    e = table(spark, sf_dir, "events")
     label = F.when(F.col("event_type") == "view", "Message sent").when(F.col("event_type") == "click", "Reply received").when(F.col("event_type") == "error", "Delivery failed").otherwise(F.concat(F.lit("Other: "), "event_type"))
-    return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", label.alias("label"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    return e.select("user_id", "event_id", label.alias("label"), F.row_number().over(w).alias("place")).filter("place <= 50")
 
 
 @query("""SELECT event_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0""")

@@ -90,14 +90,15 @@ def account_platform(spark, sf_dir):
     return _part(spark, sf_dir).select(F.col("p_partkey").alias("id"), code.alias("code"), contacts.platform(code, known).alias("platform"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'signup' OR event_id % 7 = 0 OR event_id % 11 = 0 THEN 'auto_reply' ELSE 'reply' END AS kind FROM events""")
+@query("""SELECT event_id, CASE WHEN event_type = 'signup' OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 THEN 'auto_reply' ELSE 'reply' END AS kind FROM events""")
 def reply_kinds(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
-    submitted = F.when(F.col("event_type") == "signup", "auto-replied").when(k % 2 == 0, "no")
-    precedence = F.when(k % 7 == 0, " Bulk ")
+    header = lambda test, name, value: F.when(test, F.struct(F.lit(name).alias("n"), F.lit(value).alias("v")))
+    signup = F.col("event_type") == "signup"
+    told = [header(signup, "auto-submitted", "auto-replied"), header(~signup & (k % 2 == 0), "auto-submitted", "no"), header(k % 7 == 0, "precedence", " Bulk "), header(k % 13 == 0, "x-auto-response-suppress", "All"), header(k % 17 == 0, "x-autorespond", "yes")]
     subject = F.when(k % 11 == 0, "Out of Office: back soon").otherwise(F.concat(F.lit("Re: "), "event_type"))
-    return e.select("event_id", contacts.reply_kind(submitted, precedence, subject).alias("kind"))
+    return e.select("event_id", contacts.reply_kind(F.map_from_entries(F.array_compact(F.array(*told))), subject).alias("kind"))
 
 
 @query("""SELECT user_id, count(*) AS n, CASE WHEN count(*) > 90 THEN 'drafts' WHEN count(*) > 70 THEN 'elevated' WHEN count(*) > 50 THEN 'large' ELSE 'normal' END AS level FROM events GROUP BY 1""")
@@ -140,7 +141,7 @@ def snapshot_moves(spark, sf_dir):
 
 @query("""WITH k AS (SELECT DISTINCT s_nationkey FROM supplier), w AS (SELECT c_mktsegment AS source, CASE WHEN c_acctbal < 0 THEN 'no_surname' WHEN c_nationkey NOT IN (SELECT s_nationkey FROM k) THEN 'surname_unknown'
     WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'no_given_match' WHEN c_acctbal < 3000 THEN 'scored_low' END AS why FROM customer)
-  SELECT source, why, count(*) AS n, round((count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source))::DECIMAL(28,8), 4)::DOUBLE AS share FROM w GROUP BY 1, 2""")
+  SELECT source, why, count(*) AS n, round_even((count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source))::DECIMAL(28,8), 4)::DOUBLE AS share FROM w GROUP BY 1, 2""")
 def loss_causes(spark, sf_dir):
     """Why rows did not match, by source, the first cause that holds; matched rows have none."""
     c = table(spark, sf_dir, "customer")
@@ -150,7 +151,7 @@ def loss_causes(spark, sf_dir):
     why = F.when(F.col("c_acctbal") < 0, "no_surname").when(~F.col("known"), "surname_unknown").when(~F.col("given"), "no_given_match").when(F.col("c_acctbal") < 3000, "scored_low")
     counts = c.groupBy(F.col("c_mktsegment").alias("source"), why.alias("why")).agg(F.count("*").alias("n"))
     total = counts.groupBy("source").agg(F.sum("n").alias("all"))
-    share = F.round((F.col("n") / F.col("all")).cast("decimal(28,8)"), 4).cast("double")
+    share = F.bround((F.col("n") / F.col("all")).cast("decimal(28,8)"), 4).cast("double")
     return counts.join(total, "source").select("source", "why", "n", share.alias("share"))
 
 

@@ -12,7 +12,7 @@ from .base import FIRMS, OFFICES, accounts, firms, holdings, offices, query, tab
 
 
 def _dec(c, places=4):
-    return F.round(c.cast("decimal(28,8)"), places).cast("double")
+    return F.bround(c.cast("decimal(28,8)"), places).cast("double")
 
 
 def _share():
@@ -43,8 +43,8 @@ pts AS (SELECT *, CASE WHEN assets IS NULL THEN 'insufficient_data' WHEN balance
   40 * CASE WHEN assets > 0 THEN least(greatest((log10(greatest(assets::DOUBLE, 1e5)) - 5) / 4, 0), 1) ELSE 0 END AS p1,
   35 * CASE WHEN people > 0 THEN least(greatest((log10(greatest(people::DOUBLE, 1)) - 0) / 3, 0), 1) ELSE 0 END AS p2,
   25 * coalesce(retail_share, 0) AS p3 FROM shared),
-scored AS (SELECT *, round(p1::DECIMAL(28,8), 3)::DOUBLE AS size_pts, round(p2::DECIMAL(28,8), 3)::DOUBLE AS reach_pts,
-  round(p3::DECIMAL(28,8), 3)::DOUBLE AS retail_pts, round((p1 + p2 + p3)::DECIMAL(28,8), 3)::DOUBLE AS score FROM pts)"""
+scored AS (SELECT *, round_even(p1::DECIMAL(28,8), 3)::DOUBLE AS size_pts, round_even(p2::DECIMAL(28,8), 3)::DOUBLE AS reach_pts,
+  round_even(p3::DECIMAL(28,8), 3)::DOUBLE AS retail_pts, round_even((p1 + p2 + p3)::DECIMAL(28,8), 3)::DOUBLE AS score FROM pts)"""
 
 
 @query(f"WITH {SCORED} SELECT crd, name, motion, size_pts, reach_pts, retail_pts, score FROM scored")
@@ -53,7 +53,7 @@ def firm_score_cascade(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED} SELECT crd, motion,
-  round(((rank() OVER (PARTITION BY motion ORDER BY score) + (count(*) OVER (PARTITION BY motion, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY motion))::DECIMAL(28,8), 6)::DOUBLE AS pct
+  round_even(((rank() OVER (PARTITION BY motion ORDER BY score) + (count(*) OVER (PARTITION BY motion, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY motion))::DECIMAL(28,8), 6)::DOUBLE AS pct
   FROM scored""")
 def score_pct_in_motion(spark, sf_dir):
     pct = numeric.percent_rank_average(F.col("score"), "motion")
@@ -98,14 +98,14 @@ def _allocated(spark, sf_dir):
     return allocation.allocate(offices(spark, sf_dir), totals, "firm", "person", "assets"), totals
 
 
-@query(f"WITH {ALLOCATED} SELECT firm, person, office, round(allocated::DECIMAL(28,8), 4)::DOUBLE AS allocated FROM allocated")
+@query(f"WITH {ALLOCATED} SELECT firm, person, office, round_even(allocated::DECIMAL(28,8), 4)::DOUBLE AS allocated FROM allocated")
 def allocate_by_branch(spark, sf_dir):
     return _allocated(spark, sf_dir)[0].select("firm", "person", "office", _dec(F.col("allocated")).alias("allocated"))
 
 
-@query(f"""WITH {ALLOCATED} SELECT round((SELECT sum(assets) FROM firms)::DECIMAL(28,8), 0)::DOUBLE AS stated,
-  round((SELECT sum(assets) FROM firms WHERE crd IN (SELECT firm FROM offices))::DECIMAL(28,8), 0)::DOUBLE AS reconcilable,
-  round((SELECT sum(allocated) FROM allocated)::DECIMAL(28,8), 0)::DOUBLE AS allocated""")
+@query(f"""WITH {ALLOCATED} SELECT round_even((SELECT sum(assets) FROM firms)::DECIMAL(28,8), 0)::DOUBLE AS stated,
+  round_even((SELECT sum(assets) FROM firms WHERE crd IN (SELECT firm FROM offices))::DECIMAL(28,8), 0)::DOUBLE AS reconcilable,
+  round_even((SELECT sum(allocated) FROM allocated)::DECIMAL(28,8), 0)::DOUBLE AS allocated""")
 def allocation_reconciles(spark, sf_dir):
     rows, totals = _allocated(spark, sf_dir)
     return allocation.reconcile(rows, totals, "firm", "assets").select(*[_dec(F.col(c), 0).alias(c) for c in ("stated", "reconcilable", "allocated")])
@@ -132,7 +132,7 @@ def first_exam_argmin(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT o_custkey AS person, date_diff('day', min(o_orderdate)::DATE, DATE '1998-12-31') AS days FROM orders GROUP BY 1),
-  y AS (SELECT person, round((days / 365.25)::DECIMAL(28,8), 1)::DOUBLE AS years FROM f)
+  y AS (SELECT person, round_even((days / 365.25)::DECIMAL(28,8), 1)::DOUBLE AS years FROM f)
   SELECT person, years, CASE WHEN years <= 2 THEN 'new' WHEN years <= 4 THEN 'settled' WHEN years <= 6 THEN 'senior' ELSE 'veteran' END AS band FROM y""")
 def experience_bands(spark, sf_dir):
     days = F.datediff(F.lit("1998-12-31").cast("date"), F.min("stamp").cast("date"))
@@ -147,14 +147,12 @@ def unique_display_name(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(twice, F.concat(F.lit(" ("), "p_brand", F.lit(", "), F.col("p_partkey").cast("string"), F.lit(")"))).otherwise("")).alias("display"))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS account, l_extendedprice AS value, l_shipdate, l_linenumber, l_partkey,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS rn,
-  count(*) OVER (PARTITION BY l_orderkey) AS holders,
-  min(round(l_extendedprice, 2)) OVER (PARTITION BY l_orderkey) <> max(round(l_extendedprice, 2)) OVER (PARTITION BY l_orderkey) AS conflict FROM lineitem)
-  SELECT account, value, holders, conflict FROM b WHERE rn = 1""")
+@query("""WITH b AS (SELECT l_orderkey AS account, l_extendedprice AS value, (l_shipdate, l_linenumber) AS stamp, l_suppkey FROM lineitem),
+  t AS (SELECT account, max(stamp) AS top, count(DISTINCT l_suppkey) AS holders, min(round(value, 2)) <> max(round(value, 2)) AS conflict FROM b GROUP BY 1)
+  SELECT account, max(value) AS value, any_value(holders) AS holders, any_value(conflict) AS conflict, any_value(conflict) AND count(*) > 1 AS unresolved FROM b JOIN t USING (account) WHERE stamp = top GROUP BY 1""")
 def book_dedupe_latest(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("account"), F.col("l_extendedprice").alias("value"), "l_shipdate", "l_linenumber", "l_partkey")
-    return allocation.latest_book(l, "account", "value", F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey")).select("account", "value", "holders", "conflict")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("account"), F.col("l_extendedprice").alias("value"), "l_shipdate", "l_linenumber", "l_suppkey")
+    return allocation.latest_book(l, "account", "value", F.col("l_shipdate"), F.col("l_linenumber"), holder=F.col("l_suppkey"))
 
 
 @query("""SELECT p_brand AS grp, p_type AS label, count(*) AS n, sum(p_retailprice::DECIMAL(18,2))::DOUBLE AS value FROM part GROUP BY ROLLUP (p_brand, p_type) HAVING p_brand IS NOT NULL""")
@@ -205,5 +203,7 @@ def coercions(spark, sf_dir):
   list_sort(list(l_quantity))[floor((len(list(l_quantity)) - 1) * 0.12)::INT + 1] AS low, mode(l_linenumber ORDER BY l_linenumber) AS line_mode
   FROM lineitem GROUP BY 1""")
 def medians_and_modes(spark, sf_dir):
-    q = F.collect_list("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("firm")).agg(F.count("*").alias("n"), numeric.upper_median(q).alias("upper_median"), numeric.floor_quantile(q, 0.12).alias("low"), F.expr("mode() WITHIN GROUP (ORDER BY l_linenumber)").alias("line_mode"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("firm"), "l_quantity", "l_linenumber")
+    values = relational.at_places(l, ["firm"], "l_quantity", {"upper_median": F.floor(F.col("n") / 2), "low": F.floor((F.col("n") - 1) * F.lit(0.12))})
+    modes = l.groupBy("firm").agg(F.expr("mode() WITHIN GROUP (ORDER BY l_linenumber)").alias("line_mode"))
+    return values.join(modes, "firm").select("firm", "n", "upper_median", "low", "line_mode")

@@ -12,7 +12,7 @@ from .base import FIRMS, OFFICES, PEOPLE, firms, offices, people, query, table
 
 
 def _dec(c, places=4):
-    return F.round(c.cast("decimal(28,8)"), places).cast("double")
+    return F.bround(c.cast("decimal(28,8)"), places).cast("double")
 
 
 PLACED = f"""{OFFICES}, rows AS (SELECT *, (person + office) % 25 AS city, office % 5 AS state, office % 2 = 0 AS has_street FROM offices),
@@ -50,10 +50,11 @@ def building_roster(spark, sf_dir):
   SELECT office, firm, headcount, count(*) OVER (PARTITION BY office) AS firms_here FROM c""")
 def building_firm_cube(spark, sf_dir):
     c = offices(spark, sf_dir).groupBy("office", "firm").agg(F.count_distinct("person").alias("headcount"))
-    return c.withColumn("firms_here", F.count("*").over(Window.partitionBy("office")))
+    here = c.groupBy("office").agg(F.count("*").alias("firms_here"))
+    return c.join(here, "office")
 
 
-@query(f"WITH {PEOPLE} SELECT state, segment, avg(lat::DECIMAL(18,4))::DOUBLE AS lat, count(*) AS n, mode(segment ORDER BY segment) AS top FROM people GROUP BY 1, 2".replace("avg(lat::DECIMAL(18,4))::DOUBLE", "round((sum(lat::DECIMAL(18,4))::DOUBLE / count(*))::DECIMAL(28,8), 4)::DOUBLE"))
+@query(f"WITH {PEOPLE} SELECT state, segment, round_even((sum(lat::DECIMAL(18,4))::DOUBLE / count(*))::DECIMAL(28,8), 4)::DOUBLE AS lat, count(*) AS n, mode(segment ORDER BY segment) AS top FROM people GROUP BY 1, 2")
 def geo_index(spark, sf_dir):
     p = people(spark, sf_dir)
     mean = F.sum(F.col("lat").cast("decimal(18,4)")).cast("double") / F.count("*")
@@ -76,12 +77,14 @@ def _view(spark, sf_dir):
   SELECT firm, count(DISTINCT person) AS people, count(*) AS offices, count(DISTINCT state) AS states, list_sort(list(office))[len(list(office)) // 2 + 1] AS median_office FROM v GROUP BY 1""")
 def viewport_firm_rollup(spark, sf_dir):
     v = offices(spark, sf_dir).join(_view(spark, sf_dir).select("person", "state"), "person")
-    return v.groupBy("firm").agg(F.count_distinct("person").alias("people"), F.count("*").alias("offices"), F.count_distinct("state").alias("states"), numeric.upper_median(F.collect_list("office")).alias("median_office"))
+    rolled = v.groupBy("firm").agg(F.count_distinct("person").alias("people"), F.count("*").alias("offices"), F.count_distinct("state").alias("states"))
+    medians = relational.at_places(v, ["firm"], "office", {"median_office": F.floor(F.col("n") / 2)}).drop("n")
+    return rolled.join(medians, "firm")
 
 
 @query(f"""WITH {PEOPLE}, {OFFICES}, {FIRMS}, v AS (SELECT firm, count(DISTINCT person) AS seen FROM offices JOIN people USING (person) WHERE {VIEW} GROUP BY 1),
   a AS (SELECT firm, count(DISTINCT person) AS everyone FROM offices GROUP BY 1)
-  SELECT count(*) AS firms, count(assets) AS covered, round(sum(round((least(1.0::DOUBLE, seen / nullif(everyone, 0)::DOUBLE) * assets::DOUBLE)::DECIMAL(28,8), 2))::DECIMAL(28,8), 2)::DOUBLE AS pool
+  SELECT count(*) AS firms, count(assets) AS covered, round_even(sum(round_even((least(1.0::DOUBLE, seen / nullif(everyone, 0)::DOUBLE) * assets::DOUBLE)::DECIMAL(28,8), 2))::DECIMAL(28,8), 2)::DOUBLE AS pool
   FROM v JOIN a USING (firm) LEFT JOIN firms f ON f.crd = firm""")
 def viewport_allocation(spark, sf_dir):
     o = offices(spark, sf_dir)
@@ -89,7 +92,7 @@ def viewport_allocation(spark, sf_dir):
     everyone = o.groupBy("firm").agg(F.count_distinct("person").alias("everyone"))
     f = firms(spark, sf_dir).select(F.col("crd").alias("firm"), "assets")
     part = F.least(F.lit(1.0), numeric.ratio(F.col("seen").cast("double"), F.col("everyone").cast("double"))) * F.col("assets").cast("double")
-    rows = seen.join(everyone, "firm").join(f, "firm", "left").withColumn("part", F.round(part.cast("decimal(28,8)"), 2))
+    rows = seen.join(everyone, "firm").join(f, "firm", "left").withColumn("part", F.bround(part.cast("decimal(28,8)"), 2))
     return rows.agg(F.count("*").alias("firms"), F.count("assets").alias("covered"), F.sum("part").cast("double").alias("pool"))
 
 
@@ -112,7 +115,7 @@ MILES = "2 * 3958.8 * asin(least(sqrt(pow(sin(radians(o_lat - lat) / 2), 2) + co
 
 
 @query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 20 = 0)
-  SELECT person, o_id, round({MILES}::DECIMAL(28,8), 1)::DOUBLE AS miles FROM people, o WHERE {MILES} <= 100""")
+  SELECT person, o_id, round_even({MILES}::DECIMAL(28,8), 1)::DOUBLE AS miles FROM people, o WHERE {MILES} <= 100""")
 def near_me_radius(spark, sf_dir):
     p = people(spark, sf_dir)
     o = p.filter(F.col("person") % 20 == 0).select(F.col("person").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
@@ -134,7 +137,7 @@ def near_me_widening(spark, sf_dir):
 
 @query(f"""WITH {PEOPLE}, b AS (SELECT floor(lat / 2)::INT AS i, floor(lon / 2)::INT AS j, count(*) AS n FROM people GROUP BY 1, 2),
   q AS (SELECT list_sort(list(n)) AS s FROM b), e AS (SELECT s[floor((len(s) - 1) * 0.12)::INT + 1] AS lo, s[floor((len(s) - 1) * 0.97)::INT + 1] AS hi FROM q)
-  SELECT i, j, n, round(pow(least(greatest((ln(1 + n) - ln(1 + lo)) / nullif(ln(1 + hi) - ln(1 + lo), 0), 0), 1), 0.8)::DECIMAL(28,8), 4)::DOUBLE AS heat FROM b, e""")
+  SELECT i, j, n, round_even(pow(least(greatest((ln(1 + n) - ln(1 + lo)) / nullif(ln(1 + hi) - ln(1 + lo), 0), 0), 1), 0.8)::DECIMAL(28,8), 4)::DOUBLE AS heat FROM b, e""")
 def heat_bins(spark, sf_dir):
     p = people(spark, sf_dir)
     b = p.groupBy(F.floor(F.col("lat") / 2).cast("int").alias("i"), F.floor(F.col("lon") / 2).cast("int").alias("j")).agg(F.count("*").alias("n"))
@@ -156,11 +159,27 @@ def facets_hiding_target(spark, sf_dir):
     return spec.hiding(people(spark, sf_dir), F.col("person") == 7)
 
 
-@query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 're')
-  OR contains(p_partkey::VARCHAR, '77') ORDER BY name, id LIMIT 60""")
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, ' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM part),
+  w AS (SELECT DISTINCT id AS query, unnest(string_split(trim(flat), ' ')) AS term FROM n WHERE id % 20 = 0), k AS (SELECT query, count(*) AS terms FROM w GROUP BY 1),
+  h AS (SELECT query, id, name FROM w JOIN n ON contains(flat, ' ' || term || ' ') GROUP BY 1, 2, 3 HAVING count(*) = (SELECT terms FROM k WHERE k.query = w.query)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY name, id) AS place, count(*) OVER (PARTITION BY query) AS found FROM h)
+  SELECT query, id, place, found - least(found, 60) AS more FROM r WHERE place <= 60""")
 def search_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return p.filter(text.loose_contains(F.col("name"), F.lit("re")) | F.contains(F.col("id").cast("string"), F.lit("77"))).orderBy("name", "id").limit(60)
+    """Every twentieth name as a query: the names with all its words, sixty of them and how many more there are."""
+    words = F.array_distinct(F.split(text.loose(F.col("name")), " "))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).withColumn("words", words)
+    # names of equal words are one entry of the index, whatever their number
+    index = p.groupBy(F.array_sort("words").alias("entry")).agg(F.count("*").alias("held"))
+    queries = p.filter("id % 20 = 0").groupBy(F.array_sort("words").alias("asked")).agg(F.count("*").alias("askers"))
+    terms = queries.select("asked", F.explode("asked").alias("word"))
+    hits = terms.join(index.select("entry", "held", F.explode("entry").alias("word")), "word").groupBy("asked", "entry", "held").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("asked"))
+    first = relational.top_n(p.select(F.array_sort("words").alias("entry"), "id", "name"), ["entry"], 60, F.asc("name"), F.asc("id"))
+    found = hits.groupBy("asked").agg(F.sum("held").alias("found"))
+    best = relational.top_n(hits.select("asked", "entry").join(first, "entry"), ["asked"], 60, F.asc("name"), F.asc("id"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("name", "id"))
+    best = best.withColumn("place", place).join(found, "asked").withColumn("more", F.col("found") - F.least("found", F.lit(60)))
+    asked = p.filter("id % 20 = 0").select(F.col("id").alias("query"), F.array_sort("words").alias("asked"))
+    return asked.join(best, "asked").select("query", "id", "place", "more")
 
 
 TOKENS = """t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')), ' ')) AS token FROM part),
@@ -182,11 +201,12 @@ def other_offices(spark, sf_dir):
     return relational.top_n(offices(spark, sf_dir).filter("office <> 1"), ["person"], 6, F.asc("firm"), F.asc("office"))
 
 
-@query(f"""WITH {OFFICES} SELECT a.firm, a.office, count(DISTINCT a.person) AS colleagues FROM offices a WHERE EXISTS (SELECT 1 FROM offices b WHERE b.person = 7 AND b.firm = a.firm AND b.office = a.office) AND a.person <> 7 GROUP BY 1, 2""")
+@query(f"""WITH {OFFICES}, c AS (SELECT firm, office, count(DISTINCT person) AS n FROM offices GROUP BY 1, 2) SELECT person, firm, office, n - 1 AS colleagues FROM offices JOIN c USING (firm, office)""")
 def same_building_colleagues(spark, sf_dir):
+    """How many others share each of a person's offices; counted once an office, no pairs."""
     o = offices(spark, sf_dir)
-    mine = o.filter("person = 7").select("firm", "office")
-    return relational.restrict(o.filter("person <> 7"), mine, ["firm", "office"]).groupBy("firm", "office").agg(F.count_distinct("person").alias("colleagues"))
+    counts = o.groupBy("firm", "office").agg(F.count_distinct("person").alias("n"))
+    return o.join(counts, ["firm", "office"]).select("person", "firm", "office", (F.col("n") - 1).alias("colleagues"))
 
 
 @query(f"""WITH {PEOPLE}, {OFFICES}, {FIRMS} SELECT o.person, o.firm, min(o.office) AS office, any_value(p.name) AS person_name, any_value(f.name) AS firm_name, any_value(n_name) AS state_name

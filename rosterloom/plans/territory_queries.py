@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational, territory
+from ..functions import names
+from ..operators import graph, matching, relational, territory
 from .base import PEOPLE, people, query, table
 
 
@@ -15,11 +16,11 @@ def kmeans_territory(spark, sf_dir):
     return territory.clusters(p, "lat", "lon", "weight").select("person", "territory")
 
 
-@query(f"""WITH {PEOPLE} SELECT state, round((sum(lat * w) / sum(w))::DECIMAL(28,8), 3)::DOUBLE AS lat, round((sum(lon * w) / sum(w))::DECIMAL(28,8), 3)::DOUBLE AS lon, sum(w)::BIGINT AS w
+@query(f"""WITH {PEOPLE} SELECT state, round_even((sum(lat * w) / sum(w))::DECIMAL(28,8), 3)::DOUBLE AS lat, round_even((sum(lon * w) / sum(w))::DECIMAL(28,8), 3)::DOUBLE AS lon, sum(w)::BIGINT AS w
   FROM (SELECT *, person % 13 + 1 AS w FROM people) GROUP BY 1""")
 def weighted_centres(spark, sf_dir):
     p = people(spark, sf_dir).withColumn("w", F.col("person") % 13 + 1)
-    r = lambda c: F.round(F.col(c).cast("decimal(28,8)"), 3).cast("double").alias(c)
+    r = lambda c: F.bround(F.col(c).cast("decimal(28,8)"), 3).cast("double").alias(c)
     return territory.weighted_centre(p, "state", "lat", "lon", "w").select("state", r("lat"), r("lon"), "w")
 
 
@@ -70,8 +71,8 @@ def practice_resolution(spark, sf_dir):
 
 
 @query("""WITH best AS (SELECT o_custkey AS id, o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey) AS rn FROM orders)
-  SELECT c_custkey AS id, o_orderkey AS chosen, CASE WHEN o_orderkey IS NULL THEN 'REJECT' WHEN o_orderstatus = 'F' AND c_acctbal > 0 THEN 'ACCEPT' ELSE 'CHECK' END AS suggestion
-  FROM customer LEFT JOIN best ON id = c_custkey AND rn = 1""".replace("o_orderkey AS chosen", "o_orderkey::VARCHAR AS chosen"))
+  SELECT c_custkey AS id, o_orderkey::VARCHAR AS chosen, CASE WHEN o_orderkey IS NULL THEN 'REJECT' WHEN o_orderstatus = 'F' AND c_acctbal > 0 THEN 'ACCEPT' ELSE 'CHECK' END AS suggestion
+  FROM customer LEFT JOIN best ON id = c_custkey AND rn = 1""")
 def review_worksheet(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderstatus", "o_totalprice")
     rank = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
@@ -97,11 +98,15 @@ def disclosure_mask(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(F.nullif("c_acctbal", F.lit(0.0)), F.lit(0.0)).alias("filled"), mask.alias("mask"), F.bit_count(mask).alias("disclosures"))
 
 
-@query("""SELECT p_brand AS firm, p_partkey AS id, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM part""")
+@query("""WITH s AS (SELECT p_partkey AS id, p_brand AS firm, lower(string_split(p_name, ' ')[1]) AS given, lower(string_split(p_name, ' ')[2]) AS surname FROM part),
+  r AS (SELECT id AS member, firm, given, surname FROM s WHERE id % 3 <> 0), c AS (SELECT firm, given, surname, count(*) AS n, min(member) AS one FROM r GROUP BY ALL),
+  h AS (SELECT id, sum(n) AS n, min(one) AS one FROM s JOIN c USING (firm, surname) WHERE s.given = c.given OR (length(s.given) > 1 AND length(c.given) > 1 AND levenshtein(s.given, c.given) <= 1) GROUP BY 1)
+  SELECT s.firm, s.id, CASE WHEN n = 1 THEN one END::VARCHAR AS member, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM s LEFT JOIN h USING (id)""")
 def single_hit_match(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    alone = F.count("*").over(Window.partitionBy("p_brand", "p_name")) == 1
-    return p.select(F.col("p_brand").alias("firm"), F.col("p_partkey").alias("id"), F.when(alone, "matched").otherwise("ambiguous").alias("status"))
+    """A third of the people is not in the roster; in it, a name within one edit is a candidate too."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("firm"), F.col("p_name").alias("name"))
+    roster = p.filter("id % 3 <> 0").select("firm", F.col("id").alias("member"), names.surname(F.col("name")).alias("last_key"), names.given(F.col("name")).alias("forms"))
+    return matching.single_hits(p, roster, "id", "member", "firm").select("firm", "id", F.col("member").cast("string").alias("member"), "status")
 
 
 @query("""WITH t AS (SELECT c_custkey AS person, c_mktsegment || floor(c_acctbal / 1000)::BIGINT AS team, c_nationkey AS state FROM customer),
@@ -125,11 +130,14 @@ def membership_flags(spark, sf_dir):
     return relational.corroborate(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person")), ids, ["person"], "ranked")
 
 
-@query("""SELECT o_custkey AS person, string_agg(o_orderpriority || ':' || o_orderkey, ', ' ORDER BY o_orderpriority || ':' || o_orderkey) AS rankings, max(o_totalprice) AS team_assets FROM orders GROUP BY 1""")
+@query("""WITH s AS (SELECT o_orderpriority AS list, count(*) AS size FROM orders GROUP BY 1), r AS (SELECT o_custkey AS person, o_orderkey, o_orderpriority AS list, o_totalprice, size FROM orders JOIN s ON list = o_orderpriority)
+  SELECT person, o_orderkey, list, row_number() OVER (PARTITION BY person ORDER BY size, list, o_orderkey) AS place, max(o_totalprice) OVER (PARTITION BY person) AS team_assets FROM r""")
 def rankings_per_person(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    label = F.concat("o_orderpriority", F.lit(":"), F.col("o_orderkey").cast("string"))
-    return o.groupBy(F.col("o_custkey").alias("person")).agg(F.array_join(F.sort_array(F.collect_list(label)), ", ").alias("rankings"), F.max("o_totalprice").alias("team_assets"))
+    """The rankings of a person, those of the scarcest list first; team assets are the greatest, never a sum."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), "o_orderkey", F.col("o_orderpriority").alias("list"), "o_totalprice")
+    ranked = o.join(F.broadcast(o.groupBy("list").agg(F.count("*").alias("size"))), "list")  # five lists, a fixed vocabulary
+    place = F.row_number().over(Window.partitionBy("person").orderBy("size", "list", "o_orderkey"))
+    return ranked.select("person", "o_orderkey", "list", place.alias("place"), F.max("o_totalprice").over(Window.partitionBy("person")).alias("team_assets"))
 
 
 @query("""SELECT p_partkey AS id, p_name AS name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50""")

@@ -11,11 +11,21 @@ from .base import query, table
 
 @query("""SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))""")
 def quote_containment(spark, sf_dir):
-    """Which quotes stand in which text: quotes are a small stated set, taken as one literal array."""
-    quotes = table(spark, sf_dir, "benchmark").select(F.collect_list(F.struct("item_id", text.fold_quote(F.col("text")).alias("q"))).alias("quotes"))
-    d = table(spark, sf_dir, "documents").select("doc_id", text.fold_quote(F.col("text")).alias("body")).crossJoin(F.broadcast(quotes))
-    hit = d.select("doc_id", F.explode(F.filter("quotes", lambda x: F.contains(F.col("body"), x["q"]))).alias("h"))
-    return hit.select("doc_id", "h.item_id")
+    """Which quotes stand in which text.
+
+    The longest word inside a quote (neither its first nor its last) must be a word of any text that
+    holds it, so texts and quotes meet on that word and only then is the quote looked for. Quotes of
+    one or two words have none and are looked for in every text.
+    """
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", text.fold_quote(F.col("text")).alias("q"))
+    inner = F.transform(F.slice(F.split("q", " "), 2, F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    quotes = quotes.withColumn("word", F.array_max(inner)["w"])
+    folded = table(spark, sf_dir, "documents").select("doc_id", text.fold_quote(F.col("text")).alias("body"))
+    words = folded.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    met = words.join(quotes.filter("word is not null"), "word").select("doc_id", "item_id", "q")
+    found = folded.join(met, "doc_id").filter(F.contains("body", F.col("q"))).select("doc_id", "item_id")
+    short = quotes.filter("word is null")
+    return found.unionAll(folded.join(short, F.contains("body", F.col("q"))).select("doc_id", "item_id"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS links,
@@ -50,12 +60,17 @@ def template_render(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), body.alias("body")).withColumn("unresolved", F.size(F.regexp_extract_all("body", F.lit(r"\{\{[a-z]+\}\}"), F.lit(0))).cast("long"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_size || ' North ' || string_split(p_name, ' ')[1] || ' Street, Suite ' || p_size AS line FROM part)
-  SELECT id, p_size || ' N ' || upper(string_split(p_name, ' ')[1]) || ' ST' AS street, p_size::VARCHAR AS house FROM a JOIN part ON id = p_partkey""")
+@query("""WITH a AS (SELECT p_partkey AS id, p_size::VARCHAR AS n, upper(string_split(p_name, ' ')[1]) AS w FROM part)
+  SELECT id, CASE id % 4 WHEN 0 THEN n || ' N ' || w || ' ST' WHEN 1 THEN n || ' ' || w || ' TRL NE' WHEN 2 THEN n || ' ' || w || ' PKWY' END AS street, CASE WHEN id % 4 < 2 THEN n END AS house FROM a""")
 def street_lines(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    line = F.concat(F.col("p_size").cast("string"), F.lit(" North "), F.split("p_name", " ")[0], F.lit(" Street, Suite "), F.col("p_size").cast("string"))
-    return p.select(F.col("p_partkey").alias("id"), text.street(line).alias("street"), text.house_number(line).alias("house"))
+    """Units, glued building names, two-word directions, rear notes and lines without a number."""
+    n, w = F.col("p_size").cast("string"), F.split("p_name", " ")[0]
+    k = F.col("p_partkey") % 4
+    line = (
+        F.when(k == 0, F.concat(n, F.lit(" North "), w, F.lit(" Street, Suite "), n)).when(k == 1, F.concat(n, F.lit(" "), w, F.lit(" Trail North East bldg 3")))
+        .when(k == 2, F.concat(F.lit("Oak Tower-"), n, F.lit(" "), w, F.lit(" Parkway, rear"))).otherwise(F.concat(F.lit("PO Box "), n))
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.street(line).alias("street"), text.house_number(line).alias("house"))
 
 
 @query("""SELECT c_custkey AS id, lpad((c_custkey * 7919 % 10000000000)::VARCHAR, 10, '2') AS phone,
@@ -67,10 +82,11 @@ def phone_forms(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), digits.alias("phone"), text.pretty_phone(digits).alias("pretty"))
 
 
-@query("""SELECT p_partkey AS id, p_size * CASE p_partkey % 3 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 ELSE 1 END::DOUBLE AS amount FROM part""")
+@query("""SELECT p_partkey AS id, p_size * CASE p_partkey % 4 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 WHEN 2 THEN 1000 END::DOUBLE AS amount FROM part""")
 def money_text(spark, sf_dir):
-    unit = F.when(F.col("p_partkey") % 3 == 0, "B").when(F.col("p_partkey") % 3 == 1, "M").otherwise("")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.money(F.concat(F.lit("$"), F.col("p_size").cast("string"), unit)).alias("amount"))
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("over $"), n, F.lit("B"))).when(k == 1, F.concat(n, F.lit(" m and more"))).when(k == 2, F.concat(n, F.lit(",000"))).otherwise("undisclosed")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.money(said).alias("amount"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN '''=' || p_name ELSE p_name END AS cell FROM part""")

@@ -98,15 +98,19 @@ def test_tiers(spark):
 def test_sticky_codes_and_bounces(spark):
     df = spark.createDataFrame([("x", "U"), ("x", "1"), ("y", "2"), ("y", "N")], "a string, code string")
     assert {r.a: r.code for r in activity.strongest_code(df, "a", "code").collect()} == {"x": "U", "y": "N"}
-    kinds = spark.createDataFrame([("550 5.1.1 unknown", ""), ("550 5.7.1", ""), ("4.2.2 full", ""), ("ok", ""), ("5.2.0", "listed as SPAM")], "c string, t string")
-    assert [r.k for r in kinds.select(activity.bounce_kind(F.col("c"), F.col("t")).alias("k")).collect()] == ["hard", "policy", "soft", None, "policy"]
+    said = ["Status: 5.1.1", "Status: 5.7.1", "Status: 4.2.2", "all is well", "Status: 5.1.8", "status: 5.2.2", "550 5.1.1 no such user", "smtp; 550", "Status: 2.0.0", "we block spam", "Status: 5.01.010", None]
+    kinds = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").select("k", activity.bounce(F.col("t")).alias("b")).orderBy("k").collect()
+    assert [r.b.kind for r in kinds] == ["hard", "policy", "soft", None, "hard", "policy", "hard", "hard", None, None, "hard", None]
+    assert [r.b.code for r in kinds if r.b.kind] == ["5.1.1", "5.7.1", "4.2.2", "5.1.8", "5.2.2", "550", "550", "5.1.10"]
+    mail = spark.createDataFrame([("MAILER-DAEMON@x", "hi", None, None), ("a@x", "Undeliverable: hi", None, None), ("a@x", "hi", "multipart/report; report-type=delivery-status", ""), ("a@x", "hi", "", "true"), ("a@x", "Re: Undeliverable", None, None)], "s string, j string, c string, f string")
+    assert [r.r for r in mail.select(activity.is_report(F.col("s"), F.col("j"), F.col("c"), F.col("f")).alias("r")).collect()] == [True] * 4 + [False]
 
 
 def test_limits(spark):
     at = lambda h: datetime(2024, 1, 1 + h // 24, h % 24)
     df = spark.createDataFrame([("u", 1, at(0), 6), ("u", 2, at(10), 5), ("u", 3, at(24), 1)], "user string, id int, ts timestamp, n int")
     used = df.select("id", relational.rolling_sum(df, "user", "ts", "n", 86400).alias("used")).orderBy("id").collect()
-    assert [r.used for r in used] == [6, 11, 6]
+    assert [r.used for r in used] == [6, 11, 12]  # a row exactly a day old still counts
     free = activity.capacity_returns(df.filter("id < 3"), "user", "ts", "id", "n", 4, 12).first()
     assert free["free_at"] == at(24)
 
@@ -115,3 +119,65 @@ def test_limits(spark):
 def test_drift(spark, most, ok):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
     assert audit.drift_within(a, b, "k", "v", most) is ok
+
+
+STATE = "k int, direction string, classification string, occurred_at timestamp"
+
+
+def test_replies_acts_and_snoozes(spark):
+    day = lambda d: datetime(2024, 3, d)
+    log = spark.createDataFrame([
+        (1, "inbound", "reply", day(5)), (2, "inbound", "reply", day(5)), (3, "inbound", "reply", day(5)), (4, "inbound", "bounce", day(6)), (5, "inbound", "bounce", day(6)),
+        (6, "inbound", "reply", datetime(2024, 1, 2)), (7, "outbound", "sent", datetime(2024, 1, 2)), (8, "inbound", "reply", day(5)), (9, "inbound", "auto_reply", day(5)), (10, "outbound", "reply", day(5)),
+    ], STATE)
+    acts = spark.createDataFrame([
+        (2, None, day(6), None, None, None), (3, "follow_up", day(6), None, None, None), (4, None, None, day(1), None, True), (5, None, None, None, day(20), None),
+        (6, "done", day(1), None, None, None), (8, "done", day(4), None, None, None),
+    ], "k int, reply_state string, acted_at timestamp, next_action_at timestamp, snoozed_until timestamp, bounce_dismissed boolean")
+    as_of = F.lit("2024-03-10").cast("timestamp")
+    made = activity.fold(log, ["k"], as_of, decisions=acts)
+    assert {r.k: r.reply_state for r in made.collect()} == {1: "new", 2: "reviewed", 3: "follow_up", 4: "none", 5: "none", 6: "done", 7: "none", 8: "new", 9: "none", 10: "none"}
+    assert {r.k for r in made.filter("ever_replied").collect()} == {1, 2, 3, 6, 8}
+    queue = activity.attention(made, as_of)
+    assert [(r.k, r.reason) for r in queue.orderBy("urgency", "last_activity", "k").collect()] == [(1, "reply_new"), (8, "reply_new"), (3, "reply_followup"), (4, "due"), (6, "quiet_warm")]
+    seeded = activity.fold(log, ["k"], as_of, historic=F.col("k") != 1)
+    assert {r.k: r.reply_state for r in seeded.filter("k in (1, 2)").collect()} == {1: "new", 2: "reviewed"}
+    assert activity.drift(made, made, ["k"], ["last_in", "has_bounce"]).collect() == []
+
+
+def test_levels_need_a_sample_and_include_their_bounds(spark):
+    sends = spark.createDataFrame([(1, "a")] * 100 + [(2, None)] * 29, "rep int, domain string")
+    events = spark.createDataFrame([(1, "a", "hard")] * 2 + [(1, "a", "policy")] * 3 + [(1, "a", "soft")] * 9 + [(2, None, "hard")] * 9 + [(3, "b", "odd")], "rep int, domain string, kind string")
+    outs = spark.createDataFrame([(1, "a")], "rep int, domain string")
+    got = {(r.rep, r.domain): r for r in activity.health(sends, events, outs, "rep", "domain").collect()}
+    r = got[1, None]
+    assert (r.sent, r.hard_level, r.policy_level, r.soft_level, r.unsubscribed_level) == (100, "warn", "bad", "ok", "warn")
+    assert got[2, "(unknown)"].hard_level == "unknown" and got[2, None].hard == 9
+
+
+def test_turned_away_events_do_not_count(spark):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("u", 1, at(0)), ("u", 2, at(6)), ("u", 3, at(10)), ("u", 4, at(19)), ("u", 5, at(20)), ("v", 6, at(6))], "k string, id int, ts timestamp")
+    assert {r.id: r.admitted for r in activity.admitted(df, "k", "ts", "id", 10).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}
+    mutual = spark.createDataFrame([(1, 1, "a", "a@x", ["b@x"]), (1, 2, "b", "b@x", ["a@x"]), (1, 3, "c", None, None), (2, 1, "b", "b@x", [])], "batch int, pos int, who string, mail string, cc array<string>")
+    assert {(r.batch, r.who): r.kept for r in activity.without_copied(mutual, "batch", "pos", "who", "mail", "cc").collect()} == {(1, "a"): True, (1, "b"): False, (1, "c"): True, (2, "b"): True}
+
+
+def test_history_flags_and_settings(spark):
+    calls = spark.createDataFrame([(1, "h1", datetime(2024, 1, 2)), (2, None, datetime(2024, 1, 1))], "id int, written string, occurred_at timestamp")
+    crm = spark.createDataFrame([("h1", datetime(2024, 1, 2)), ("h2", datetime(2024, 1, 3))], "crm string, occurred_at timestamp")
+    assert activity.call_history(calls, crm, "written", "crm").count() == 3
+    assert activity.call_history(calls, crm, "written", "crm", F.lit("2024-01-02").cast("timestamp")).count() == 2
+    flags = spark.createDataFrame([("a", True, False), ("b", True, True)], "k string, p boolean, q boolean")
+    moves = spark.createDataFrame([("a", False, None), ("b", None, False), ("c", None, True), ("d", None, None)], "k string, p boolean, q boolean")
+    assert {tuple(r) for r in activity.set_flags(flags, moves, "k", ["p", "q"]).collect()} == {("b", True, False), ("c", False, True)}
+    old = spark.createDataFrame([("u", {"tz": "UTC", "sign": "me"})], "k string, s map<string,string>")
+    sent = spark.createDataFrame([("u", {"tz": "Europe/Berlin", "evil": "x"}), ("w", {"sign": "long text"})], "k string, s map<string,string>")
+    got = {r.k: r.s for r in activity.merge_settings(old, sent, "k", "s", {"tz": 6, "sign": 4}).collect()}
+    assert got == {"u": {"tz": "Europe", "sign": "me"}, "w": {"sign": "long"}}
+
+
+def test_book_with_ties_and_distinct_holders(spark):
+    df = spark.createDataFrame([("x", 1.0, 1, "h"), ("x", 2.0, 2, "h"), ("y", 1.0, 1, "h"), ("y", 3.0, 1, "i"), ("z", 5.0, 1, "h"), ("z", 5.0, 1, "h")], "acct string, v double, stamp int, who string")
+    got = {r.acct: (r.v, r.holders, r.conflict, r.unresolved) for r in allocation.latest_book(df, "acct", "v", F.col("stamp"), holder=F.col("who")).collect()}
+    assert got == {"x": (2.0, 1, True, False), "y": (3.0, 2, True, True), "z": (5.0, 1, False, False)}
