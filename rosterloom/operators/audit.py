@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +41,49 @@ def drift_within(before: DataFrame, after: DataFrame, key: str, column: str, mos
     """Whether at most ``most`` keys changed value between two snapshots."""
     pairs = before.select(key, F.col(column).alias("__a")).join(after.select(key, F.col(column).alias("__b")), key)
     return pairs.filter(~F.col("__a").eqNullSafe(F.col("__b"))).limit(most + 1).count() <= most
+
+
+def no_double_count(name: str, rows: DataFrame, own: Column, team: Column) -> DataFrame:
+    """Rows that carry both an amount of their own and one of a team."""
+    return _row(rows.filter((F.coalesce(own, F.lit(0)) > 0) & (F.coalesce(team, F.lit(0)) > 0)), name)
+
+
+def sound_crosswalk(name: str, rows: DataFrame, key: str, candidate: str, accept: float) -> DataFrame:
+    """Repeated or blank keys, high rows below the threshold, and tiers that contradict the id."""
+    twice = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(1).alias("x"))
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    under = (F.col("tier") == "high") & (F.col("score") < accept)
+    odd = (F.col("tier") == "none") == F.col(candidate).isNotNull()
+    faults = F.explode(F.filter(F.array(blank, under, odd), lambda f: f))
+    return _row(twice.unionAll(rows.select(faults.alias("f")).select(F.lit(1))), name)
+
+
+def shared_book(name: str, per_holder: DataFrame, union: DataFrame, stated: DataFrame, slack: float = 1.05) -> DataFrame:
+    """What holders are written at must exceed the union, and the union must not exceed what is stated.
+
+    Each frame has one row with ``total``.
+    """
+    both = per_holder.select(F.col("total").alias("p")).crossJoin(union.select(F.col("total").alias("u"))).crossJoin(stated.select(F.col("total").alias("s")))
+    faults = (F.col("p") <= F.col("u") * slack).cast("int") + (F.col("u") > F.col("s") + 1).cast("int")
+    return both.select(F.lit(name).alias("name"), faults.cast("long").alias("failures"))
+
+
+@dataclass(frozen=True)
+class Check:
+    """A named check; ``run`` gives a frame of (name, failures) or None where its table is not there."""
+
+    name: str
+    run: Callable[[], DataFrame | None]
+
+
+def run_checks(checks: list[Check]) -> tuple[list[tuple[str, str, int]], int]:
+    """((name, ok | failed | skipped | error, failures) of every check, how many failed or broke)."""
+    out = []
+    for c in checks:
+        try:
+            frame = c.run()
+            n = None if frame is None else int(frame.agg(F.sum("failures")).first()[0] or 0)
+            out.append((c.name, "skipped" if n is None else "failed" if n else "ok", n or 0))
+        except Exception as e:  # a check that breaks is a result of its own, not the end of the others
+            out.append((f"{c.name}: {e}"[:200], "error", 1))
+    return out, sum(state in ("failed", "error") for _, state, _ in out)

@@ -168,3 +168,35 @@ def write_export(df: DataFrame, path: str, provenance: str) -> None:
 
     cells = [csv_guard(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
     df.select(*cells, F.lit(provenance).alias("provenance")).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+
+
+def rankings(spark: SparkSession, path: str) -> DataFrame:
+    """Ranking rows of a JSON list with their details as columns; the scope says what a rank counts in."""
+    from ..operators.rosters import detail_columns
+
+    raw = json_array(spark, path, "ranking string, year int, state string, rank int, advisor string, firm string, location string, crd string, detail map<string,string>")
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return raw.select(
+        "ranking", "year", blank("state").alias("rank_state"), "rank", F.col("advisor").alias("advisor_name"), F.col("firm").alias("firm_name"), "location", blank("crd").alias("advisor_crd"),
+        F.when(F.col("ranking") == "top1500", "state").otherwise("national").alias("rank_scope"), *[c.alias(n) for n, c in detail_columns(F.col("detail")).items()],
+    )
+
+
+def write_sized(df: DataFrame, key: str, folder: str, target_bytes: int = 12_000_000) -> list[str]:
+    """JSON shards of about ``target_bytes`` in order of the key, and a manifest beside them; gives the shard names.
+
+    The size is that of the rows as JSON, not their number.
+    """
+    rows = df.select(F.col(key).alias("__key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    size = rows.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    count = max(1, -(-size // target_bytes))
+    rows.repartitionByRange(count, "__key").sortWithinPartitions("__key").select("value").write.mode("overwrite").text(f"{folder}/shards")
+    names = [n for n in list_names(df.sparkSession, f"{folder}/shards") if n.startswith("part-")]
+    df.sparkSession.createDataFrame([(n,) for n in names], "shard string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return names
+
+
+def write_team_shards(teams: DataFrame, members: DataFrame, team: str, state: str, folder: str) -> None:
+    """A folder for each state with the teams that have a member there; a team of two states is in both."""
+    where = members.filter(F.col(state).isNotNull()).select(team, F.col(state).alias("shard")).distinct()
+    teams.join(where, team).write.mode("overwrite").partitionBy("shard").parquet(folder)

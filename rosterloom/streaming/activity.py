@@ -27,21 +27,23 @@ def known_parties(stream: DataFrame, parties: DataFrame, key: str = "advisor") -
 
 
 FOLD_OUT = "rep long, advisor long, last_out timestamp, last_in timestamp, last_reply timestamp, last_bounce timestamp, events long"
-_STATE = "last_out double, last_in double, last_reply double, last_bounce double, events long"
+#: Stamps as microseconds, exactly; -1 for none.
+_STATE = "last_out long, last_in long, last_reply long, last_bounce long, events long"
+_NONE = -1
 
 
 def _fold_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = list(state.get) if state.exists else [float("nan")] * 4 + [0]
+    held = list(state.get) if state.exists else [_NONE] * 4 + [0]
     for f in frames:
-        at = f["occurred_at"].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[f["occurred_at"].dt.unit]
-        marks = (f["direction"] == "outbound", f["direction"] == "inbound", f["classification"] == "reply", f["classification"] == "bounce")
+        at = f["occurred_at"].astype("datetime64[us]").astype("int64")
+        inbound = f["direction"] == "inbound"
+        marks = (f["direction"] == "outbound", inbound, inbound & (f["classification"] == "reply"), inbound & (f["classification"] == "bounce"))
         for k, mask in enumerate(marks):
             if mask.any():
-                top = float(at[mask].max())
-                held[k] = top if pd.isna(held[k]) else max(held[k], top)
+                held[k] = max(held[k], int(at[mask].max()))
         held[4] = int(held[4] + len(f))
     state.update(tuple(held))
-    yield pd.DataFrame([[*key, *[pd.to_datetime(x, unit="s") if x == x else pd.NaT for x in held[:4]], held[4]]], columns=["rep", "advisor", "last_out", "last_in", "last_reply", "last_bounce", "events"])
+    yield pd.DataFrame([[*key, *[pd.NaT if x == _NONE else pd.to_datetime(x, unit="us") for x in held[:4]], held[4]]], columns=["rep", "advisor", "last_out", "last_in", "last_reply", "last_bounce", "events"])
 
 
 def fold(stream: DataFrame) -> DataFrame:
@@ -50,23 +52,50 @@ def fold(stream: DataFrame) -> DataFrame:
     return cols.groupBy("rep", "advisor").applyInPandasWithState(_fold_group, FOLD_OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, keys: list[str], order: str):
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table that ``upsert_into`` writes, in order."""
+    at, fs = _files(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(at)]
+    done = [int(n[1:]) for n, p in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_files(spark, f"{p}/_SUCCESS")[0])]
+    return sorted(done)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version."""
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
+
+
+def upsert_into(path: str, keys: list[str], order: str, keep: int = 2):
     """A foreachBatch sink: the newest row per key replaces what the table at ``path`` holds.
 
-    Every batch writes a snapshot of its own and then moves the pointer, so a batch that runs
-    again after a failure gives the same table.
+    Every batch writes a version of its own from the newest complete one of an earlier batch, so a
+    batch that runs again after a failure gives the same table. A version counts once its write has
+    succeeded; older ones than ``keep`` go. A batch older than a version that is there already is
+    refused: its table belongs to another checkpoint.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         from ..operators.relational import first_row, upsert
 
         spark = batch.sparkSession
+        done = versions(spark, path)
+        if done and number < done[-1]:
+            raise ValueError(f"batch {number} comes after version {done[-1]} of {path}")
         new = first_row(batch, keys, F.desc(order))
-        last = f"{path}/v{number - 1}"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(last)
-        if number and fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            new = upsert(spark.read.parquet(last), new, keys)
+        before = [v for v in done if v < number]
+        if before:
+            new = upsert(spark.read.parquet(f"{path}/v{before[-1]}"), new, keys)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        for old in before[: max(0, len(before) + 1 - keep)]:
+            at, fs = _files(spark, f"{path}/v{old}")
+            fs.delete(at, True)
 
     return write
 

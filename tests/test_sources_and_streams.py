@@ -64,7 +64,7 @@ def test_writers(spark, tmp_path):
 
 def events(n):
     kinds = [("outbound", "sent"), ("inbound", "reply"), ("inbound", "bounce"), ("inbound", "auto_reply")]
-    return [(k, k % 2, k % 5, *kinds[k * 7 % 4], datetime(2024, 1, 1) + timedelta(minutes=3 * k)) for k in range(n)]
+    return [(k, k % 2, k % 5, *kinds[k * 7 % 4], datetime(2024, 1, 1) + timedelta(minutes=3 * k, microseconds=7 * k)) for k in range(n)]
 
 
 def test_stream_folds_like_the_batch(spark, tmp_path):
@@ -75,10 +75,10 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     q = out.writeStream.outputMode("update").foreachBatch(stream.upsert_into(f"{tmp_path}/t", ["rep", "advisor"], "events")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None
-    import os
-
-    last = max((int(x[1:]) for x in os.listdir(f"{tmp_path}/t")))
-    got = {(r.rep, r.advisor): (r.last_out, r.last_in, r.last_reply, r.last_bounce, r.events) for r in spark.read.parquet(f"{tmp_path}/t/v{last}").collect()}
+    assert len(stream.versions(spark, f"{tmp_path}/t")) == 2  # older ones are gone
+    got = {(r.rep, r.advisor): (r.last_out, r.last_in, r.last_reply, r.last_bounce, r.events) for r in stream.current(spark, f"{tmp_path}/t").collect()}
+    with pytest.raises(ValueError, match="comes after"):
+        stream.upsert_into(f"{tmp_path}/t", ["rep", "advisor"], "events")(spark.range(1), 0)
     log = spark.createDataFrame(rows, stream.LOG_SCHEMA)
     want = activity.fold(log, ["rep", "advisor"], F.lit("2024-02-01").cast("timestamp")).join(log.groupBy("rep", "advisor").agg(F.count("*").alias("events")), ["rep", "advisor"])
     assert got == {(r.rep, r.advisor): (r.last_out, r.last_in, r.last_reply, r.last_bounce, r.events) for r in want.collect()}
