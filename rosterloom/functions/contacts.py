@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import names
+from .rules import let
 
 #: Credentials that may trail a published name.
 CREDENTIALS = (
@@ -77,17 +78,23 @@ def own_email(name: Column, addresses: Column) -> Column:
     The only address is theirs; else the first with surname and a form of the given name, then the
     first with surname and initial, then the one that alone has the surname, else none.
     """
-    bare = without_credentials(name)
-    last, given = names.surname(bare), F.try_element_at(names.given(bare), F.lit(1))
+
+    def rated(addresses: Column, last: Column, given: Column, forms: Column) -> Column:
+        points = lambda words: F.when(~F.array_contains(words, last), 0).when(given.isNotNull() & F.arrays_overlap(words, forms), 3).when(given.isNotNull() & F.array_contains(words, F.substring(given, 1, 1)), 2).otherwise(1)
+        return F.filter(F.transform(addresses, lambda a: F.struct(let(local_words(a), points).alias("p"), a.alias("a"))), lambda x: x["p"] > 0)
+
+    def chosen(rows: Column) -> Column:
+        best = F.array_max(F.transform(rows, lambda x: x["p"]))
+        return let(best, lambda b: F.when((b > 1) | (F.size(rows) == 1), F.try_element_at(F.filter(rows, lambda x: x["p"] == b), F.lit(1))["a"]))
+
+    def of_person(person: Column) -> Column:
+        real, last, given = person["real"], person["last"], F.try_element_at(person["given"], F.lit(1))
+        several = let(rated(real, last, given, person["forms"]), chosen)
+        return F.when((F.size(addresses) == 1) & (F.size(real) == 1), F.try_element_at(real, F.lit(1))).when(last != "", several)
+
     real = F.filter(F.transform(addresses, email), lambda a: a.isNotNull())
-    points = lambda a: F.when(~F.array_contains(local_words(a), last), 0).when(
-        given.isNotNull() & F.arrays_overlap(local_words(a), names.forms(F.coalesce(given, F.lit("")))), 3
-    ).when(given.isNotNull() & F.array_contains(local_words(a), F.substring(given, 1, 1)), 2).otherwise(1)
-    rated = F.filter(F.transform(real, lambda a: F.struct(points(a).alias("p"), a.alias("a"))), lambda x: x["p"] > 0)
-    best = F.array_max(F.transform(rated, lambda x: x["p"]))
-    top = F.filter(rated, lambda x: x["p"] == best)
-    several = F.when((best > 1) | (F.size(rated) == 1), F.try_element_at(top, F.lit(1))["a"])
-    return F.when((F.size(addresses) == 1) & (F.size(real) == 1), F.try_element_at(real, F.lit(1))).when(last != "", several)
+    parsed = let(without_credentials(name), lambda bare: F.struct(names.surname(bare).alias("last"), names.given(bare).alias("given")))
+    return let(parsed, lambda n: let(F.struct(real.alias("real"), n["last"].alias("last"), n["given"].alias("given"), names.with_nicknames(F.slice(n["given"], 1, 1)).alias("forms")), of_person))
 
 
 def without_credentials(name: Column) -> Column:
@@ -111,17 +118,26 @@ def city_state(address: Column) -> Column:
     The city is the words before the state, back to a number or a separator and without a unit
     designator; capitals are cased.
     """
-    words = F.filter(F.split(F.regexp_replace(address, "([,;])", " $1 "), r"\s+"), lambda w: w != "")
-    state, zipped = F.try_element_at(words, F.lit(-2)), F.try_element_at(words, F.lit(-1)).rlike(r"^\d{5}(-\d{4})?$")
-    back = F.reverse(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))))
-    back = F.when(F.try_element_at(back, F.lit(1)) == ",", F.slice(back, 2, F.greatest(F.size(back), F.lit(1)))).otherwise(back)
-    stop = F.array_position(F.transform(back, lambda w: ~w.rlike("^[A-Za-z.'-]+$")), True).cast("int")
-    city = F.reverse(F.when(stop > 0, F.slice(back, 1, stop - 1)).otherwise(back))
-    unit = (F.size(city) > 2) & F.upper(F.try_element_at(city, F.lit(1))).isin("STE", "SUITE", "UNIT", "FL", "FLOOR")
-    told = F.array_join(F.when(unit, F.slice(city, 3, F.size(city))).otherwise(city), " ")
-    told = F.when(told == F.upper(told), _titled(told)).otherwise(told)
-    good = zipped & state.rlike("^[A-Z]{2}$") & told.rlike("^[A-Za-z].")
-    return F.struct(F.when(good, told).alias("city"), F.when(good, state).alias("state"))
+
+    def told(city: Column) -> Column:
+        unit = (F.size(city) > 2) & F.upper(F.try_element_at(city, F.lit(1))).isin("STE", "SUITE", "UNIT", "FL", "FLOOR")
+        text = F.array_join(F.when(unit, F.slice(city, 3, F.size(city))).otherwise(city), " ")
+        return let(text, lambda t: F.when(t == F.upper(t), _titled(t)).otherwise(t))
+
+    def up_to_stop(back: Column) -> Column:
+        back = F.when(F.try_element_at(back, F.lit(1)) == ",", F.slice(back, 2, F.greatest(F.size(back), F.lit(1)))).otherwise(back)
+        return let(back, lambda b: let(
+            F.array_position(F.transform(b, lambda w: ~w.rlike("^[A-Za-z.'-]+$")), True).cast("int"),
+            lambda stop: F.reverse(F.when(stop > 0, F.slice(b, 1, stop - 1)).otherwise(b)),
+        ))
+
+    def found(words: Column) -> Column:
+        state, zipped = F.try_element_at(words, F.lit(-2)), F.try_element_at(words, F.lit(-1)).rlike(r"^\d{5}(-\d{4})?$")
+        city = let(up_to_stop(F.reverse(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))))), told)
+        sure = zipped & state.rlike("^[A-Z]{2}$")
+        return let(F.when(sure, city), lambda c: F.struct(F.when(c.rlike("^[A-Za-z]."), c).alias("city"), F.when(c.rlike("^[A-Za-z]."), state).alias("state")))
+
+    return let(F.filter(F.split(F.regexp_replace(address, "([,;])", " $1 "), r"\s+"), lambda w: w != ""), found)
 
 
 def phone_digits(text: Column) -> Column:

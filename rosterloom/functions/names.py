@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import let
+
 #: Name endings that are no surname.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v", "md", "cfp", "cfa", "cpa", "phd"]
 GENERATIONS = ["jr", "sr", "ii", "iii", "iv", "v", "vi"]
@@ -161,10 +163,14 @@ def firm_agreement(published: Column, known: Column) -> Column:
     prior where nothing is known of this candidate's firm.
     """
     told = lambda parts: F.filter(F.transform(parts, firm_words), lambda w: F.size(w) > 0)
-    ours, theirs = told(F.split(published, r"\|")), told(known)
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    best = F.array_max(F.flatten(F.transform(ours, lambda a: F.transform(theirs, lambda b: share(a, b)))))
-    return F.when(published.isNull() | (F.size(ours) == 0), F.lit(None)).when(F.coalesce(F.size(theirs), F.lit(0)) < 1, F.lit(UNKNOWN_FIRM)).otherwise(F.least(best, F.lit(1.0)))
+
+    def compare(sides: Column) -> Column:
+        ours, theirs = sides["ours"], sides["theirs"]
+        best = F.array_max(F.flatten(F.transform(ours, lambda a: F.transform(theirs, lambda b: share(a, b)))))
+        return F.when(ours.isNull() | (F.size(ours) == 0), F.lit(None)).when(F.coalesce(F.size(theirs), F.lit(0)) < 1, F.lit(UNKNOWN_FIRM)).otherwise(F.least(best, F.lit(1.0)))
+
+    return let(F.struct(told(F.split(published, r"\|")).alias("ours"), told(known).alias("theirs")), compare)
 
 
 def given_score(a: Column, b: Column) -> Column:

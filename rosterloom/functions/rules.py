@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str

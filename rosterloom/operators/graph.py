@@ -16,15 +16,23 @@ def strongest_parents(edges: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame, starts: DataFrame, hops: int = 12) -> DataFrame:
-    """(node, chain): the walk up strongest edges, at most ``hops`` long, stopped before a repeat."""
-    up = strongest_parents(edges)
-    state = starts.select("node", F.array("node").alias("chain"), F.lit(True).alias("open"))
-    for _ in range(hops):
-        step = state.join(up, F.element_at("chain", -1) == F.col("child"), "left")
-        go = F.col("open") & F.col("parent").isNotNull() & ~F.array_contains("chain", F.col("parent"))
-        go = F.coalesce(go, F.lit(False))
-        state = step.select("node", F.when(go, F.array_append("chain", F.col("parent"))).otherwise(F.col("chain")).alias("chain"), go.alias("open"))
-    return state.select("node", "chain")
+    """(node, chain): the walk up strongest edges, at most ``hops`` long, stopped before a repeat.
+
+    Walks are doubled: the walk of a node is followed by the walk of its end, so twelve hops take four
+    joins. A walk that ended above no longer looks for its end, so the few tops are not hot.
+    """
+    walks = strongest_parents(edges).select(F.col("child").alias("node"), F.array("parent").alias("walk"))
+    reach = 1
+    while reach < hops:
+        going = F.size("walk") == reach  # shorter ones have met a top
+        ends = walks.select(F.struct(F.lit(True).alias("going"), F.col("node").alias("at")).alias("end"), F.col("walk").alias("more"))
+        walks = walks.withColumn("end", F.struct(going.alias("going"), F.when(going, F.element_at("walk", -1)).otherwise(F.col("node")).alias("at"))).join(ends, "end", "left")
+        walks = walks.select("node", F.concat("walk", F.coalesce("more", F.slice("walk", 1, 0))).alias("walk"))
+        reach *= 2
+    whole = F.slice(F.concat(F.array("node"), F.coalesce("walk", F.slice(F.array("node"), 1, 0))), 1, hops + 1)
+    out = starts.select("node").join(walks, "node", "left").select("node", whole.alias("chain"))
+    again = F.array_position(F.transform("chain", lambda x, i: F.array_position("chain", x) <= i), True).cast("int")
+    return out.select("node", F.when(again > 0, F.slice("chain", 1, again - 1)).otherwise(F.col("chain")).alias("chain"))
 
 
 def parent_groups(walked: DataFrame) -> DataFrame:

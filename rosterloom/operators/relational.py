@@ -41,6 +41,20 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
 
 
+def percent_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``name``: average rank of ties over the group's size (see ``numeric.percent_rank_average``).
+
+    Ranks come from positions over all rows, so a group of any size is spread over tasks.
+    """
+    placed = numbered(df, "__at", F.asc(group), F.asc(value))
+    ties = placed.groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.min("__at").alias("__low"), F.max("__at").alias("__high"))
+    sizes = ties.groupBy(F.col("__g").alias("__h")).agg(F.min("__low").alias("__first"), F.sum(F.col("__high") - F.col("__low") + 1).alias("__n"))
+    ranked = ties.join(sizes, F.col("__g").eqNullSafe(F.col("__h")))
+    rank = (F.col("__low") - F.col("__first") + 1 + (F.col("__high") - F.col("__low")) / F.lit(2.0)) / F.col("__n")
+    ranked = ranked.select("__g", "__v", rank.alias(name))
+    return placed.join(ranked, F.col(group).eqNullSafe(F.col("__g")) & F.col(value).eqNullSafe(F.col("__v"))).drop("__at", "__g", "__v")
+
+
 def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in a total order."""
     return top_n(df, keys, 1, *order)

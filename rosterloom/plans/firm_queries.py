@@ -56,8 +56,8 @@ def firm_score_cascade(spark, sf_dir):
   round_even(((rank() OVER (PARTITION BY motion ORDER BY score) + (count(*) OVER (PARTITION BY motion, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY motion))::DECIMAL(28,8), 6)::DOUBLE AS pct
   FROM scored""")
 def score_pct_in_motion(spark, sf_dir):
-    pct = numeric.percent_rank_average(F.col("score"), "motion")
-    return scored(spark, sf_dir).select("crd", "motion", _dec(pct, 6).alias("pct"))
+    ranked = relational.percent_ranks(scored(spark, sf_dir).select("crd", "motion", "score"), "motion", "score", "share")
+    return ranked.select("crd", "motion", _dec(F.col("share"), 6).alias("pct"))
 
 
 @query(f"""WITH {SCORED} SELECT crd, CASE WHEN abs(retail_share - 0.52) < 0.01 THEN 'near_retail_cut' WHEN abs(balance) < 500 THEN 'near_zero_balance' END AS review FROM scored""")

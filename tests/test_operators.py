@@ -181,3 +181,17 @@ def test_book_with_ties_and_distinct_holders(spark):
     df = spark.createDataFrame([("x", 1.0, 1, "h"), ("x", 2.0, 2, "h"), ("y", 1.0, 1, "h"), ("y", 3.0, 1, "i"), ("z", 5.0, 1, "h"), ("z", 5.0, 1, "h")], "acct string, v double, stamp int, who string")
     got = {r.acct: (r.v, r.holders, r.conflict, r.unresolved) for r in allocation.latest_book(df, "acct", "v", F.col("stamp"), holder=F.col("who")).collect()}
     assert got == {"x": (2.0, 1, True, False), "y": (3.0, 2, True, True), "z": (5.0, 1, False, False)}
+
+
+def test_percent_ranks_over_tasks_equal_the_window(spark):
+    from rosterloom.functions import numeric
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", 5.0), (None, 1.0), (None, 1.0)], "g string, v double").repartition(3)
+    got = sorted((r.g or "", r.v, r.p) for r in relational.percent_ranks(df, "g", "v", "p").collect())
+    assert got == sorted((r.g or "", r.v, r.p) for r in df.select("g", "v", numeric.percent_rank_average(F.col("v"), "g").alias("p")).collect())
+
+
+def test_values_at_places_equal_the_lists(spark):
+    df = spark.createDataFrame([("a", v) for v in (5, 1, 3, 3)] + [("b", 7), ("c", None)], "k string, v int")
+    got = {r.k: (r.n, r.top, r.low) for r in relational.at_places(df, ["k"], "v", {"top": F.floor(F.col("n") / 2), "low": F.floor((F.col("n") - 1) * F.lit(0.12))}).collect()}
+    assert got == {"a": (4, 3, 1), "b": (1, 7, 7)}
