@@ -38,6 +38,7 @@ def _decided(spark, sf_dir):
     published = parts.select(F.col("id").alias("pub"), F.struct("last_key", said.alias("said"), firm.alias("firm"), F.col("p_city").alias("city"), F.col("p_state").alias("state"), suffix.alias("suffix")).alias("profile"))
     index = parts.groupBy("last_key", "first", "p_brand", "p_city", "p_state", "ending").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
     pairs = matching.candidates(published.select("profile", "profile.*").distinct(), index).withColumn("name_score", names.given_score(F.col("said"), F.col("first")))
+    pairs = pairs.filter("name_score > 0")  # names that disagree outright are no candidates; who has none gets a row at the end
     number = lambda c: c.cast("int").cast("double")
     same_firm = F.when(F.col("firm").isNull(), F.lit(None)).when(F.col("firm") == F.col("p_brand"), 1.0).otherwise(0.0)
     suffixes = names.same_generation(F.col("suffix"), F.col("ending"))
@@ -46,8 +47,9 @@ def _decided(spark, sf_dir):
     best = matching.decide(scored, "profile", "id", copies="copies").withColumn("gap", F.bround(F.col("gap").cast("decimal(28,8)"), 4).cast("double"))
     high = (F.col("score") >= 0.72) & (F.col("gap") >= 0.12) & (F.col("namesakes") <= 3)
     best = best.withColumn("tier", F.when(F.col("tier") == "none", "none").when(high, "high").otherwise("review"))  # by the rounded gap, as the SQL does
-    out = published.withColumnRenamed("profile", "__p").join(best, F.col("__p").eqNullSafe(F.col("profile")))
-    return out.drop("__p", "profile", "copies")
+    out = published.withColumnRenamed("profile", "__p").join(best, F.col("__p").eqNullSafe(F.col("profile")), "left")
+    nothing = {"namesakes": F.lit(0).cast("long"), "score": F.lit(0.0), "gap": F.lit(0.0), "tier": F.lit("none")}
+    return out.withColumns({c: F.coalesce(c, v) for c, v in nothing.items()}).drop("__p", "profile", "copies")
 
 
 @query(f"WITH {NAMED} SELECT pub, id, namesakes, score, gap, tier FROM decided")
