@@ -6,6 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_MILES = 3958.8
+#: State names and their codes.
+STATES = """
+Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC,
+Florida FL, Georgia GA, Hawaii HI, Idaho ID, Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME,
+Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, Montana MT, Nebraska NE, Nevada NV,
+New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR,
+Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA,
+Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY, Puerto Rico PR, Virgin Islands VI, Guam GU
+"""
+
+
+def state_code(text: Column) -> Column:
+    """The two-letter code of a state's name or code, in any case; null for anything else."""
+    pairs = [p.strip().rsplit(" ", 1) for p in STATES.replace("\n", " ").split(",")]
+    known = F.create_map(*[F.lit(x) for name, code in pairs for x in (name.upper(), code, code, code)])
+    return F.try_element_at(known, F.upper(F.trim(F.regexp_replace(text, r"\s+", " "))))
 
 
 def miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -173,3 +173,27 @@ def html_text(html: Column) -> Column:
 
 def sorted_set(values: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(values)), "|")
+
+
+def short_money(dollars: Column) -> Column:
+    """$1.2T, $12B, $340M, $7K or $950: one decimal below ten of a unit, none above."""
+    d = dollars.cast("decimal(30,6)")
+
+    def unit(size: int, mark: str) -> Column:
+        value = (d / F.lit(size)).cast("decimal(38,12)")
+        text = F.when(d < 10 * size, F.round(value, 1).cast("decimal(38,1)").cast("string")).otherwise(F.round(value, 0).cast("decimal(38,0)").cast("string"))
+        return F.concat(F.lit("$"), text, F.lit(mark))
+
+    whole = lambda v: F.floor(v + F.lit(0.5)).cast("long")
+    small = F.concat(F.lit("$"), F.format_number(whole(d), 0))
+    thousands = F.when(d >= 10**6, F.concat(F.lit("$"), whole(d / 10**6).cast("string"), F.lit("M"))).when(d >= 1000, F.concat(F.lit("$"), whole(d / 1000).cast("string"), F.lit("K"))).otherwise(small)
+    return F.when(d >= 10**12, unit(10**12, "T")).when(d >= 10**9, unit(10**9, "B")).when(d.isNotNull(), thousands)
+
+
+def tenure(start: Column, today: Column) -> Column:
+    """'5 months', '1 year', '3 yr 2 mo' from a day to another; a month is 30.4375 days."""
+    months = F.greatest(F.floor(F.datediff(today, start) / F.lit(30.4375) + 0.5), F.lit(0)).cast("long")
+    years, rest = F.floor(months / 12).cast("long"), months % 12
+    plural = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+    long = F.when(rest > 0, F.concat(years.cast("string"), F.lit(" yr "), rest.cast("string"), F.lit(" mo"))).otherwise(plural(years, "year"))
+    return F.when(months < 12, plural(months, "month")).otherwise(long)

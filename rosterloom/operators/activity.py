@@ -214,3 +214,16 @@ def capacity_returns(df: DataFrame, key: str, stamp: str, tie: str, amount: str,
     freed = df.withColumn("__freed", F.sum(amount).over(w)).withColumn("__over", used + need - limit)
     first = freed.filter((F.col("__over") > 0) & (F.col("__freed") >= F.col("__over")))
     return first.groupBy(key).agg(F.min(F.col(stamp) + F.expr("interval 1 day")).alias("free_at"))
+
+
+def oldest_pages(df: DataFrame, key: str, stamp: str, tie: str, since: Column, size: int = 100, pages: int = 10) -> DataFrame:
+    """Each mailbox's rows from ``since`` on, oldest first, in ``pages`` pages of ``size`` at most.
+
+    ``page`` counts from 1; ``truncated`` says that the mailbox holds more, which the next read takes up.
+    """
+    size = min(max(size, 1), 200)
+    rows = df.filter(F.col(stamp) >= since)
+    held = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    taken = rows.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(stamp, tie))).filter(F.col("__at") <= size * pages)
+    out = taken.join(held, F.col(key).eqNullSafe(F.col("__k")))
+    return out.withColumn("page", F.floor((F.col("__at") - 1) / size).cast("int") + 1).withColumn("truncated", F.col("__n") > size * pages).drop("__at", "__k", "__n")

@@ -186,3 +186,9 @@ def learned_map(df: DataFrame, key: str, value: str, least: int, share: float =
     counts = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     total = counts.groupBy(key).agg(F.sum("n").alias("rows"), F.max_by(value, F.struct("n", F.col(value))).alias(value), F.max("n").alias("top"))
     return total.filter((F.col("rows") >= least) & (F.col("top") >= F.col("rows") * share)).select(key, value, "rows")
+
+
+def capped(df: DataFrame, most: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """(the first ``most`` rows, one row with how many are shown, how many there are, and the rest)."""
+    n = F.count("*")
+    return df.orderBy(*order).limit(most), df.agg(F.least(n, F.lit(most)).alias("shown"), n.alias("total"), F.greatest(n - most, F.lit(0)).alias("more"))

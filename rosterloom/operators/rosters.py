@@ -122,3 +122,18 @@ def nearest_of(points: DataFrame, bases: DataFrame, key: str, lat: str, lon: str
     far = lambda b: F.pow(b["b_lat"] - F.col(lat), F.lit(2.0)) + F.pow((b["b_lon"] - F.col(lon)) * F.cos(F.radians(F.col(lat))), F.lit(2.0))
     best = F.array_min(F.transform("__bases", lambda b: F.struct(far(b).alias("d"), b["base"].alias("base"))))
     return points.crossJoin(F.broadcast(listed)).select(key, best["base"].alias("base"))
+
+
+def drop_label_columns(df: DataFrame, roster: str, column: str, city: str, least: int = 50, variety: float = 0.15, echo: float = 0.5) -> DataFrame:
+    """``df`` with ``column`` emptied in rosters where it lists departments or repeats the city.
+
+    A roster's column goes if at least ``least`` rows fill it and its values are fewer than ``variety``
+    of them, or more than ``echo`` of them equal the city in letters and digits.
+    """
+    filled = df.filter(F.trim(F.col(column)) != "")
+    # values are folded first, so a large roster is not one task's work
+    values = filled.groupBy(roster, column).agg(F.count("*").alias("n"), F.count_if(_key(F.col(column)) == _key(F.coalesce(F.col(city), F.lit("")))).alias("same"))
+    sizes = values.groupBy(roster).agg(F.sum("n").alias("__n"), F.count("*").alias("__values"), F.sum("same").alias("__same"))
+    poor = sizes.filter((F.col("__n") >= least) & ((F.col("__values") < F.col("__n") * variety) | (F.col("__same") > F.col("__n") * echo))).select(roster, F.lit(True).alias("__poor"))
+    out = df.join(poor, roster, "left")
+    return out.withColumn(column, F.when(F.col("__poor"), F.lit("")).otherwise(F.col(column))).drop("__poor")
