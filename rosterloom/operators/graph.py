@@ -83,3 +83,28 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if after.filter("up < was").isEmpty():
             return state.withColumnRenamed("up", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def branches(records: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, branch_id, branch_name, branch_size): people who share an address of mail or a street address.
+
+    ``records`` has ``key``, emails (array), address, zip, city and state. A branch takes its id and its
+    name from where its first record by ``order`` with a street address is, so that nobody's leaving
+    renames it; without any such record the id comes from its least node. A branch of one has neither.
+    Addresses join as nodes of the graph, so a common one makes no pairs.
+    """
+    folded = F.trim(F.regexp_replace(F.lower(F.coalesce("address", F.lit(""))), "[^a-z0-9]+", " "))
+    place = F.when(folded != "", F.concat_ws("|", folded, F.substring(F.trim(F.coalesce("zip", F.lit(""))), 1, 5)))
+    me = F.concat(F.lit("p:"), F.col(key).cast("string"))
+    rows = records.filter(F.col(key).isNotNull()).withColumns({"__me": me, "__place": place})
+    named = F.transform(F.filter(F.coalesce("emails", F.array().cast("array<string>")), lambda e: e.isNotNull()), lambda e: F.concat(F.lit("e:"), F.lower(e)))
+    held = F.concat(named, F.array_compact(F.array(F.when(F.col("__place").isNotNull(), F.concat(F.lit("s:"), "__place")))))
+    group = components(rows.select(F.col("__me").alias("a"), F.explode(held).alias("b"))).select(F.col("node").alias("__me"), "component")
+    placed = rows.join(group, "__me")
+    first = F.min_by(F.struct("__place", "address", "city", "state"), F.struct(F.col("__place").isNull().alias("bare"), order, F.col(key).alias("__k")))
+    of = placed.groupBy("component").agg(F.count_distinct(key).alias("branch_size"), first.alias("at")).filter("branch_size > 1")
+    street = F.trim(F.get(F.split(F.coalesce("at.address", F.lit("")), ","), F.lit(0)))
+    name = F.concat(F.coalesce("at.city", F.lit("")), F.lit(", "), F.coalesce("at.state", F.lit("")), F.when(street != "", F.concat(F.lit(" ("), street, F.lit(")"))).otherwise(""))
+    told = of.select("component", F.concat(F.lit("b-"), F.substring(F.sha1(F.coalesce("at.__place", "component")), 1, 10)).alias("branch_id"), name.alias("branch_name"), "branch_size")
+    out = placed.select(key, "component").distinct().join(told, "component")
+    return records.select(key).distinct().join(out.drop("component"), key, "left").withColumn("branch_size", F.coalesce("branch_size", F.lit(1).cast("long")))
