@@ -5,7 +5,7 @@ to each shard is drawn first: the matrix whose row sums are the block sizes and
 are the shard sizes, distributed as under a uniform permutation of all rows. Each block is then
 permuted by itself and cut at those counts, the pieces are exchanged, and each shard is permuted
 again. Only DataFrame and SQL functions are used; no step holds more than ``rows_per_block`` rows
-or one matrix slice of ``FAN`` blocks in a task.
+or the matrix rows of ``FAN`` children of one tree node in a task.
 
 Defined results: shard sizes differ by at most one (the first ``n mod shards`` are the larger);
 slots run gapless from 0 in every shard; the same rows, seed and parameters give the same result
@@ -21,22 +21,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, without
 
-#: Blocks whose matrix rows one task draws, one after another.
+#: Children of a tree node, whose matrix rows one task draws, one after another.
 FAN = 64
 #: The matrix is broadcast up to this size and joined by a shuffle beyond it.
 BROADCAST_BYTES = 8 << 20
 _UNIT = 2.0**-53
 
 
-def _log_factorial(x: str) -> str:
-    """ln(x!) by Stirling's series at x + 9, brought back by eight divisions."""
-    y = f"({x} + 9d)"
-    product = " * ".join(f"({x} + {k}d)" for k in range(1, 9))
-    return f"(({y} - 0.5d) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}d + 1d/(12d*{y}) - 1d/(360d*{y}*{y}*{y}) + 1d/(1260d*pow({y}, 5d)) - ln({product}))"
-
-
 def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
@@ -44,19 +37,21 @@ def _bind(value: str, name: str, body: str) -> str:
 def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     """Marked items among ``drawn`` of ``total``: the inverse distribution function at ``u``.
 
-    The walk starts 12 standard deviations and 12 items below the mean, where less than 1e-30 of
-    the mass lies, and stays inside the exact bounds of the distribution.
+    The walk starts 12 standard deviations and 12 items below the mean and ends as far above it,
+    beyond which less than 1e-30 of the mass lies, and stays inside the exact bounds of the
+    distribution. Weights are relative to the first one; a first walk sums them, a second one stops
+    at the share ``u`` of that sum, so no factorial is taken and large counts lose no digits.
     """
-    f = _log_factorial
-    start = f"exp({f('q.c')} - {f('q.a')} - {f('(q.c - q.a)')} + {f('(q.t - q.c)')} - {f('(q.n - q.a)')} - {f('(q.t - q.c - q.n + q.a)')} - {f('q.t')} + {f('q.n')} + {f('(q.t - q.n)')})"
     step = "s.p * (q.c - k) * (q.n - k) / ((k + 1d) * (q.t - q.c - q.n + k + 1d))"
-    walk = f"""aggregate(sequence(q.a, q.b - 1L), named_struct('p', {start}, 'cum', {start}, 'k', q.a),
-        (s, k) -> if(s.cum >= q.u, s, {_bind(step, "p", "named_struct('p', p, 'cum', s.cum + p, 'k', k + 1L)")}), s -> s.k)"""
+    whole = f"""aggregate(sequence(q.a, q.b - 1L), named_struct('p', 1d, 'cum', 1d),
+        (s, k) -> {_bind(step, "p", "named_struct('p', p, 'cum', s.cum + p)")}, s -> s.cum * q.u)"""
+    walk = f"""aggregate(sequence(q.a, q.b - 1L), named_struct('p', 1d, 'cum', 1d, 'k', q.a),
+        (s, k) -> if(s.cum >= goal, s, {_bind(step, "p", "named_struct('p', p, 'cum', s.cum + p, 'k', k + 1L)")}), s -> s.k)"""
     half = "12d * sqrt(greatest(0d, w.n * (w.c / w.t) * (1d - w.c / w.t) * ((w.t - w.n) / greatest(w.t - 1d, 1d)))) + 12d"
     bounds = f"""named_struct('t', w.t, 'c', w.c, 'n', w.n, 'u', w.u,
         'a', greatest(0L, cast(w.n + w.c - w.t as bigint), cast(floor(w.n * w.c / w.t - ({half})) as bigint)),
         'b', least(cast(w.n as bigint), cast(w.c as bigint), cast(ceil(w.n * w.c / w.t + ({half})) as bigint)))"""
-    inner = _bind(bounds, "q", f"if(q.a >= q.b, q.b, {walk})")
+    inner = _bind(bounds, "q", f"if(q.a >= q.b, q.b, {_bind(whole, 'goal', walk)})")
     given = f"named_struct('t', cast({total} as double), 'c', cast({marked} as double), 'n', cast({drawn} as double), 'u', {u})"
     return f"if({marked} = 0L or {drawn} = 0L, 0L, if({marked} = {total}, {drawn}, {_bind(given, 'w', inner)}))"
 
@@ -72,20 +67,24 @@ def _matrix(sizes: str, columns: str, node: str, seed: int) -> str:
         (m, i) -> {_bind(one, "row", "named_struct('left', zip_with(m.left, row, (x, y) -> x - y), 'out', array_append(m.out, row))")}, m -> m.out)"""
 
 
-def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+def communication_matrix(counts: DataFrame, shards: int, seed: int, blocks: int) -> DataFrame:
     """(block, upto): upto[s] is the rows of the block that go to shards 0 to s.
 
-    ``counts`` holds (block, n). The rows of the matrix are drawn for groups of ``FAN`` blocks in
-    parallel, after the groups' own totals have been drawn in the same way.
+    ``counts`` holds (block, n) for blocks below ``blocks``. The matrix is drawn down a tree: each
+    node shares its own row among at most ``FAN`` children, all nodes of a level in parallel, so a
+    task draws one node at a time however many blocks there are.
     """
-    groups = counts.groupBy(F.expr(f"cast(floor(block / {FAN}) as bigint)").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("members"), F.sum("n").alias("n"))
-    top = groups.agg(F.sort_array(F.collect_list(F.struct("grp", "n"))).alias("groups"), F.sum("n").alias("n"))
+    levels, nodes, width = [], counts.select(F.col("block").alias("node"), "n"), blocks
+    while not levels or width > 1:
+        above = nodes.groupBy(F.expr(f"cast(floor(node / {FAN}) as bigint)").alias("node"))
+        levels.append(above.agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("members"), F.sum("n").alias("n")))
+        nodes, width = levels[-1].select("node", "n"), math.ceil(width / FAN)
     columns = f"transform(sequence(0, {shards - 1}), s -> cast(floor(n / {shards}) as bigint) + if(s < n % {shards}, 1L, 0L))"
-    top = top.filter("n > 0").select("groups", F.expr(columns).alias("columns")).select("groups", F.expr(_matrix("transform(groups, g -> g.n)", "columns", "-1L", seed)).alias("drawn"))
-    shares = top.select(F.explode(F.arrays_zip(F.col("groups.grp").alias("grp"), F.col("drawn"))).alias("x")).select("x.grp", F.col("x.drawn").alias("columns"))
-    drawn = groups.join(shares, "grp").select("members", F.expr(_matrix("transform(members, g -> g.n)", "columns", "grp", seed + 1)).alias("drawn"))
-    rows = drawn.select(F.explode(F.arrays_zip(F.col("members.block").alias("block"), F.col("drawn"))).alias("x")).select("x.block", F.col("x.drawn").alias("counts"))
-    return rows.select("block", F.expr("transform(counts, (c, i) -> aggregate(slice(counts, 1, i + 1), 0L, (x, y) -> x + y))").alias("upto"))
+    rows = nodes.filter("n > 0").select("node", F.expr(columns).alias("columns"))
+    for depth, level in enumerate(reversed(levels)):
+        drawn = level.select("node", "members").join(rows, "node").select("members", F.expr(_matrix("transform(members, g -> g.n)", "columns", "node", seed + depth)).alias("drawn"))
+        rows = drawn.select(F.explode(F.arrays_zip(F.col("members.node").alias("node"), F.col("drawn"))).alias("x")).select("x.node", F.col("x.drawn").alias("columns"))
+    return rows.select(F.col("node").alias("block"), F.expr("transform(columns, (c, i) -> aggregate(slice(columns, 1, i + 1), 0L, (x, y) -> x + y))").alias("upto"))
 
 
 def shard(df: DataFrame, keys: list[str], shards: int, seed: int = 1, rows_per_block: int = 1_000_000, blocks: int | None = None) -> DataFrame:
@@ -95,7 +94,9 @@ def shard(df: DataFrame, keys: list[str], shards: int, seed: int = 1, rows_per_b
     blocks = blocks or max(FAN, math.ceil(count / rows_per_block))
     tie = [F.col(k) for k in keys]
     rows = rows.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), *tie), F.lit(blocks)))
-    matrix = communication_matrix(rows.groupBy(F.col("__block").alias("block")).agg(F.count("*").alias("n")), shards, seed)
+    # one row a block, kept, so that the levels of the tree do not read the table again
+    counts = cut(rows.groupBy(F.col("__block").alias("block")).agg(F.count("*").alias("n")))
+    matrix = communication_matrix(counts, shards, seed, blocks)
     if blocks * shards * 8 <= BROADCAST_BYTES:
         matrix = F.broadcast(matrix)
     local = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed + 2), *tie), *tie)

@@ -37,7 +37,7 @@ def test_matrix_has_the_margins_and_the_moments_of_a_uniform_shuffle(spark):
     counts = spark.createDataFrame([(k, 10 + k % 7) for k in range(200)], "block long, n long")
     cells = []
     for seed in range(3):
-        rows = shuffle_shards.communication_matrix(counts, 4, seed * 10).collect()
+        rows = shuffle_shards.communication_matrix(counts, 4, seed * 10, 200).collect()
         parts = {r.block: [b - a for a, b in zip([0, *r.upto], r.upto)] for r in rows}
         assert all(sum(parts[k]) == 10 + k % 7 for k in range(200))
         total = sum(10 + k % 7 for k in range(200))
@@ -47,6 +47,28 @@ def test_matrix_has_the_margins_and_the_moments_of_a_uniform_shuffle(spark):
     assert 0.85 < excess < 1.15  # the variance of a hypergeometric draw, nearly binomial here
 
 
+@pytest.mark.parametrize("blocks,n", [(4200, 3), (70, 3_000_000)])
+def test_matrix_of_a_deep_tree_and_of_large_counts(spark, blocks, n):
+    shards, total = 3, blocks * n
+    rows = shuffle_shards.communication_matrix(spark.range(blocks).select(F.col("id").alias("block"), F.lit(n).cast("long").alias("n")), shards, 5, blocks).collect()
+    parts = {r.block: [b - a for a, b in zip([0, *r.upto], r.upto)] for r in rows}
+    assert set(parts) == set(range(blocks)) and all(sum(p) == n and min(p) >= 0 for p in parts.values())
+    assert [sum(p[s] for p in parts.values()) for s in range(shards)] == [total // shards + (s < total % shards) for s in range(shards)]
+    excess = sum((p[s] - n / shards) ** 2 for p in parts.values() for s in range(shards)) / (blocks * shards * n * (1 / shards) * (1 - 1 / shards))
+    assert 0.7 < excess < 1.35
+
+
+@pytest.mark.parametrize("total,marked,drawn", [(20, 7, 9), (6, 5, 4), (1000, 3, 400)])
+def test_draws_follow_the_distribution(spark, total, marked, drawn):
+    from math import comb
+
+    us = [(k + 0.5) / 400 for k in range(400)]
+    draw = shuffle_shards._hypergeometric(f"{total}L", f"{marked}L", f"{drawn}L", "u")
+    got = [r.k for r in spark.createDataFrame([(u,) for u in us], "u double").select("u", F.expr(draw).alias("k")).orderBy("u").collect()]
+    mass = [comb(marked, k) * comb(total - marked, drawn - k) / comb(total, drawn) if 0 <= drawn - k <= total - marked else 0.0 for k in range(marked + 1)]
+    assert got == [next(k for k in range(marked + 1) if sum(mass[: k + 1]) >= u - 1e-12) for u in us]
+
+
 def brute_lines(rows, ratio):
     pages, seen = Counter(h for h, _ in rows), defaultdict(set)
     for k, (h, t) in enumerate(rows):
