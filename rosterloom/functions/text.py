@@ -96,6 +96,21 @@ def house_number(line: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(line), r"^(\d+)", 1), F.lit(""))
 
 
+#: The numbers that filings spell out.
+NUMBER_WORDS = ["ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN"]
+
+
+def filed_number(line: Column) -> Column:
+    """The house number of a filed line: digits, a spelled number, or a grid number in one or two words."""
+    words = F.transform(F.split(F.trim(line), r"\s+"), lambda w: F.upper(F.regexp_replace(w, ",+$", "")))
+    head, after, grid = F.get(words, 0), F.get(words, 1), r"^[NSEW]\d+$"
+    spelled = F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), head)
+    return (
+        F.when(head.rlike(r"^\d+$"), head).when(spelled > 0, spelled.cast("string"))
+        .when(head.rlike(grid) & after.rlike(grid), F.concat(head, after)).when(head.rlike(r"^([NSEW]\d+){1,2}$"), head)
+    )
+
+
 def address_key(line: Column, city: Column, state: Column, postal: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (key(line), key(city), key(state), F.substring(F.trim(postal), 1, 5))])
 

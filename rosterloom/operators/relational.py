@@ -85,12 +85,15 @@ def in_order(keys: DataFrame, df: DataFrame, on: list[str]) -> DataFrame:
 
 
 def fill_null(df: DataFrame, overrides: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Overrides fill absent values only."""
-    renamed = overrides.select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
-    out = df.join(renamed, on, "left")
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(c, f"__{c}"))
-    return out.drop(*[f"__{c}" for c in columns])
+    """Overrides fill absent values only. Keys meet without regard to case and outer blanks.
+
+    Of several overrides of one key the least row is taken, so no row of ``df`` is repeated.
+    """
+    fold = lambda frame: [(F.upper(F.trim(k)) if dict(frame.dtypes)[k] == "string" else F.col(k)).alias(f"__on{i}") for i, k in enumerate(on)]
+    keys = [f"__on{i}" for i in range(len(on))]
+    given = overrides.select(*fold(overrides), F.struct(*columns).alias("__given")).groupBy(*keys).agg(F.min("__given").alias("__given"))
+    out = df.select("*", *fold(df)).join(given, keys, "left")
+    return out.select(*[F.coalesce(c, f"__given.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, on: list[str], replace: bool = True) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from .relational import top_n
 
+#: Words of a name that nobody is searched by.
+NOT_NAMES = ["jr", "sr", "ii", "iii", "iv", "and", "the", "of", "de", "la"]
+
 
 def places(terms: DataFrame, states: DataFrame, zips: DataFrame, cities: DataFrame, most: int = 10) -> DataFrame:
     """(q, place, kind, label, state): the first ``most`` places for each term.
@@ -61,3 +65,21 @@ def field(terms: DataFrame, index: DataFrame, near: DataFrame | None = None) ->
     close = said.withColumn("k", first).join(texts.withColumn("k", F.explode(pairs)), "k").filter(F.forall("words", lambda w: F.contains(F.col("text"), w)))
     close = close.select("q", "id").distinct().withColumn("source", F.lit("near"))
     return close.unionByName(far.join(close.select("q", "id"), ["q", "id"], "left_anti"))
+
+
+def name_shards(df: DataFrame, key: str, name: str, split_above: int = 2500) -> DataFrame:
+    """(prefix, key, name, alt): each person once under every prefix that a search for them may begin with.
+
+    Words of a name and what they are short for are filed by two letters; a prefix of more than
+    ``split_above`` people gives way to its three-letter ones. ``alt`` holds the words that the name
+    itself does not contain. Prefixes of two letters are at most 676, which bounds the broadcast.
+    """
+    plain = F.lower(F.col(name))
+    words = F.transform(F.split(plain, r"\s+"), lambda w: F.regexp_replace(w, "[^a-z]", ""))
+    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*NOT_NAMES))
+    tokens = F.filter(names.with_nicknames(words), lambda w: F.length(w) >= 2)
+    alt = F.array_join(F.array_sort(F.filter(tokens, lambda w: ~F.contains(plain, w))), " ")
+    filed = df.select(key, name, alt.alias("alt"), F.explode(tokens).alias("token")).withColumn("two", F.substring("token", 1, 2))
+    heavy = filed.groupBy("two").agg(F.count_distinct(key).alias("n")).filter(F.col("n") > split_above).select("two", F.lit(3).alias("letters"))
+    filed = filed.join(F.broadcast(heavy), "two", "left").withColumn("prefix", F.when(F.col("letters").isNull(), F.col("two")).when(F.length("token") >= 3, F.substring("token", 1, 3)))
+    return filed.filter(F.col("prefix").isNotNull()).select("prefix", key, name, "alt").distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Iterable
+import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,16 @@ def newest(names: Iterable[str], pattern: str) -> str:
     raise FileNotFoundError(f"no file matches {pattern}" if not found else f"several undated files match {pattern}: {sorted(found)}")
 
 
+def newest_by_slug(names: Iterable[str], kind: str = "csv") -> dict[str, str]:
+    """The latest file of every roster, named ``slug_date.kind``; undated and other names are left out."""
+    found: dict[str, tuple[str, str]] = {}
+    for n in names:
+        m = _DATE.search(n)
+        if m and n.endswith(f".{kind}") and (slug := n[: m.start()].rstrip("_-")):
+            found[slug] = max(found.get(slug, ("", "")), (file_date(n), n))
+    return {slug: n for slug, (_, n) in sorted(found.items())}
+
+
 def list_names(spark: SparkSession, folder: str) -> list[str]:
     """File names in a folder of any store that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -42,6 +56,66 @@ def wide_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> Da
     return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=True, escape='"')
 
 
+def _zip_rows(encoding: str, chunk: int = 10_000):
+    """(file, place, cells) of the CSV members of ZIP files; a member is read row by row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*[c.to_pylist() for c in batch.columns]):
+                with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                    for member in sorted(n for n in packed.namelist() if n.lower().endswith(".csv")):
+                        held, place = [], 0
+                        with packed.open(member) as raw:
+                            for cells in csv.reader(io.TextIOWrapper(raw, encoding, newline="")):
+                                held.append((f"{path}/{member}", place, cells))
+                                place += 1
+                                if len(held) == chunk:
+                                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), _ZIP_TYPES)], ["file", "place", "cells"])
+                                    held = []
+                        if held:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), _ZIP_TYPES)], ["file", "place", "cells"])
+
+    return rows
+
+
+_ZIP_TYPES = [pa.string(), pa.int64(), pa.list_(pa.string())]
+
+
+def zipped_csv(spark: SparkSession, path: str, encoding: str = "latin-1") -> DataFrame:
+    """All columns as strings, from the CSV members of the ZIP files at ``path`` (up to 2 GB each, one task a file).
+
+    All members have the header of the first; empty cells are null.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = raw.mapInArrow(_zip_rows(encoding), "file string, place long, cells array<string>")
+    first = rows.filter("place = 0").orderBy("file").first()
+    header = first.cells if first else []
+    return rows.filter("place > 0").select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)])
+
+
+def by_state(spark: SparkSession, folder: str) -> DataFrame:
+    """All per-state Parquet files of a folder as one table; ``state`` comes from the name (``.._NY.parquet``)."""
+    df = spark.read.option("mergeSchema", True).parquet(f"{folder}/*_[A-Z][A-Z].parquet")
+    return df.withColumn("state", F.regexp_extract("_metadata.file_path", r"_([A-Z]{2})\.parquet", 1))
+
+
+def fetch(spark: SparkSession, folder: str, column: str, wanted: list[str]) -> DataFrame:
+    """The rows of some partitions of a table written by ``column``; other partitions are not read, absent keys are no error."""
+    return spark.read.parquet(folder).filter(F.col(column).cast("string").isin(*wanted))
+
+
+def territories(spark: SparkSession, path: str) -> DataFrame:
+    """(state, code, name, email) of a YAML file with ``people`` (code: {name: .., email: ..}) and ``territories`` (code: [states])."""
+    body = spark.read.text(path, wholetext=True)
+    section = lambda name: F.regexp_extract("value", rf"(?ms)^{name}:[^\n]*\n(.*?)(?=^\w|\z)", 1)
+    each = lambda text, pattern, *n: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"f{i}") for i in n])
+    owned = body.select(F.explode(each(section("territories"), r"(?m)^ +(\w+): *\[([^\]]*)\]", 1, 2)).alias("x"))
+    owned = owned.select(F.col("x.f1").alias("code"), F.explode(F.split("x.f2", r"\s*,\s*")).alias("state"))
+    who = body.select(F.explode(each(section("people"), r"(?m)^ +(\w+): *\{ *name: *([^,}]*), *email: *([^,} ]*)", 1, 2, 3)).alias("x"))
+    who = who.select(F.col("x.f1").alias("code"), F.trim("x.f2").alias("name"), F.col("x.f3").alias("email"))
+    return owned.join(who, "code", "left").select(F.trim("state").alias("state"), "code", "name", "email")
+
+
 def normal_header(name: str) -> str:
     return re.sub("[^a-z0-9]", "", name.lower())
 
@@ -163,13 +237,21 @@ def write_shards(df: DataFrame, key: str, folder: str) -> None:
 
 
 def write_export(df: DataFrame, path: str, provenance: str) -> None:
-    """A CSV with formula leaders neutralised and the provenance in a column of its own."""
+    """A CSV with formula leaders neutralised and the provenance in a column of its own.
+
+    Every file begins with a byte order mark, by which spreadsheets know UTF-8.
+    """
     from ..functions.text import csv_guard
 
-    cells = [csv_guard(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+    cells = [(csv_guard(F.col(c)) if t == "string" else F.col(c)).alias(("\ufeff" if i == 0 else "") + c) for i, (c, t) in enumerate(df.dtypes)]
     df.select(*cells, F.lit(provenance).alias("provenance")).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
 
 
+def write_name_shards(index: DataFrame, folder: str) -> None:
+    """A folder for each prefix of a name index, rebuilt as a whole."""
+    index.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(folder)
+
+
 def rankings(spark: SparkSession, path: str) -> DataFrame:
     """Ranking rows of a JSON list with their details as columns; the scope says what a rank counts in."""
     from ..operators.rosters import detail_columns
