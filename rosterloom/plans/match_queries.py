@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import graph, matching, relational
-from .base import ORACLE_SQL, QUERIES, query, table
+from ..operators import evidence, graph, matching, relational
+from .base import query, table
 
 
 def _parts(spark, sf_dir):
@@ -30,26 +30,25 @@ decided AS (SELECT pub, CASE WHEN able THEN id END AS id, said, first, namesakes
    CASE WHEN NOT able THEN 'none' WHEN score >= 0.72 AND round_even(gap::DECIMAL(28,8), 4) >= 0.12 AND namesakes <= 3 THEN 'high' ELSE 'review' END AS tier FROM best WHERE rn = 1)"""
 
 
+def _letters(number):
+    return F.translate(number.cast("string"), "0123456789", "abcdefghij")
+
+
+def _published(spark, sf_dir):
+    """Published rows and the people they may be; a brand is a firm of one word."""
+    p = _parts(spark, sf_dir).withColumns({"city": (F.col("p_size") % 7).cast("string"), "state": (F.col("p_size") % 3).cast("string"), "house": F.concat(F.lit("house"), _letters(F.split("p_brand", "#")[1]))})
+    k = F.col("id")
+    said = F.when(k % 3 == 0, F.col("first")).when(k % 3 == 1, F.substring("first", 1, 1)).otherwise(F.expr("substring(first, 2)"))
+    published = p.select(k.alias("pub"), "last_key", F.array(said).alias("said"), F.when(k % 5 != 0, F.col("house")).alias("firm"), "city", "state", F.when(k % 7 == 1, "jr").alias("suffix"), "p_type")
+    index = p.select("id", "last_key", F.array("first").alias("forms"), F.array("house").alias("firms"), F.array("city").alias("cities"), F.array("state").alias("states"), F.col("ending").alias("suffix"), "p_type")
+    return published, index
+
+
 def _decided(spark, sf_dir):
-    """Every published name. Names and candidates with the same evidence are compared once, with counts and least ids."""
-    parts = _parts(spark, sf_dir).select("id", "first", "last_key", "p_brand", (F.col("p_size") % 7).alias("p_city"), (F.col("p_size") % 3).alias("p_state"), "ending")
-    said = F.when(F.col("id") % 3 == 0, F.col("first")).when(F.col("id") % 3 == 1, F.substring("first", 1, 1)).otherwise(F.expr("substring(first, 2)"))
-    firm, suffix = F.when(F.col("id") % 5 != 0, F.col("p_brand")), F.when(F.col("id") % 7 == 1, "jr")
-    published = parts.select(F.col("id").alias("pub"), F.struct("last_key", said.alias("said"), firm.alias("firm"), F.col("p_city").alias("city"), F.col("p_state").alias("state"), suffix.alias("suffix")).alias("profile"))
-    index = parts.groupBy("last_key", "first", "p_brand", "p_city", "p_state", "ending").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
-    pairs = matching.candidates(published.select("profile", "profile.*").distinct(), index).withColumn("name_score", names.given_score(F.col("said"), F.col("first")))
-    pairs = pairs.filter("name_score > 0")  # names that disagree outright are no candidates; who has none gets a row at the end
-    number = lambda c: c.cast("int").cast("double")
-    same_firm = F.when(F.col("firm").isNull(), F.lit(None)).when(F.col("firm") == F.col("p_brand"), 1.0).otherwise(0.0)
-    suffixes = names.same_generation(F.col("suffix"), F.col("ending"))
-    raw = matching.score(F.col("name_score"), same_firm, number(F.col("city") == F.col("p_city")), number(F.col("state") == F.col("p_state")), suffixes)
-    scored = pairs.select("profile", "id", "copies", "said", "first", "name_score", F.bround(raw.cast("decimal(28,8)"), 4).cast("double").alias("score"))
-    best = matching.decide(scored, "profile", "id", copies="copies").withColumn("gap", F.bround(F.col("gap").cast("decimal(28,8)"), 4).cast("double"))
-    high = (F.col("score") >= 0.72) & (F.col("gap") >= 0.12) & (F.col("namesakes") <= 3)
-    best = best.withColumn("tier", F.when(F.col("tier") == "none", "none").when(high, "high").otherwise("review"))  # by the rounded gap, as the SQL does
-    out = published.withColumnRenamed("profile", "__p").join(best, F.col("__p").eqNullSafe(F.col("profile")), "left")
-    nothing = {"namesakes": F.lit(0).cast("long"), "score": F.lit(0.0), "gap": F.lit(0.0), "tier": F.lit("none")}
-    return out.withColumns({c: F.coalesce(c, v) for c, v in nothing.items()}).drop("__p", "profile", "copies")
+    """Every published name, with what it says and the form that was found."""
+    published, index = _published(spark, sf_dir)
+    found = evidence.match_published(published, index, "pub").join(published.select("pub", F.col("said")[0].alias("said")), "pub")
+    return found.join(index.select("id", F.col("forms")[0].alias("first")), "id", "left")
 
 
 @query(f"WITH {NAMED} SELECT pub, id, namesakes, score, gap, tier FROM decided")
@@ -69,8 +68,60 @@ def match_calibration(spark, sf_dir):
     return matching.calibrate(_decided(spark, sf_dir), F.col("score"), F.col("pub") == F.col("id"), [0.3, 0.5, 0.7, 0.9])
 
 
-for _name in ("entity_match_tiers", "match_demotion", "match_calibration"):  # once for part of the names; kept as names of the same queries
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
+_SHARE = "list_max(flatten(list_transform(parts, lambda p: list_transform(words, lambda q: len(list_intersect(p, q))::DOUBLE / least(len(p), len(q))))))"
+FIRMED = f"""parts AS (SELECT p_partkey AS id, p_size % 7 AS city, p_size % 3 AS state, lower(p_type) AS kind, 'house' || translate(string_split(p_brand, '#')[2], '0123456789', 'abcdefghij') AS house,
+  string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[2] AS last_key, CASE p_partkey % 11 WHEN 1 THEN 'jr' WHEN 2 THEN 'sr' END AS ending FROM part),
+published AS (SELECT id AS pub, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN substr(first, 1, 1) ELSE substr(first, 2) END AS said, last_key, CASE WHEN id % 5 > 1 THEN [[kind, last_key], [house]] END AS parts, city, state, CASE id % 7 WHEN 1 THEN 'jr' END AS suffix FROM parts),
+known AS (SELECT id, first, last_key, CASE WHEN id % 9 = 0 THEN [] ELSE [[house], [first, kind]] END AS words, [city, (city + id) % 7] AS cities, state, ending FROM parts),
+pairs AS (SELECT pub, id, CASE WHEN said = first THEN 1.0::DOUBLE WHEN length(said) > 1 AND length(first) > 1 AND levenshtein(said, first) <= 1 THEN 0.8::DOUBLE
+   WHEN (length(said) = 1 OR length(first) = 1) AND substr(said, 1, 1) = substr(first, 1, 1) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS name_score, parts, words,
+   list_contains(k.cities, p.city)::INT::DOUBLE AS c, (p.state = k.state)::INT::DOUBLE AS s, CASE WHEN suffix IS NULL OR ending IS NULL THEN 0.0::DOUBLE WHEN suffix = ending THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS g FROM published p JOIN known k USING (last_key)),
+able AS (SELECT *, CASE WHEN parts IS NULL THEN NULL WHEN len(words) = 0 THEN 0.3::DOUBLE ELSE {_SHARE} END AS f FROM pairs WHERE name_score > 0),
+scored AS (SELECT pub, id, name_score, round_even((CASE WHEN f IS NULL THEN (name_score * 0.42 + c * 0.13 + s * 0.15)::DOUBLE / 0.7::DOUBLE ELSE (name_score * 0.42 + c * 0.13 + s * 0.15 + f * 0.3)::DOUBLE END + g * 0.18::DOUBLE)::DECIMAL(28,8), 4)::DOUBLE AS score FROM able),
+best AS (SELECT *, count(*) FILTER (name_score >= 0.8) OVER (PARTITION BY pub) AS namesakes, round_even((score - coalesce(lead(score) OVER w, 0))::DECIMAL(28,8), 4)::DOUBLE AS gap, row_number() OVER w AS rn
+   FROM scored WINDOW w AS (PARTITION BY pub ORDER BY score DESC, id)),
+inferred AS (SELECT p.pub, id, coalesce(namesakes, 0) AS namesakes, coalesce(score, 0) AS score, coalesce(gap, 0) AS gap,
+   CASE WHEN id IS NULL THEN 'none' WHEN score >= 0.72 AND gap >= 0.12 AND namesakes <= 3 THEN 'high' ELSE 'review' END AS tier FROM published p LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (pub)),
+decided AS (SELECT pub, CASE WHEN pub % 10 = 3 THEN pub ELSE id END AS id, namesakes, CASE WHEN pub % 10 = 3 THEN 1.0 ELSE score END::DOUBLE AS score, gap, CASE WHEN pub % 10 = 3 THEN 'confirmed' ELSE tier END AS tier,
+   id AS inferred, score AS inferred_score FROM inferred)"""
+
+
+def _by_firm_words(spark, sf_dir):
+    """Published rows with firms as they are written ("Team | House"), and known ids for a tenth of them."""
+    published, index = _published(spark, sf_dir)
+    k, kind = F.col("pub"), F.lower("p_type")
+    told = F.concat(kind, F.lit(" "), "last_key", F.lit(" Wealth Management | The "), "firm", F.lit(", LLC"))
+    published = published.withColumn("firm", F.when(k % 5 == 1, "Capital Advisors Group").otherwise(told)).drop("p_type")
+    number = F.col("id")
+    town = F.array(F.col("cities")[0], ((F.col("cities")[0].cast("int") + number) % 7).cast("string"))
+    firms = F.when(number % 9 == 0, F.array(F.lit("Financial Services"))).otherwise(F.array(F.concat(F.col("firms")[0], F.lit(" Advisors Inc")), F.concat(F.col("forms")[0], F.lit(" "), F.lower("p_type"), F.lit(" Partners LP"))))
+    index = index.withColumns({"firms": firms, "cities": town}).drop("p_type")
+    truth = published.filter(k % 10 == 3).select("pub", k.alias("id"))
+    return matching.confirm(evidence.match_published(published, index, "pub"), truth, "pub", "id")
+
+
+@query(f"WITH {FIRMED} SELECT pub, id, namesakes, score, gap, tier, inferred, inferred_score FROM decided")
+def entity_match_tiers_all(spark, sf_dir):
+    """By firm words, several firms and cities a person, with tier confirmed where the id is known."""
+    return _by_firm_words(spark, sf_dir).select("pub", "id", "namesakes", "score", "gap", "tier", "inferred", "inferred_score")
+
+
+@query(f"WITH {FIRMED} SELECT tier, count(*) AS rows, count(*) FILTER (inferred = pub) AS found, count(*) FILTER (inferred IS NOT NULL) AS answered FROM decided GROUP BY 1")
+def match_demotion_all(spark, sf_dir):
+    """What each tier holds, and how often the matcher by itself was right there."""
+    found = F.coalesce(F.col("inferred") == F.col("pub"), F.lit(False))
+    return _by_firm_words(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("rows"), F.count_if(found).alias("found"), F.count("inferred").alias("answered"))
+
+
+@query(f"""WITH {FIRMED}, t AS (SELECT unnest([0.60, 0.66, 0.72, 0.78, 0.84, 0.90])::DOUBLE AS threshold), k AS (SELECT *, gap >= 0.12 AND namesakes <= 3 AS clear FROM decided WHERE tier = 'confirmed')
+  SELECT threshold, count(*) FILTER (clear AND inferred_score >= threshold) AS accepted, count(*) FILTER (clear AND inferred_score >= threshold AND inferred = pub) AS correct, count(*) AS known FROM k, t GROUP BY 1""")
+def match_calibration_all(spark, sf_dir):
+    """The matcher by itself against the known ids, at six thresholds."""
+    known = _by_firm_words(spark, sf_dir).filter("tier = 'confirmed'")
+    clear = (F.col("gap") >= 0.12) & (F.col("namesakes") <= 3)
+    rated = known.withColumn("rated", F.when(clear, F.col("inferred_score")).otherwise(-1.0))
+    out = matching.calibrate(rated, F.col("rated"), F.coalesce(F.col("inferred") == F.col("pub"), F.lit(False)), [0.60, 0.66, 0.72, 0.78, 0.84, 0.90])
+    return out.crossJoin(F.broadcast(known.agg(F.count("*").alias("known")))).select("threshold", "accepted", "correct", "known")
 
 
 def _people(spark, sf_dir):
