@@ -8,7 +8,8 @@ E is decided by fingerprint-routed RDD: a text's XXH64 routes it to a partition,
 fingerprint a chain of colliding texts in full, each with its least id so far, and emits every id
 that is not the least. Copies that a task reads together are folded there: only the least id of
 a text leaves the task with the text, so a text that a third of all rows share sends one row a task.
-Each partition is sorted by fingerprint (on disk beyond ``spark.python.worker.memory``), so that one
+There are as many partitions as the bytes of all texts ask for.
+Each is sorted by fingerprint (on disk beyond ``spark.python.worker.memory``), so that one
 chain at a time is in memory. A task folds at most ``HELD`` characters of texts before it sends them.
 
 Every row then is (id, part, mask of failed filters). Labels join these small rows; ``combineByKey``
@@ -23,6 +24,7 @@ empty table gives an empty result. Extra columns play no part.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import permutations
 
@@ -35,6 +37,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS = 50
 #: Characters of texts that a task folds before it sends them on.
 HELD = 16 << 20
+#: Bytes of texts that a partition of fingerprints may get, whatever the session's number of partitions.
+PART_BYTES = 64 << 20
 SEED = 42
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKED = re.compile(r"[#$%&*|]")
@@ -135,7 +139,8 @@ def failed_masks(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sent = rows.rdd.mapPartitions(_folded(held))
-    parts = max(sent.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(sent.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     routed = sent.repartitionAndSortWithinPartitions(parts, lambda k: k[0] % parts)
     return spark.createDataFrame(routed.mapPartitions(_decided), "id bigint, part string, mask int, n bigint", verifySchema=False)
 
