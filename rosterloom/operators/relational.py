@@ -5,24 +5,29 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints and passing tables.
 
-    The folder is the one that the cluster names; only a local session, whose executors are the
-    driver, gets one of its own where none is named.
+    Only a local session, whose executors are the driver, gets one of its own where none is named.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="rosterloom-")).as_uri())
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once and kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import activity, relational
+from ..streaming import keyed_store, live_queue
 from .base import LOG, log, query, table
 
 AS_OF = "2024-01-25 00:00:00"
@@ -39,8 +42,8 @@ DECIDED = f"""{FOLD}, kept AS (SELECT user_id % 7 AS rep, user_id % 40 AS adviso
     CASE WHEN last_reply IS NULL THEN coalesce(reply_state, 'none') WHEN acted_at IS NULL OR last_reply > acted_at THEN 'new' ELSE coalesce(reply_state, 'reviewed') END AS said FROM fold LEFT JOIN kept USING (rep, advisor))"""
 
 
-def _projection(spark, sf_dir):
-    """The fold with what reps decided, taken from purchases."""
+def _projection_decisions(spark, sf_dir):
+    """What reps decided, taken from purchases."""
     a = F.col("user_id") % 40
     at = lambda day: F.lit(day).cast("timestamp")
     p = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
@@ -48,8 +51,12 @@ def _projection(spark, sf_dir):
         F.when(a % 6 == 0, at("2024-01-20")).when(a % 6 == 1, at("2024-02-20")).alias("next_action_at"),
         F.when(a % 11 == 0, at("2024-01-26")).when(a % 11 == 1, at("2024-01-24")).alias("snoozed_until"), (a % 2 == 0).alias("bounce_dismissed"),
     )
-    kept = p.groupBy("rep", "advisor", "reply_state", "next_action_at", "snoozed_until", "bounce_dismissed").agg(F.max("ts").alias("acted_at"))
-    return activity.fold(log(spark, sf_dir), ["rep", "advisor"], _as_of(), 14, decisions=kept)
+    return p.groupBy("rep", "advisor", "reply_state", "next_action_at", "snoozed_until", "bounce_dismissed").agg(F.max("ts").alias("acted_at"))
+
+
+def _projection(spark, sf_dir):
+    """The fold with what reps decided."""
+    return activity.fold(log(spark, sf_dir), ["rep", "advisor"], _as_of(), 14, decisions=_projection_decisions(spark, sf_dir))
 
 
 @query(f"""WITH {DECIDED}, r AS (SELECT rep, advisor, said AS reply_state, CASE WHEN snoozed_until > TIMESTAMP '{AS_OF}' THEN NULL WHEN said = 'new' AND last_reply IS NOT NULL THEN 'reply_new' WHEN said = 'follow_up' THEN 'reply_followup'
@@ -62,6 +69,27 @@ def attention_queue(spark, sf_dir):
     return activity.attention(_projection(spark, sf_dir), _as_of(), 1).select("rep", "advisor", "reply_state", "reason", F.row_number().over(w).alias("place"))
 
 
+LATER = "2024-02-10 00:00:00"
+
+
+@query(f"""WITH {DECIDED}, r AS (SELECT rep, advisor, said AS reply_state, epoch_us(last_activity)::VARCHAR AS last_activity, CASE WHEN snoozed_until > TIMESTAMP '{LATER}' THEN NULL WHEN said = 'new' AND last_reply IS NOT NULL THEN 'reply_new'
+    WHEN said = 'follow_up' THEN 'reply_followup' WHEN next_action_at <= TIMESTAMP '{LATER}' THEN 'due' WHEN last_bounce IS NOT NULL AND NOT dismissed THEN 'bounced'
+    WHEN last_reply IS NOT NULL AND greatest(coalesce(last_out, last_in), coalesce(last_in, last_out)) < TIMESTAMP '{LATER}' - INTERVAL 12 DAY THEN 'quiet_warm' END AS reason FROM state)
+  SELECT * FROM r WHERE reason IS NOT NULL""")
+def live_attention_queue(spark, sf_dir):
+    """The queue that the stream holds when its watermark has come to a day after the last event."""
+    decided = _projection_decisions(spark, sf_dir)
+    rows = live_queue.changes(log(spark, sf_dir).select("rep", "advisor", "occurred_at", "direction", "classification").withColumn("historic", F.lit(False)), decided)
+    tick = rows.limit(0).sparkSession.createDataFrame([(-1, -1, "mail")], "rep bigint, advisor bigint, kind string").withColumn("occurred_at", F.lit(LATER).cast("timestamp") + F.expr("interval 1 hour"))
+    at = f"{relational.shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    rows.unionByName(tick, allowMissingColumns=True).write.parquet(f"{at}/in")
+    changed = live_queue.live_queue(spark.readStream.schema(live_queue.CHANGES).parquet(f"{at}/in"), delay="1 hour", quiet_days=12)
+    stream = changed.writeStream.outputMode("update").foreachBatch(keyed_store.sink(f"{at}/queue", ["rep", "advisor"], "seq")).option("checkpointLocation", f"{at}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    held = keyed_store.read(spark, f"{at}/queue").filter("reason is not null and rep >= 0")
+    return held.select("rep", "advisor", "reply_state", "reason", F.unix_micros("last_activity").cast("string").alias("last_activity"))
+
+
 @query(f"""WITH {LOG}, old AS (SELECT rep, advisor, max(occurred_at) FILTER (direction = 'outbound') AS o, max(occurred_at) FILTER (direction = 'inbound') AS i FROM log WHERE occurred_at < TIMESTAMP '{AS_OF}' GROUP BY 1, 2),
   new AS (SELECT rep, advisor, max(occurred_at) FILTER (direction = 'outbound') AS o, max(occurred_at) FILTER (direction = 'inbound') AS i FROM log GROUP BY 1, 2)
   SELECT rep, advisor, CASE WHEN old.o IS DISTINCT FROM new.o THEN 'last_out' ELSE 'last_in' END AS "column" FROM old JOIN new USING (rep, advisor) WHERE old.o IS DISTINCT FROM new.o OR old.i IS DISTINCT FROM new.i""")
