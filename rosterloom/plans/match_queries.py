@@ -71,8 +71,8 @@ def match_calibration(spark, sf_dir):
 _SHARE = "list_max(flatten(list_transform(parts, lambda p: list_transform(words, lambda q: len(list_intersect(p, q))::DOUBLE / least(len(p), len(q))))))"
 FIRMED = f"""parts AS (SELECT p_partkey AS id, p_size % 7 AS city, p_size % 3 AS state, lower(p_type) AS kind, 'house' || translate(string_split(p_brand, '#')[2], '0123456789', 'abcdefghij') AS house,
   string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[2] AS last_key, CASE p_partkey % 11 WHEN 1 THEN 'jr' WHEN 2 THEN 'sr' END AS ending FROM part),
-published AS (SELECT id AS pub, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN substr(first, 1, 1) ELSE substr(first, 2) END AS said, last_key, CASE WHEN id % 5 > 1 THEN [[kind, last_key], [house]] END AS parts, city, state, CASE id % 7 WHEN 1 THEN 'jr' END AS suffix FROM parts),
-known AS (SELECT id, first, last_key, CASE WHEN id % 9 = 0 THEN [] ELSE [[house], [first, kind]] END AS words, [city, (city + id) % 7] AS cities, state, ending FROM parts),
+published AS (SELECT id AS pub, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN substr(first, 1, 1) ELSE substr(first, 2) END AS said, last_key, CASE WHEN id % 5 > 1 THEN [list_distinct([kind, last_key]), [house]] END AS parts, city, state, CASE id % 7 WHEN 1 THEN 'jr' END AS suffix FROM parts),
+known AS (SELECT id, first, last_key, CASE WHEN id % 9 = 0 THEN [] ELSE [[house], list_distinct([first, kind])] END AS words, [city, (city + id) % 7] AS cities, state, ending FROM parts),
 pairs AS (SELECT pub, id, CASE WHEN said = first THEN 1.0::DOUBLE WHEN length(said) > 1 AND length(first) > 1 AND levenshtein(said, first) <= 1 THEN 0.8::DOUBLE
    WHEN (length(said) = 1 OR length(first) = 1) AND substr(said, 1, 1) = substr(first, 1, 1) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS name_score, parts, words,
    list_contains(k.cities, p.city)::INT::DOUBLE AS c, (p.state = k.state)::INT::DOUBLE AS s, CASE WHEN suffix IS NULL OR ending IS NULL THEN 0.0::DOUBLE WHEN suffix = ending THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS g FROM published p JOIN known k USING (last_key)),
