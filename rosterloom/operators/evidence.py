@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from .matching import MatchConfig, score
+from .relational import cut
 
 #: Any firm that is known by some word, and a candidate of whose firm nothing is known.
 ANY, UNKNOWN = "*", "?"
@@ -73,59 +74,68 @@ def _firms(published: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def cells(index: DataFrame) -> DataFrame:
-    """(last_key, forms, firm_key, city_key, state_key, suffix, n, id): candidates counted by what they agree on."""
+    """(forms_id, firm_key, city_key, state_key, ending, n, id): candidates counted by what they agree on."""
     any_or = lambda array: F.concat(F.array(F.lit(ANY)), F.transform(F.array_distinct(F.array_compact(F.coalesce(array, F.array().cast("array<string>")))), lambda x: F.concat(F.lit("="), x)))
     firms = F.when(F.col("firm_key") == UNKNOWN, F.array(F.lit(UNKNOWN))).otherwise(F.array(F.lit(ANY), F.col("firm_key")))
-    rows = index.select("last_key", "forms", "suffix", "id", F.explode(firms).alias("firm_key"), any_or(F.col("cities")).alias("c"), any_or(F.col("states")).alias("s"))
+    rows = index.select("forms_id", F.col("suffix").alias("ending"), "id", F.explode(firms).alias("firm_key"), any_or(F.col("cities")).alias("c"), any_or(F.col("states")).alias("s"))
     rows = rows.withColumn("city_key", F.explode("c")).withColumn("state_key", F.explode("s"))
-    return rows.groupBy("last_key", "forms", "firm_key", "city_key", "state_key", "suffix").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return rows.groupBy("forms_id", "firm_key", "city_key", "state_key", "ending").agg(F.count("*").alias("n"), F.min("id").alias("id"))
 
 
-def best_candidates(published: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig(), places: int = 4) -> DataFrame:
-    """(last_key, said, firm, city, state, suffix, id, score, gap, namesakes, name_score), one row for each distinct published row with a candidate.
-
-    ``published`` holds those six columns (``said`` an array of given names), ``index`` (id, last_key,
-    forms, firms, cities, states, suffix) with one row for each id and surname key. Scores are rounded
-    to ``places``; among equal scores the least id is taken and the gap is zero.
-    """
-    index = index.select("id", "last_key", F.array_sort(F.array_distinct("forms")).alias("forms"), _firm_words(F.col("firms")).alias("firm_words"), "cities", "states", F.coalesce("suffix", F.lit("")).alias("suffix"))
-    index = index.withColumn("firm_key", F.when(F.size("firm_words") == 0, UNKNOWN).otherwise(F.concat(F.lit("="), F.array_join("firm_words", "|"))))
-    rows = published.select(*_PROFILE).distinct()
-    known = index.select("last_key", "forms").distinct()
-    named = name_pairs(rows.select("last_key", "said").distinct(), known).withColumn("name_score", names.best_given_score(F.col("said"), F.col("forms"))).filter("name_score > 0")
-    placed = rows.join(named, ["last_key", "said"])
-    # of the firms that agree, only those that some candidate of these name forms has
-    held = index.select("last_key", "forms", "firm_key").distinct()
-    wanted = placed.select("last_key", "forms", "firm").distinct().join(_firms(rows, index), "firm").join(held, ["last_key", "forms", "firm_key"])
-    agreed = placed.join(wanted, ["last_key", "forms", "firm"]).select(*placed.columns, "firm_key", "f")
-    tells = F.col("firm").isNotNull() & (F.size(_firm_words(F.split("firm", r"\|"))) > 0)
+def _levels(placed: DataFrame, agreed: DataFrame, index: DataFrame) -> DataFrame:
+    """(row_id, name_score, f, ending, suffix, city, state, n, id): exact counts of candidates by what they agree on."""
+    tells = F.col("tells")
     other = F.array(F.struct(F.lit(ANY).alias("firm_key"), F.when(tells, 0.0).alias("f")), F.struct(F.lit(UNKNOWN).alias("firm_key"), F.when(tells, names.UNKNOWN_FIRM).alias("f")))
-    looked = agreed.unionByName(placed.withColumn("o", F.explode(other)).select(*placed.columns, "o.firm_key", "o.f"))
+    looked = agreed.unionByName(placed.withColumn("o", F.explode(other)).select(*placed.columns, "o.firm_key", "o.f")).drop("firm", "tells")
     marks = lambda c, name: F.array_compact(F.array(F.lit(ANY), F.concat(F.lit("="), F.col(c)))).alias(name)
-    looked = looked.select("*", marks("city", "c"), marks("state", "s")).withColumn("city_key", F.explode("c")).withColumn("state_key", F.explode("s"))
-    found = looked.join(cells(index).withColumnRenamed("suffix", "ending"), ["last_key", "forms", "firm_key", "city_key", "state_key"])
-    by = [*_PROFILE, "forms", "name_score", "firm_key", "f", "ending"]
-    at = [(f"{c}{s}", (F.col("city_key") != ANY) == F.lit(bool(c)), (F.col("state_key") != ANY) == F.lit(bool(s))) for c in (1, 0) for s in (1, 0)]
-    levels = found.groupBy(*by).agg(*[F.max(F.when(p & q, F.struct("n", "id"))).alias(f"x{k}") for k, p, q in at])
-    n = {k: F.coalesce(F.col(f"x{k}.n"), F.lit(0)) for k, *_ in at}
+    looked = looked.select("row_id", "forms_id", "name_score", "suffix", "firm_key", "f", marks("city", "c"), marks("state", "s")).withColumn("city_key", F.explode("c")).withColumn("state_key", F.explode("s"))
+    found = looked.join(cells(index), ["forms_id", "firm_key", "city_key", "state_key"])
+    at = [(f"{c}{s}", ((F.col("city_key") != ANY) == F.lit(bool(c))) & ((F.col("state_key") != ANY) == F.lit(bool(s)))) for c in (1, 0) for s in (1, 0)]
+    held = [f(F.when(p, F.col(c))).alias(f"{c}{k}") for k, p in at for f, c in ((F.max, "n"), (F.min, "id"))]
+    levels = found.groupBy("row_id", "forms_id", "firm_key", "ending").agg(F.first("name_score").alias("name_score"), F.first("f").alias("f"), F.first("suffix").alias("suffix"), *held)
+    n = {k: F.coalesce(F.col(f"n{k}"), F.lit(0)) for k, _ in at}
     levels = levels.withColumns({"n11": n["11"], "n10": n["10"] - n["11"], "n01": n["01"] - n["11"], "n00": n["00"] - n["10"] - n["01"] + n["11"]})
     # candidates of any firm, less those whose firm agrees, which have levels of their own
-    same = Window.partitionBy(*_PROFILE, "forms", "ending")
+    same = Window.partitionBy("row_id", "forms_id", "ending")
     agrees = ~F.col("firm_key").isin(ANY, UNKNOWN)
-    levels = levels.withColumns({f"a{k}": F.sum(F.when(agrees, F.col(f"n{k}")).otherwise(0)).over(same) for k, *_ in at})
+    levels = levels.withColumns({f"a{k}": F.sum(F.when(agrees, F.col(f"n{k}")).otherwise(0)).over(same) for k, _ in at})
     each = F.array(*[
-        F.struct(F.lit(float(k[0])).alias("city"), F.lit(float(k[1])).alias("state"), (F.col(f"n{k}") - F.when(F.col("firm_key") == ANY, F.col(f"a{k}")).otherwise(0)).alias("n"), F.col(f"x{k}.id").alias("id"))
-        for k, *_ in at
+        F.struct(F.lit(float(k[0])).alias("city"), F.lit(float(k[1])).alias("state"), (F.col(f"n{k}") - F.when(F.col("firm_key") == ANY, F.col(f"a{k}")).otherwise(0)).alias("n"), F.col(f"id{k}").alias("id"))
+        for k, _ in at
     ])
-    levels = levels.select(*_PROFILE, "name_score", "f", "ending", F.explode(each).alias("e")).filter("e.n > 0")
-    suffixes = names.same_generation(F.col("suffix"), F.nullif("ending", F.lit("")))
-    rated = levels.withColumn("score", F.bround(score(F.col("name_score"), F.col("f"), F.col("e.city"), F.col("e.state"), suffixes, config).cast("decimal(28,8)"), places).cast("double"))
-    ranks = rated.groupBy(*_PROFILE, "score").agg(F.sum("e.n").alias("n"), F.min("e.id").alias("id"), F.sum(F.when(F.col("name_score") >= config.near_name, F.col("e.n")).otherwise(0)).alias("near"), F.max("name_score").alias("name_score"))
-    w = Window.partitionBy(*_PROFILE).orderBy(F.desc("score"))
-    ranks = ranks.withColumn("following", F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce(F.lead("score").over(w), F.lit(0.0))))
-    out = ranks.groupBy(*_PROFILE).agg(F.max(F.struct("score", "id", "following", "name_score")).alias("best"), F.sum("near").alias("namesakes"))
-    gap = F.bround((F.col("best.score") - F.col("best.following")).cast("decimal(28,8)"), places).cast("double")
-    return out.select(*_PROFILE, "best.id", "best.score", gap.alias("gap"), "namesakes", "best.name_score")
+    return levels.select("row_id", "name_score", "f", "ending", "suffix", F.inline(each)).filter("n > 0")
+
+
+def best_candidates(published: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig(), places: int = 4) -> DataFrame:
+    """(last_key, said, firm, city, state, suffix, id, score, gap, namesakes), one row for each distinct published row with a candidate.
+
+    ``published`` holds the first six columns (``said`` an array of given names), ``index`` (id,
+    last_key, forms, firms, cities, states, suffix) with one row for each id and surname key. Scores
+    are rounded to ``places``; among equal scores the least id is taken and the gap is zero.
+    """
+    # both sides are read by several of the meetings below; each is made and numbered once
+    rows = cut(published.select(*_PROFILE).distinct().withColumn("row_id", F.monotonically_increasing_id()))
+    index = index.select("id", "last_key", F.array_sort(F.array_distinct("forms")).alias("forms"), _firm_words(F.col("firms")).alias("firm_words"), "cities", "states", F.coalesce("suffix", F.lit("")).alias("suffix"))
+    known = cut(index.select("last_key", "forms").distinct().withColumn("forms_id", F.monotonically_increasing_id()))
+    firm_key = F.when(F.size("firm_words") == 0, UNKNOWN).otherwise(F.concat(F.lit("="), F.array_join("firm_words", "|")))
+    index = cut(index.withColumn("firm_key", firm_key).join(known, ["last_key", "forms"]))
+    named = name_pairs(rows.select("last_key", "said").distinct(), known.drop("forms_id")).withColumn("name_score", names.best_given_score(F.col("said"), F.col("forms"))).filter("name_score > 0")
+    tells = F.col("firm").isNotNull() & (F.size(_firm_words(F.split("firm", r"\|"))) > 0)
+    placed = rows.withColumn("tells", tells).join(named.join(known, ["last_key", "forms"]), ["last_key", "said"])
+    placed = cut(placed.select("row_id", "forms_id", "name_score", "firm", "tells", "city", "state", "suffix"))
+    # of the firms that agree, only those that some candidate of these name forms has
+    held = index.select("forms_id", "firm_key").distinct()
+    wanted = placed.filter("tells").select("forms_id", "firm").distinct().join(_firms(rows, index), "firm").join(held, ["forms_id", "firm_key"])
+    levels = _levels(placed, placed.join(wanted, ["forms_id", "firm"]).select(*placed.columns, "firm_key", "f"), index)
+    total = score(F.col("name_score"), F.col("f"), F.col("city"), F.col("state"), names.same_generation(F.col("suffix"), F.nullif("ending", F.lit(""))), config)
+    rated = levels.withColumn("score", F.bround(total.cast("decimal(28,8)"), places).cast("double"))
+    near = F.sum(F.when(F.col("name_score") >= config.near_name, F.col("n")).otherwise(0)).alias("near")
+    ranks = rated.groupBy("row_id", "score").agg(F.sum("n").alias("n"), F.min("id").alias("id"), near)
+    w = Window.partitionBy("row_id").orderBy(F.desc("score"))
+    following = F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    ranks = ranks.withColumns({"following": following, "namesakes": F.sum("near").over(Window.partitionBy("row_id")), "at": F.row_number().over(w)}).filter("at = 1")
+    gap = F.bround((F.col("score") - F.col("following")).cast("decimal(28,8)"), places).cast("double")
+    return rows.join(ranks.select("row_id", "id", "score", gap.alias("gap"), "namesakes"), "row_id").drop("row_id")
 
 
 def match_published(published: DataFrame, index: DataFrame, key: str, config: MatchConfig = MatchConfig()) -> DataFrame:
