@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,10 +103,12 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name == "line_dedup":
             assert held.count() == before.count()
         if name == "near_dedup":
-            sets = [set(shingle_sets.shingle_set(r.text or "").tolist()) for r in held.collect()]
-            assert all(5 * len(x & y) < 4 * len(x | y) or not x for i, x in enumerate(sets) for y in sets[:i])
-            kept, gone = [set(shingle_sets.shingle_set(r.text or "").tolist()) for r in before.collect()], before.count() - held.count()
-            assert gone and all(any(x == y or (x and 5 * len(x & y) >= 4 * len(x | y)) for y in kept if y is not x) for x in kept if x not in sets)
+            sequence = lambda r: shingle_sets.shingles(r.text or "")
+            alike = lambda x, y: np.array_equal(x, y) or bool(len(x) and len(y) and shingle_sets.linked(x, y))
+            stay, all_ = [sequence(r) for r in held.collect()], [sequence(r) for r in before.collect()]
+            assert not any(alike(x, y) for i, x in enumerate(stay) for y in stay[:i])
+            gone = [x for x in all_ if not any(np.array_equal(x, y) for y in stay)]
+            assert len(stay) < len(all_) and all(any(alike(x, y) for y in all_ if y is not x) for x in gone)
         if name == "decontaminate":
             items = [decontaminate.fold_text(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
             assert not [r for r in held.collect() if any(i in decontaminate.fold_text(r.text or "") for i in items)]
