@@ -12,6 +12,10 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 TEXT, START, END, RAW = range(4)
 
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?)?"""
@@ -90,7 +94,16 @@ def lines(page: str) -> list[str]:
                 hidden = max(0, hidden + (1 if kind == START else -1))
             elif name == "body":  # a head that was never closed
                 hidden = 0
-            if name in BLOCKS or name == "br":
+            if name in BLOCKS or name in ("br", "break"):  # the second is no tag of HTML, but is sent
                 out.append(line)
                 line = []
     return [text for text in (" ".join("".join(x).split()) for x in [*out, line]) if text]
+
+
+def page_text(html: Column) -> Column:
+    """The lines of a page as one text; a null page has none."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else "\n".join(lines(p)) for p in pages], dtype=object)
+
+    return F.pandas_udf(run, "string")(html)

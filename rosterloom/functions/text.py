@@ -177,15 +177,6 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), F.coalesce(kv[1], F.lit(""))), values.items(), template)
 
 
-def html_text(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?is)<(style|script)[^>]*>.*?</(style|script)>", " ")
-    out = F.regexp_replace(out, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
-
-
 def sorted_set(values: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(values)), "|")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import markup, text
 from ..operators import audit
 from .base import query, table
 
@@ -49,7 +49,7 @@ def website_primary(spark, sf_dir):
 
 @query(None)
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.page_text(F.col("html")).alias("text"))
 
 
 @query("""SELECT c_custkey AS id, replace(replace('Dear {{name}}, {{segment}} {{other}}', '{{name}}', c_name), '{{segment}}', c_mktsegment) AS body,
