@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,35 @@ def run_checks(checks: list[Check]) -> tuple[list[tuple[str, str, int]], int]:
         except Exception as e:  # a check that breaks is a result of its own, not the end of the others
             out.append((f"{c.name}: {e}"[:200], "error", 1))
     return out, sum(state in ("failed", "error") for _, state, _ in out)
+
+
+@dataclass(frozen=True)
+class Passing:
+    """A check of single rows that is counted while they are written: ``bad`` rows are failures."""
+
+    name: str
+    bad: Column
+    most: int = 0
+
+
+def write_checked(df: DataFrame, write: Callable[[DataFrame], None], checks: list[Passing], totals: dict[str, Column] | None = None) -> tuple[list[tuple[str, str, int]], int, dict]:
+    """Writes ``df`` and counts all checks and totals in the same pass: no check reads the table again.
+
+    Gives the rows of ``run_checks``, how many failed, and the totals (any aggregates: counts, sums,
+    vocabularies). A check on a column that is not there is skipped. More than ``most`` failures fail it.
+    """
+    there, skipped = [], []
+    for c in checks:
+        try:
+            df.select(c.bad).schema  # noqa: B018  only resolves the names
+            there.append(c)
+        except Exception:
+            skipped.append(c)
+    seen = Observation()
+    metrics = [F.count_if(F.coalesce(c.bad, F.lit(False))).alias(f"check_{k}") for k, c in enumerate(there)]
+    metrics += [v.alias(f"total_{n}") for n, v in (totals or {}).items()]
+    write(df.observe(seen, *metrics) if metrics else df)
+    found = seen.get if metrics else {}
+    out = [(c.name, "ok" if found[f"check_{k}"] <= c.most else "failed", int(found[f"check_{k}"])) for k, c in enumerate(there)]
+    out += [(c.name, "skipped", 0) for c in skipped]
+    return out, sum(state == "failed" for _, state, _ in out), {n: found[f"total_{n}"] for n in totals or {}}
