@@ -45,7 +45,7 @@ def meetings(replies: DataFrame, sent: DataFrame, days: int = DAYS) -> DataFrame
     met = _places(replies).join(_index(sent), (F.col("rep") == F.col("sent_rep")) & (F.col("key") == F.col("sent_key")) & near, "left")
     found = F.col("sent").isNotNull()
     route = F.when(~found, "sender_only").when(F.col("place") == 0, "thread_match").otherwise("references_match")
-    rank = F.struct(found.cast("int").alias("found"), F.when(found, -F.col("place")).otherwise(0).alias("first"), F.coalesce(F.unix_micros("sent_at"), F.lit(0)).alias("late"), F.coalesce("sent", F.lit("")).alias("id"))
+    rank = F.struct(found.cast("int").alias("found"), F.when(found, -F.col("place")).otherwise(0).alias("first"), F.coalesce(F.unix_micros(F.col("sent_at").cast("timestamp")), F.lit(0)).alias("late"), F.coalesce("sent", F.lit("")).alias("id"))
     return met.select("rep", "reply", "replied_at", "sent", "sent_at", route.alias("route"), rank.alias(RANK))
 
 
