@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kmeans
+
 #: Rows that a greedy choice may take to the driver; states and candidate bases are far fewer.
 MOST_ROWS = 5000
 
 
-def clusters(df: DataFrame, lat: str, lon: str, weight: str, k: int = 7, seed: int = 7) -> DataFrame:
+def clusters(df: DataFrame, lat: str, lon: str, weight: str, k: int = 7, seed: int = 7, restarts: int = 40) -> DataFrame:
     """``df`` with ``territory``, the cluster of its place; the same seed gives the same clusters."""
-    ready = VectorAssembler(inputCols=[lat, lon], outputCol="__place").transform(df)
-    model = KMeans(k=k, seed=seed, weightCol=weight, featuresCol="__place", predictionCol="territory").fit(ready)
-    return model.transform(ready).drop("__place")
+    return kmeans.assigned(df, kmeans.fit(df, lat, lon, weight, k, restarts, seed), lat, lon)
 
 
 def weighted_centre(df: DataFrame, group: str, lat: str, lon: str, weight: str) -> DataFrame:
