@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, numeric, text
 from ..functions.rules import FilterSpec
-from ..operators import allocation, relational
+from ..operators import allocation, quadtree, relational
 from .base import FIRMS, OFFICES, PEOPLE, firms, offices, people, query, table
 
 
@@ -135,6 +135,30 @@ def near_me_widening(spark, sf_dir):
     return c.select("o_id", radius.alias("radius"), found.alias("found"))
 
 
+@query(f"""WITH {PEOPLE}, o AS (SELECT person AS o_id, lat AS o_lat, lon AS o_lon FROM people WHERE person % 20 = 0)
+  SELECT o_id, person, row_number() OVER (PARTITION BY o_id ORDER BY round({MILES}, 6), person) AS place FROM people, o QUALIFY place <= 8""")
+def nearest_people(spark, sf_dir):
+    """The eight people nearest to every twentieth one, through a quadtree of all people."""
+    p = people(spark, sf_dir)
+    o = p.filter(F.col("person") % 20 == 0).select(F.col("person").alias("q"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    found = quadtree.nearest(o, quadtree.build(p, "lat", "lon", most=64), "person", "lat", "lon", k=8)
+    return found.select(F.col("q").alias("o_id"), F.col("id").alias("person"), F.col("place").cast("bigint").alias("place"))
+
+
+_CORNERS = ((0, 0), (3, 1), (5, 6), (1, 4))
+
+
+@query(f"""WITH {PEOPLE}, c AS (SELECT n_nationkey AS area, k, 26 + n_nationkey % 5 * 4 + [0, 3, 5, 1][k + 1]::DOUBLE AS y, -118 + n_nationkey * 1.75 + [0, 1, 6, 4][k + 1]::DOUBLE AS x FROM nation, range(4) t(k)),
+  e AS (SELECT a.area, a.y AS y1, a.x AS x1, b.y AS y2, b.x AS x2 FROM c a JOIN c b ON a.area = b.area AND b.k = (a.k + 1) % 4)
+  SELECT area, person FROM people, e GROUP BY 1, 2 HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1""")
+def people_in_areas(spark, sf_dir):
+    """Who lives in each of many four-cornered areas, by inner and border cells."""
+    n = F.col("n_nationkey")
+    south, west = 26 + n % 5 * 4, F.lit(-118) + n * 1.75
+    areas = table(spark, sf_dir, "nation").select(n.alias("pid"), F.array(*[(south + y).cast("double") for y, _ in _CORNERS]).alias("lats"), F.array(*[(west + x).cast("double") for _, x in _CORNERS]).alias("lons"))
+    return quadtree.in_polygons(people(spark, sf_dir), areas, "person", "lat", "lon").select(F.col("pid").alias("area"), F.col("id").alias("person"))
+
+
 @query(f"""WITH {PEOPLE}, b AS (SELECT floor(lat / 2)::INT AS i, floor(lon / 2)::INT AS j, count(*) AS n FROM people GROUP BY 1, 2),
   q AS (SELECT list_sort(list(n)) AS s FROM b), e AS (SELECT s[floor((len(s) - 1) * 0.12)::INT + 1] AS lo, s[floor((len(s) - 1) * 0.97)::INT + 1] AS hi FROM q)
   SELECT i, j, n, round_even(pow(least(greatest((ln(1 + n) - ln(1 + lo)) / nullif(ln(1 + hi) - ln(1 + lo), 0), 0), 1), 0.8)::DECIMAL(28,8), 4)::DOUBLE AS heat FROM b, e""")
