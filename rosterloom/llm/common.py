@@ -7,9 +7,10 @@ the same name (compared without case, as Spark does), all others pass through un
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,5 +59,25 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def carried(df: DataFrame, used: list[Column], f: Callable[..., DataFrame], back: dict[int, str]) -> DataFrame:
+    """``f`` of the columns ``used`` alone, with all others carried beside them in one struct.
+
+    Inside, the used columns are called ``__u0``, ``__u1``, ...; so no name of the input can clash with
+    a name of the operator. ``back`` gives the used columns that come back, by their place, and the
+    names that they get. Other columns of the input come back as they were, but for those that the
+    operator adds anew.
+    """
+    taken = {n.lower() for n in back.values()}
+    rest = [c for c in df.columns if c.lower() not in taken]
+    names = [f"__u{i}" for i in range(len(used))]
+    packed = df.select(*[c.alias(n) for c, n in zip(used, names)], *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__carried")] if rest else []))
+    out = f(packed, *names)
+    added = [c for c in out.columns if c not in (*names, "__carried")]
+    new = {c.lower() for c in added}
+    whole = [F.col(names[i]).alias(n) for i, n in back.items() if names[i] in out.columns and n.lower() not in new]
+    kept = [F.col("__carried").getField(c).alias(c) for c in rest if c.lower() not in new]
+    return out.select(*whole, *kept, *[F.col(f"`{c}`") for c in added])
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import carried, cut
 
 #: Lists of boilerplate lines are broadcast up to this size and joined by a shuffle beyond it.
 BROADCAST_BYTES = 8 << 20
@@ -47,7 +47,11 @@ def boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float =
 
 def drop_lines(df: DataFrame, host: Column, text: str = "text", ratio: float = 0.1) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text``, and ``n_lines`` and ``n_dropped`` (int)."""
-    kept = without(df, "n_lines", "n_dropped", "__host", "__keys")
+    inner = lambda rows, body, site: _drop_lines(rows, F.col(site), body, ratio).drop(site)
+    return carried(df, [F.col(f"`{text}`"), host], inner, {0: text})
+
+
+def _drop_lines(kept: DataFrame, host: Column, text: str, ratio: float) -> DataFrame:
     found = cut(boilerplate(kept, host, text, ratio).select(F.col("host").alias("__h"), F.col("keys").alias("__keys")))
     size = found.agg(F.sum(F.size("__keys") * 40 + 64)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import carried, cut, without
 
 #: Children of a tree node, whose matrix rows one task draws, one after another.
 FAN = 64
@@ -89,7 +89,11 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int, blocks: int)
 
 def shard(df: DataFrame, keys: list[str], shards: int, seed: int = 1, rows_per_block: int = 1_000_000, blocks: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (int from 0) and ``slot`` (bigint from 0 in each shard)."""
-    rows = without(df, "shard", "slot", "__block", "__rank", "__order")
+    inner = lambda rows, *names: _shard(rows, list(names), shards, seed, rows_per_block, blocks)
+    return carried(without(df, "shard", "slot"), [F.col(f"`{k}`") for k in keys], inner, dict(enumerate(keys)))
+
+
+def _shard(rows: DataFrame, keys: list[str], shards: int, seed: int, rows_per_block: int, blocks: int | None) -> DataFrame:
     count = rows.count()
     blocks = blocks or max(FAN, math.ceil(count / rows_per_block))
     tie = [F.col(k) for k in keys]

@@ -207,11 +207,12 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(key, fingerprint bigint, component_id): one row for each row of ``df``."""
-    marks = cut(fingerprints(df.select(key, text), text, keep_text=False, shingle=shingle))
+    name, key = key, "__key"
+    marks = cut(fingerprints(df.select(F.col(f"`{name}`").alias(key), F.col(f"`{text}`").alias("__text")), "__text", keep_text=False, shingle=shingle))
     first = marks.filter(F.col(key).isNotNull()).groupBy(F.col("fingerprint").alias("node")).agg(F.min(key).alias("label"))
     known = cut(first)
     edges = cut(links(known, "node", radius))
     reached = components(edges, known)
     final = cut(known.join(reached.select("node", F.col("label").alias("reached")), "node", "left").select("node", F.coalesce("reached", "label").alias("component_id")))
     out = marks.join(final, marks["fingerprint"] == final["node"], "left")
-    return out.select(key, "fingerprint", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(F.col(key).alias(name), "fingerprint", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

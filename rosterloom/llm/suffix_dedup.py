@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_sort
-from .common import checkpoint_dir, forget, without, written
+from .common import carried, checkpoint_dir, forget, without, written
 
 GRAM = 32
 #: Bytes of fragments that are sorted together, and beyond which an owner is dealt again.
@@ -249,6 +249,11 @@ def drop_repeated(df: DataFrame, text: str = "text", width: int = 400, keep_text
 
     ``memory`` is the number of symbols that a sort may hold in a task.
     """
+    inner = lambda rows, body: _drop_repeated(rows, body, width, keep_text, shard_bytes, memory)
+    return carried(df, [F.col(f"`{text}`")], inner, {0: text})
+
+
+def _drop_repeated(df: DataFrame, text: str, width: int, keep_text: bool, shard_bytes: int, memory: int) -> DataFrame:
     spark = df.sparkSession
     at = f"{checkpoint_dir(spark)}/suffix-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
