@@ -86,8 +86,8 @@ decided AS (SELECT pub, CASE WHEN pub % 10 = 3 THEN pub ELSE id END AS id, names
    id AS inferred, score AS inferred_score FROM inferred)"""
 
 
-def _by_firm_words(spark, sf_dir):
-    """Published rows with firms as they are written ("Team | House"), and known ids for a tenth of them."""
+def _firm_words_sides(spark, sf_dir):
+    """Published rows with firms as they are written ("Team | House"), and people with several firms and cities."""
     published, index = _published(spark, sf_dir)
     k, kind = F.col("pub"), F.lower("p_type")
     told = F.concat(kind, F.lit(" "), "last_key", F.lit(" Wealth Management | The "), "firm", F.lit(", LLC"))
@@ -95,8 +95,13 @@ def _by_firm_words(spark, sf_dir):
     number = F.col("id")
     town = F.array(F.col("cities")[0], ((F.col("cities")[0].cast("int") + number) % 7).cast("string"))
     firms = F.when(number % 9 == 0, F.array(F.lit("Financial Services"))).otherwise(F.array(F.concat(F.col("firms")[0], F.lit(" Advisors Inc")), F.concat(F.col("forms")[0], F.lit(" "), F.lower("p_type"), F.lit(" Partners LP"))))
-    index = index.withColumns({"firms": firms, "cities": town}).drop("p_type")
-    truth = published.filter(k % 10 == 3).select("pub", k.alias("id"))
+    return published, index.withColumns({"firms": firms, "cities": town}).drop("p_type")
+
+
+def _by_firm_words(spark, sf_dir):
+    """Matches by firm words, with known ids for a tenth of the published rows."""
+    published, index = _firm_words_sides(spark, sf_dir)
+    truth = published.filter(F.col("pub") % 10 == 3).select("pub", F.col("pub").alias("id"))
     return matching.confirm(evidence.match_published(published, index, "pub"), truth, "pub", "id")
 
 
@@ -107,7 +112,7 @@ def entity_match_tiers_all(spark, sf_dir):
 
 
 @query(f"WITH {FIRMED} SELECT tier, count(*) AS rows, count(*) FILTER (inferred = pub) AS found, count(*) FILTER (inferred IS NOT NULL) AS answered FROM decided GROUP BY 1")
-def match_demotion_all(spark, sf_dir):
+def match_tier_summary(spark, sf_dir):
     """What each tier holds, and how often the matcher by itself was right there."""
     found = F.coalesce(F.col("inferred") == F.col("pub"), F.lit(False))
     return _by_firm_words(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("rows"), F.count_if(found).alias("found"), F.count("inferred").alias("answered"))
@@ -115,7 +120,7 @@ def match_demotion_all(spark, sf_dir):
 
 @query(f"""WITH {FIRMED}, t AS (SELECT unnest([0.60, 0.66, 0.72, 0.78, 0.84, 0.90])::DOUBLE AS threshold), k AS (SELECT *, gap >= 0.12 AND namesakes <= 3 AS clear FROM decided WHERE tier = 'confirmed')
   SELECT threshold, count(*) FILTER (clear AND inferred_score >= threshold) AS accepted, count(*) FILTER (clear AND inferred_score >= threshold AND inferred = pub) AS correct, count(*) AS known FROM k, t GROUP BY 1""")
-def match_calibration_all(spark, sf_dir):
+def match_known_calibration(spark, sf_dir):
     """The matcher by itself against the known ids, at six thresholds."""
     known = _by_firm_words(spark, sf_dir).filter("tier = 'confirmed'")
     clear = (F.col("gap") >= 0.12) & (F.col("namesakes") <= 3)
@@ -124,6 +129,24 @@ def match_calibration_all(spark, sf_dir):
     return out.crossJoin(F.broadcast(known.agg(F.count("*").alias("known")))).select("threshold", "accepted", "correct", "known")
 
 
+@query(f"""WITH {FIRMED}, d AS (SELECT i.pub, i.id, i.tier, p.said, CASE WHEN k.id % 6 = 0 THEN k.last_key ELSE k.first END AS shown FROM inferred i JOIN published p USING (pub) LEFT JOIN known k ON k.id = i.id)
+  SELECT pub, id, coalesce(tier = 'high' AND NOT (said = shown OR (length(said) > 1 AND length(shown) > 1 AND levenshtein(said, shown) <= 1) OR ((length(said) = 1 OR length(shown) = 1) AND substr(said, 1, 1) = substr(shown, 1, 1))), false) AS demoted FROM d""")
+def match_demotion_all(spark, sf_dir):
+    """High matches fall to review where the name that is shown for the person disagrees, whatever form was matched."""
+    published, index = _firm_words_sides(spark, sf_dir)
+    shown = index.select("id", F.when(F.col("id") % 6 == 0, F.col("last_key")).otherwise(F.col("forms")[0]).alias("shown"))
+    decided = evidence.match_published(published, index, "pub").join(published.select("pub", "said"), "pub").join(shown, "id", "left")
+    return matching.demote(decided, F.col("said"), F.array_compact(F.array("shown"))).select("pub", "id", "demoted")
+
+
+@query(f"""WITH {FIRMED}, t AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold)
+  SELECT threshold, count(*) FILTER (score >= threshold) AS accepted, count(*) FILTER (score >= threshold AND pub = id) AS correct, count(*) FILTER (pub = id) AS positives FROM inferred, t GROUP BY 1""")
+def match_calibration_all(spark, sf_dir):
+    """The matcher by firm words over every published row, at four thresholds."""
+    found = evidence.match_published(*_firm_words_sides(spark, sf_dir), "pub")
+    return matching.calibrate(found, F.col("score"), F.coalesce(F.col("pub") == F.col("id"), F.lit(False)), [0.3, 0.5, 0.7, 0.9])
+
+
 def _people(spark, sf_dir):
     """Contact rows and the index they are matched to, from parts: three surnames an initial, odd rows of every kind."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("first"), F.split("p_name", " ")[1].alias("word"), F.col("p_brand").alias("firm"), (F.col("p_size") % 9).cast("string").alias("city"), (F.col("p_size") % 3).cast("string").alias("state"))
