@@ -48,23 +48,38 @@ def field(terms: DataFrame, index: DataFrame, near: DataFrame | None = None) ->
     first word; each of its words must then lie in the name or begin an alternate. ``near`` has (id,
     text), the people at hand with all their fields as one text; they are found by any field and come
     once. Queries (q, term) of fewer than two characters find nothing.
+
+    Queries that ask the same and people of the same names and texts are searched once each; only
+    what is found is written out for every one of them.
     """
     said = terms.select("q", F.lower(F.trim("term")).alias("t")).filter(F.length("t") >= 2).select("q", F.split("t", r"\s+").alias("words"))
     rows = index.select("id", F.lower("name").alias("name"), F.coalesce("alternates", F.array().cast("array<string>")).alias("alternates"))
+    told = rows.select("id", F.struct("name", "alternates").alias("called"), F.lit(None).cast("string").alias("text"))
+    if near is not None:
+        told = told.unionByName(near.select("id", F.lit(None).cast(told.schema["called"].dataType).alias("called"), F.lower("text").alias("text")))
+    kept = lambda c: F.sort_array(F.collect_set(c)).alias(c)
+    people = told.groupBy("id").agg(kept("called"), kept("text"))
+    asked = said.groupBy("q").agg(kept("words"))
+    # each set of names and texts, and each set of questions, once
+    entries = people.groupBy("called", "text").agg(F.min("id").alias("entry"))
+    asks = asked.groupBy("words").agg(F.min("q").alias("ask"))
+    ask = asks.select("ask", F.explode("words").alias("words"))
+    named = entries.select("entry", F.inline("called"))
     filed = F.array_distinct(F.transform(F.concat(F.split("name", r"\s+"), "alternates"), lambda w: F.substring(w, 1, 2)))
-    keyed = rows.withColumn("k", F.explode(filed))
-    met = said.withColumn("k", F.substring(F.get("words", F.lit(0)), 1, 2)).join(keyed, "k")
+    met = ask.withColumn("k", F.substring(F.get("words", F.lit(0)), 1, 2)).join(named.withColumn("k", F.explode(filed)), "k")
     hit = F.forall("words", lambda w: F.contains(F.col("name"), w) | F.exists("alternates", lambda a: a.startswith(w)))
-    far = met.filter(hit).select("q", "id").distinct().withColumn("source", F.lit("index"))
-    if near is None:
-        return far
-    # a text is filed under every letter and pair of letters that it holds, as a word may lie anywhere
-    texts = near.select("id", F.lower("text").alias("text"))
-    pairs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring(F.col("text"), i, F.lit(1)), F.substring(F.col("text"), i, F.lit(2))))))
-    first = F.substring(F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], 1, 2)
-    close = said.withColumn("k", first).join(texts.withColumn("k", F.explode(pairs)), "k").filter(F.forall("words", lambda w: F.contains(F.col("text"), w)))
-    close = close.select("q", "id").distinct().withColumn("source", F.lit("near"))
-    return close.unionByName(far.join(close.select("q", "id"), ["q", "id"], "left_anti"))
+    found = met.filter(hit).select("ask", "entry", F.lit("index").alias("source"))
+    if near is not None:
+        # a text is filed under every letter and pair of letters that it holds, as a word may lie anywhere
+        texts = entries.select("entry", F.explode("text").alias("text"))
+        pairs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring(F.col("text"), i, F.lit(1)), F.substring(F.col("text"), i, F.lit(2))))))
+        first = F.substring(F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], 1, 2)
+        close = ask.withColumn("k", first).join(texts.withColumn("k", F.explode(pairs)), "k").filter(F.forall("words", lambda w: F.contains(F.col("text"), w)))
+        found = found.unionByName(close.select("ask", "entry", F.lit("near").alias("source")))
+    # "near" is the greater of the two words
+    found = found.groupBy("ask", "entry").agg(F.max("source").alias("source"))
+    asking = asked.join(asks, "words").select("q", "ask").join(found, "ask").select("q", "entry", "source")
+    return asking.join(people.join(entries, ["called", "text"]).select("id", "entry"), "entry").select("q", "id", "source")
 
 
 def name_shards(df: DataFrame, key: str, name: str, split_above: int = 2500) -> DataFrame:
