@@ -159,11 +159,15 @@ def classify_addresses(df: DataFrame, book: DataFrame, domains: DataFrame, addre
 def single_hits(people: DataFrame, roster: DataFrame, key: str, candidate: str, firm: str, least: float = 0.8) -> DataFrame:
     """(key, candidate, status): inside one firm, exactly one person of the surname whose given name agrees.
 
-    ``people`` has (key, firm, name), ``roster`` (firm, candidate, last_key, forms).
+    ``people`` has (key, firm, name), ``roster`` (firm, candidate, last_key, forms). Equal names of a
+    firm are compared once on either side.
     """
     said = people.select(key, firm, names.surname(F.col("name")).alias("last_key"), names.given(F.col("name")).alias("__given"))
-    pairs = said.join(roster, [firm, "last_key"]).filter(names.best_given_score(F.col("__given"), F.col("forms")) >= least)
-    hits = pairs.groupBy(key).agg(F.count("*").alias("__n"), F.min(candidate).alias("__one"))
+    held = roster.groupBy(firm, "last_key", "forms").agg(F.count("*").alias("__n"), F.min(candidate).alias("__one"))
+    name = [firm, "last_key", "__given"]
+    pairs = said.select(*name).distinct().join(held, [firm, "last_key"]).filter(names.best_given_score(F.col("__given"), F.col("forms")) >= least)
+    found = pairs.groupBy(*name).agg(F.sum("__n").alias("__n"), F.min("__one").alias("__one"))
+    hits = said.join(found, name).groupBy(key).agg(F.sum("__n").alias("__n"), F.min("__one").alias("__one"))
     out = people.select(key, firm).join(hits, key, "left")
     status = F.when(F.col("__n").isNull(), "unmatched").when(F.col("__n") == 1, "matched").otherwise("ambiguous")
     return out.select(key, firm, F.when(F.col("__n") == 1, F.col("__one")).alias(candidate), status.alias("status"))

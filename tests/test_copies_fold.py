@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from rosterloom.operators import search
+from rosterloom.operators import matching, search
 
 
 def quick(df, most=60):
@@ -28,3 +28,12 @@ def test_a_question_of_two_terms_and_a_person_of_two_names(spark):
     terms = spark.createDataFrame([(7, "ann lee"), (7, "zoe lee"), (8, "zoe lee")], "q int, term string")
     got = sorted(tuple(r) for r in search.field(terms, people, near).collect())
     assert got == [(7, 1, "index"), (7, 2, "near"), (8, 1, "index"), (8, 2, "near")]
+
+
+def test_one_name_that_a_firm_shares(spark):
+    people = spark.range(40_000).select("id", F.lit("f").alias("firm"), F.lit("Bill Kane").alias("name"))
+    people = people.unionByName(spark.createDataFrame([(-1, "f", "Zoe Kane"), (-2, "f", "Zed Moe")], "id long, firm string, name string"))
+    roster = spark.range(40_000).select(F.col("id").alias("member"), F.lit("f").alias("firm"), F.lit("kane").alias("last_key"), F.array(F.lit("bil")).alias("forms"))
+    roster = roster.unionByName(spark.createDataFrame([(99_999, "f", "kane", ["zoe"])], "member long, firm string, last_key string, forms array<string>"))
+    got = quick(matching.single_hits(people, roster, "id", "member", "firm").groupBy("status").agg(F.count("*").alias("n"), F.max("member").alias("member")))
+    assert {r.status: (r.n, r.member) for r in got} == {"ambiguous": (40_000, None), "matched": (1, 99_999), "unmatched": (1, None)}
