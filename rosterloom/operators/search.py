@@ -18,26 +18,28 @@ def places(terms: DataFrame, states: DataFrame, zips: DataFrame, cities: DataFra
     States come first (their code, or a name that begins with the term), then ZIP codes for digits or,
     for two characters and more, the ten cities of most people. ``terms`` has (q, term), ``states``
     (code, name), ``zips`` (zip, state), ``cities`` (city, state, n). A term meets only those that
-    share its first character (states, ZIP codes) or two (cities).
+    share its first character (states, ZIP codes) or two (cities), and each term is searched once,
+    however many ask for it.
     """
-    said = terms.select("q", F.upper(F.trim("term")).alias("t")).filter("t <> ''")
+    asked = terms.select("q", F.upper(F.trim("term")).alias("t")).filter("t <> ''")
+    said = asked.select("t").distinct()
     one, two = F.substring("t", 1, 1), F.substring("t", 1, 2)
     begins = lambda c: F.col(c).startswith(F.col("t"))
     # a code and a name may begin with different characters, and a state is one place
     names = states.select("code", F.upper("name").alias("upper"), F.col("name").alias("label"))
     keyed = names.withColumn("k", F.explode(F.array_distinct(F.array(F.substring("code", 1, 1), F.substring("upper", 1, 1)))))
     by_state = said.withColumn("k", one).join(keyed, "k").filter((F.col("code") == F.col("t")) | begins("upper"))
-    by_state = by_state.select("q", F.lit(1).alias("kind_no"), F.lit("state").alias("kind"), F.lit(0).cast("long").alias("n"), "label", F.col("code").alias("state")).distinct()
+    by_state = by_state.select("t", F.lit(1).alias("kind_no"), F.lit("state").alias("kind"), F.lit(0).cast("long").alias("n"), "label", F.col("code").alias("state")).distinct()
     digits = said.filter(F.col("t").rlike("^[0-9]+$")).withColumn("k", one)
     by_zip = digits.join(zips.withColumn("k", F.substring("zip", 1, 1)), "k").filter(begins("zip"))
-    by_zip = by_zip.select("q", F.lit(2).alias("kind_no"), F.lit("zip").alias("kind"), F.lit(0).cast("long").alias("n"), F.col("zip").alias("label"), "state")
+    by_zip = by_zip.select("t", F.lit(2).alias("kind_no"), F.lit("zip").alias("kind"), F.lit(0).cast("long").alias("n"), F.col("zip").alias("label"), "state")
     letters = said.filter((F.length("t") >= 2) & ~F.col("t").rlike("^[0-9]+$")).withColumn("k", two)
     held = cities.select(F.upper("city").alias("upper"), F.col("city").alias("label"), "state", F.col("n").cast("long").alias("n"))
     by_city = letters.join(held.withColumn("k", F.substring("upper", 1, 2)), "k").filter(begins("upper"))
-    by_city = by_city.select("q", F.lit(2).alias("kind_no"), F.lit("city").alias("kind"), "n", "label", "state")
+    by_city = by_city.select("t", F.lit(2).alias("kind_no"), F.lit("city").alias("kind"), "n", "label", "state")
     found = by_state.unionByName(by_zip).unionByName(by_city)
-    out = top_n(found.withColumn("place", F.lit(0)), ["q"], most, F.asc("kind_no"), F.desc("n"), F.asc("label"), F.asc("state"))
-    return out.select("q", "kind", "label", "state", "n")
+    out = top_n(found.withColumn("place", F.lit(0)), ["t"], most, F.asc("kind_no"), F.desc("n"), F.asc("label"), F.asc("state"))
+    return asked.join(out, "t").select("q", "kind", "label", "state", "n")
 
 
 def field(terms: DataFrame, index: DataFrame, near: DataFrame | None = None) -> DataFrame:

@@ -37,3 +37,12 @@ def test_one_name_that_a_firm_shares(spark):
     roster = roster.unionByName(spark.createDataFrame([(99_999, "f", "kane", ["zoe"])], "member long, firm string, last_key string, forms array<string>"))
     got = quick(matching.single_hits(people, roster, "id", "member", "firm").groupBy("status").agg(F.count("*").alias("n"), F.max("member").alias("member")))
     assert {r.status: (r.n, r.member) for r in got} == {"ambiguous": (40_000, None), "matched": (1, 99_999), "unmatched": (1, None)}
+
+
+def test_one_term_that_many_ask_for(spark):
+    terms = spark.range(20_000).select(F.col("id").alias("q"), F.lit(" 1 ").alias("term"))
+    zips = spark.range(20_000).select((F.col("id") + 100_000).cast("string").alias("zip"), F.lit("N1").alias("state"))
+    states = spark.createDataFrame([("N1", "Nowhere")], "code string, name string")
+    cities = spark.createDataFrame([], "city string, state string, n long")
+    got = quick(search.places(terms, states, zips, cities).groupBy("label").count())
+    assert {r.label: r["count"] for r in got} == {str(100_000 + i): 20_000 for i in range(10)}
