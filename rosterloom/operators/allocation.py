@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import dealt
 
-def allocate(rows: DataFrame, totals: DataFrame, owner: str, member: str, total: str) -> DataFrame:
-    """total / members of the owner / rows of the member: sums back to the owner's total."""
+
+def allocate(rows: DataFrame, totals: DataFrame, owner: str, member: str, total: str, tasks: int | None = None) -> DataFrame:
+    """total / members of the owner / rows of the member: sums back to the owner's total.
+
+    With ``tasks`` the rows are dealt by owner into so many parts.
+    """
+    rows = dealt(rows, tasks, owner)
     members = rows.groupBy(owner).agg(F.count_distinct(member).alias("members"))
     per_member = rows.groupBy(owner, member).agg(F.count("*").alias("member_rows"))
     out = rows.join(totals.select(owner, total), owner, "left").join(members, owner).join(per_member, [owner, member])

@@ -95,7 +95,8 @@ allocated AS (SELECT o.firm, o.person, o.office, assets::DOUBLE / members / memb
 
 def _allocated(spark, sf_dir):
     totals = firms(spark, sf_dir).select(F.col("crd").alias("firm"), F.col("assets").cast("double").alias("assets"))
-    return allocation.allocate(offices(spark, sf_dir), totals, "firm", "person", "assets"), totals
+    tasks = relational.task_count(table(spark, sf_dir, "lineitem"))
+    return allocation.allocate(offices(spark, sf_dir), totals, "firm", "person", "assets", tasks), totals
 
 
 @query(f"WITH {ALLOCATED} SELECT firm, person, office, round_even(allocated::DECIMAL(28,8), 4)::DOUBLE AS allocated FROM allocated")

@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from rosterloom.operators import matching, search
+from rosterloom.operators import matching, relational, search
+from rosterloom.plans import base
 
 
 def quick(df, most=60):
@@ -46,3 +47,13 @@ def test_one_term_that_many_ask_for(spark):
     cities = spark.createDataFrame([], "city string, state string, n long")
     got = quick(search.places(terms, states, zips, cities).groupBy("label").count())
     assert {r.label: r["count"] for r in got} == {str(100_000 + i): 20_000 for i in range(10)}
+
+
+def test_large_tables_are_dealt_into_more_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i // 2, i % 3, i % 4, 1.5, "N") for i in range(40)], "l_orderkey int, l_suppkey int, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i % 5) for i in range(20)], "o_orderkey int, o_custkey int").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"s{i}", 1, 0.5) for i in range(4)], "s_suppkey int, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    read = lambda: [sorted(map(tuple, f(spark, str(tmp_path)).collect()), key=str) for f in (base.firms, base.offices)]
+    before = read()
+    monkeypatch.setattr(relational, "TASK_ROWS", 4)
+    assert read() == before and base.offices(spark, str(tmp_path)).rdd.getNumPartitions() == 10
