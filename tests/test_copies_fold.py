@@ -49,6 +49,16 @@ def test_one_term_that_many_ask_for(spark):
     assert {r.label: r["count"] for r in got} == {str(100_000 + i): 20_000 for i in range(10)}
 
 
+def test_places_that_many_share(spark):
+    points = spark.range(20_000).select("id", F.lit(40.0).alias("lat"), F.lit(-90.0).alias("lon"))
+    others = spark.range(20_000).select(F.col("id").alias("o_id"), F.lit(40.2).alias("o_lat"), F.lit(-90.0).alias("o_lon"))
+    got = quick(relational.count_within(points, others, (5, 25)).groupBy("n5", "n25").count())
+    assert [tuple(r) for r in got] == [(0, 20_000, 20_000)]
+    # what is told of a distance is worked out before rows are paired
+    some = relational.within_miles(points.limit(3), others.limit(2), 25.0, shown=F.round("miles"))
+    assert [tuple(r)[6:] for r in some.collect()] == [(14.0,)] * 6
+
+
 def test_large_tables_are_dealt_into_more_tasks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i // 2, i % 3, i % 4, 1.5, "N") for i in range(40)], "l_orderkey int, l_suppkey int, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(i, i % 5) for i in range(20)], "o_orderkey int, o_custkey int").write.parquet(f"{tmp_path}/orders.parquet")
