@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import cut
+
 ROUNDS = 120
 #: Rows whose distances to all centres of all restarts are held at once.
 BLOCK = 4096
@@ -105,7 +107,9 @@ def _moved(points: DataFrame, centres: np.ndarray, shrink: float) -> tuple[np.nd
 def fit(df: DataFrame, lat: str, lon: str, weight: str, k: int = 7, restarts: int = 40, seed: int = 7, rounds: int = ROUNDS) -> Clusters:
     """Centres of the best of ``restarts``; rows without a place or a positive weight take no part."""
     points = df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(weight).cast("double").alias("weight"))
-    points = points.filter("lat is not null and lon is not null and weight > 0").withColumn("digest", F.xxhash64("lat", "lon", "weight"))
+    # rows at one place always move together: one row for each place, kept for all passes
+    points = points.filter("lat is not null and lon is not null and weight > 0").groupBy("lat", "lon").agg(F.sum("weight").alias("weight"))
+    points = cut(points.withColumn("digest", F.xxhash64("lat", "lon")).repartition(df.sparkSession.sparkContext.defaultParallelism, "lat", "lon"))
     middle = points.agg((F.sum(F.col("lat") * F.col("weight")) / F.sum("weight")).alias("m")).first()["m"]
     if middle is None:
         return Clusters(np.zeros((0, 2)), 0.0, [], 1.0)

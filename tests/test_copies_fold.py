@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from rosterloom.operators import matching, relational, search
+from rosterloom.operators import kmeans, matching, relational, search
 from rosterloom.plans import base
 
 
@@ -59,6 +59,14 @@ def test_places_that_many_share(spark):
     assert [tuple(r)[6:] for r in some.collect()] == [(14.0,)] * 6
 
 
+def test_clusters_keep_one_row_for_a_place(spark, monkeypatch):
+    sizes, made = [], kmeans.cut
+    monkeypatch.setattr(kmeans, "cut", lambda df: sizes.append(made(df)) or sizes[-1])
+    df = spark.range(3_000).select((F.col("id") % 5).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("w"))
+    found = kmeans.fit(df, "lat", "lon", "w", k=5, restarts=3)
+    assert sizes[0].count() == 5 and sizes[0].agg(F.sum("weight")).first()[0] == 6_000.0 and found.inertia < 1e-12
+
+
 def test_large_tables_are_dealt_into_more_tasks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i // 2, i % 3, i % 4, 1.5, "N") for i in range(40)], "l_orderkey int, l_suppkey int, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(i, i % 5) for i in range(20)], "o_orderkey int, o_custkey int").write.parquet(f"{tmp_path}/orders.parquet")
