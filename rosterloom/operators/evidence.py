@@ -1,17 +1,14 @@
 """Who a published name is, without comparing it with everyone of that surname.
 
 Candidates are scored by name, firm, city, state and generation. The scores have few levels, so they
-are found in three meetings of distinct values instead of over pairs of people:
+are found in meetings of distinct values instead of over pairs of people:
 
 1. Given names meet name forms of the same surname in a deletion neighbourhood: both sides are keyed
    by each form and each form less one letter, initials by their letter. Two forms within one edit
    share a key, so only spellings that can agree are compared, and each spelling once.
-2. Published firms meet sets of known firm words on a shared word.
-3. Candidates are counted in cells (name forms, firm words or any, city or any, state or any,
-   generation), with the least id of each. A published row looks up its own cells: four for each
-   firm that agrees, four for all. The candidates that agree on exactly these marks are a cell less
-   the cells inside it; the least id of a cell is right at the best level, since any candidate of the
-   cell that agreed on more would make a better level.
+2. The parts of published firms meet known firm names on a shared word, each wording once.
+3. Candidates are folded into cells and looked up (``rivals``): by each part of the firm, by any firm,
+   with the city or any, with the state or any.
 
 So the work follows the people and the published rows, not their product, however many share a
 name; equal published rows are looked up once.
@@ -19,91 +16,32 @@ name; equal published rows are looked up once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 from .matching import MatchConfig, score
 from .relational import cut
+from .rivals import ANY, boxes, cells, name_pairs, two_best
 
-#: Any firm that is known by some word, and a candidate of whose firm nothing is known.
-ANY, UNKNOWN = "*", "?"
+#: A candidate of whose firm nothing is known.
+UNKNOWN = "?"
 _PROFILE = ["last_key", "said", "firm", "city", "state", "suffix"]
 
 
-def spelling_keys(form: Column, published: bool) -> Column:
-    """The keys under which a given name meets others that agree with it.
-
-    Longer names: the name and all names with one letter less. A single letter meets every name that
-    begins with it; the sides mark that differently, so that longer names do not meet by it.
-    """
-    size, first = F.length(form), F.substring(form, 1, 1)
-    less = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(form, F.lit(1), i - 1), F.substring(form, i + 1, size)))
-    near = F.when(size > 1, F.concat(F.array(F.concat(F.lit("="), form)), less)).otherwise(F.array().cast("array<string>"))
-    if published:
-        by_letter = F.when(size == 1, F.array(F.concat(F.lit("any "), first))).otherwise(F.array(F.concat(F.lit("one "), first)))
-    else:
-        by_letter = F.when(size == 1, F.array(F.concat(F.lit("any "), first), F.concat(F.lit("one "), first))).otherwise(F.array(F.concat(F.lit("any "), first)))
-    return F.array_distinct(F.concat(near, by_letter))
-
-
-def _keys(forms: Column, published: bool) -> Column:
-    return F.array_distinct(F.flatten(F.transform(F.filter(forms, lambda w: w != ""), lambda w: spelling_keys(w, published))))
-
-
-def name_pairs(said: DataFrame, known: DataFrame) -> DataFrame:
-    """(last_key, said, forms): the given names and sets of forms that meet; most of them agree."""
-    ours = said.select("last_key", "said", F.explode(_keys(F.col("said"), True)).alias("key"))
-    theirs = known.select("last_key", "forms", F.explode(_keys(F.col("forms"), False)).alias("key"))
-    return ours.join(theirs, ["last_key", "key"]).select("last_key", "said", "forms").distinct()
-
-
 def _firm_words(firm_names: Column) -> Column:
     """The word sets of an array of firm names, each as words in order, in order."""
     words = F.transform(F.coalesce(firm_names, F.array().cast("array<string>")), lambda n: F.array_join(F.array_sort(names.firm_words(F.coalesce(n, F.lit("")))), " "))
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
-def _firms(published: DataFrame, index: DataFrame) -> DataFrame:
-    """(firm, firm_key, f): the known word sets that share words with a published firm."""
-    every = lambda sets: F.array_distinct(F.flatten(F.transform(sets, lambda s: F.split(s, " "))))
-    ours = published.select("firm").filter("firm is not null").distinct().withColumn("word", F.explode(every(_firm_words(F.split("firm", r"\|")))))
-    theirs = index.select("firm_key", "firm_words").filter(F.size("firm_words") > 0).distinct().withColumn("word", F.explode(every(F.col("firm_words"))))
-    met = ours.join(theirs, "word").select("firm", "firm_key", "firm_words").distinct()
-    return met.select("firm", "firm_key", names.firm_agreement(F.col("firm"), F.col("firm_words")).alias("f"))
-
-
-def cells(index: DataFrame) -> DataFrame:
-    """(forms_id, firm_key, city_key, state_key, ending, n, id): candidates counted by what they agree on."""
-    any_or = lambda array: F.concat(F.array(F.lit(ANY)), F.transform(F.array_distinct(F.array_compact(F.coalesce(array, F.array().cast("array<string>")))), lambda x: F.concat(F.lit("="), x)))
-    firms = F.when(F.col("firm_key") == UNKNOWN, F.array(F.lit(UNKNOWN))).otherwise(F.array(F.lit(ANY), F.col("firm_key")))
-    rows = index.select("forms_id", F.col("suffix").alias("ending"), "id", F.explode(firms).alias("firm_key"), any_or(F.col("cities")).alias("c"), any_or(F.col("states")).alias("s"))
-    rows = rows.withColumn("city_key", F.explode("c")).withColumn("state_key", F.explode("s"))
-    return rows.groupBy("forms_id", "firm_key", "city_key", "state_key", "ending").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-
-
-def _levels(placed: DataFrame, agreed: DataFrame, index: DataFrame) -> DataFrame:
-    """(row_id, name_score, f, ending, suffix, city, state, n, id): exact counts of candidates by what they agree on."""
-    tells = F.col("tells")
-    other = F.array(F.struct(F.lit(ANY).alias("firm_key"), F.when(tells, 0.0).alias("f")), F.struct(F.lit(UNKNOWN).alias("firm_key"), F.when(tells, names.UNKNOWN_FIRM).alias("f")))
-    looked = agreed.unionByName(placed.withColumn("o", F.explode(other)).select(*placed.columns, "o.firm_key", "o.f")).drop("firm", "tells")
-    marks = lambda c, name: F.array_compact(F.array(F.lit(ANY), F.concat(F.lit("="), F.col(c)))).alias(name)
-    looked = looked.select("row_id", "forms_id", "name_score", "suffix", "firm_key", "f", marks("city", "c"), marks("state", "s")).withColumn("city_key", F.explode("c")).withColumn("state_key", F.explode("s"))
-    found = looked.join(cells(index), ["forms_id", "firm_key", "city_key", "state_key"])
-    at = [(f"{c}{s}", ((F.col("city_key") != ANY) == F.lit(bool(c))) & ((F.col("state_key") != ANY) == F.lit(bool(s)))) for c in (1, 0) for s in (1, 0)]
-    held = [f(F.when(p, F.col(c))).alias(f"{c}{k}") for k, p in at for f, c in ((F.max, "n"), (F.min, "id"))]
-    levels = found.groupBy("row_id", "forms_id", "firm_key", "ending").agg(F.first("name_score").alias("name_score"), F.first("f").alias("f"), F.first("suffix").alias("suffix"), *held)
-    n = {k: F.coalesce(F.col(f"n{k}"), F.lit(0)) for k, _ in at}
-    levels = levels.withColumns({"n11": n["11"], "n10": n["10"] - n["11"], "n01": n["01"] - n["11"], "n00": n["00"] - n["10"] - n["01"] + n["11"]})
-    # candidates of any firm, less those whose firm agrees, which have levels of their own
-    same = Window.partitionBy("row_id", "forms_id", "ending")
-    agrees = ~F.col("firm_key").isin(ANY, UNKNOWN)
-    levels = levels.withColumns({f"a{k}": F.sum(F.when(agrees, F.col(f"n{k}")).otherwise(0)).over(same) for k, _ in at})
-    each = F.array(*[
-        F.struct(F.lit(float(k[0])).alias("city"), F.lit(float(k[1])).alias("state"), (F.col(f"n{k}") - F.when(F.col("firm_key") == ANY, F.col(f"a{k}")).otherwise(0)).alias("n"), F.col(f"id{k}").alias("id"))
-        for k, _ in at
-    ])
-    return levels.select("row_id", "name_score", "f", "ending", "suffix", F.inline(each)).filter("n > 0")
+def _shares(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(part, words, f): published firm parts and known firm names that share words, and the share of the shorter one."""
+    split = lambda c: F.split(c, " ")
+    ours = parts.select("part").distinct().withColumn("word", F.explode(split("part")))
+    theirs = sets.select("words").distinct().withColumn("word", F.explode(split("words")))
+    met = ours.join(theirs, "word").groupBy("part", "words").agg(F.count("*").alias("common"))
+    return met.select("part", "words", (F.col("common") / F.least(F.size(split("part")), F.size(split("words")))).alias("f"))
 
 
 def best_candidates(published: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig(), places: int = 4) -> DataFrame:
@@ -115,27 +53,31 @@ def best_candidates(published: DataFrame, index: DataFrame, config: MatchConfig
     """
     # both sides are read by several of the meetings below; each is made and numbered once
     rows = cut(published.select(*_PROFILE).distinct().withColumn("row_id", F.monotonically_increasing_id()))
-    index = index.select("id", "last_key", F.array_sort(F.array_distinct("forms")).alias("forms"), _firm_words(F.col("firms")).alias("firm_words"), "cities", "states", F.coalesce("suffix", F.lit("")).alias("suffix"))
-    known = cut(index.select("last_key", "forms").distinct().withColumn("forms_id", F.monotonically_increasing_id()))
-    firm_key = F.when(F.size("firm_words") == 0, UNKNOWN).otherwise(F.concat(F.lit("="), F.array_join("firm_words", "|")))
-    index = cut(index.withColumn("firm_key", firm_key).join(known, ["last_key", "forms"]))
-    named = name_pairs(rows.select("last_key", "said").distinct(), known.drop("forms_id")).withColumn("name_score", names.best_given_score(F.col("said"), F.col("forms"))).filter("name_score > 0")
-    tells = F.col("firm").isNotNull() & (F.size(_firm_words(F.split("firm", r"\|"))) > 0)
-    placed = rows.withColumn("tells", tells).join(named.join(known, ["last_key", "forms"]), ["last_key", "said"])
-    placed = cut(placed.select("row_id", "forms_id", "name_score", "firm", "tells", "city", "state", "suffix"))
+    index = index.select("id", "last_key", F.array_sort(F.array_distinct("forms")).alias("forms"), _firm_words(F.col("firms")).alias("firm_words"), "cities", "states", F.nullif("suffix", F.lit("")).alias("suffix"))
+    known = cut(index.groupBy("last_key", "forms").agg(F.count("*").alias("n")).withColumn("forms_id", F.monotonically_increasing_id()))
+    keys = F.when(F.size("firm_words") == 0, F.array(F.lit(UNKNOWN))).otherwise(F.concat(F.array(F.lit(ANY)), F.transform("firm_words", lambda w: F.concat(F.lit("="), w))))
+    folded = cut(cells(index.join(known, ["last_key", "forms"]).withColumn("firm_key", F.explode(keys))))
+    named = name_pairs(rows.select("last_key", "said").distinct(), known.select("last_key", "forms")).withColumn("name_score", names.best_given_score(F.col("said"), F.col("forms"))).filter("name_score > 0")
+    named = named.join(known, ["last_key", "forms"]).drop("forms")
+    told = rows.withColumn("words", _firm_words(F.split("firm", r"\|"))).withColumn("tells", F.size("words") > 0)
+    placed = cut(told.join(named, ["last_key", "said"]).select("row_id", "forms_id", "n", "name_score", "words", "tells", "city", "state", "suffix"))
     # of the firms that agree, only those that some candidate of these name forms has
-    held = index.select("forms_id", "firm_key").distinct()
-    wanted = placed.filter("tells").select("forms_id", "firm").distinct().join(_firms(rows, index), "firm").join(held, ["forms_id", "firm_key"])
-    levels = _levels(placed, placed.join(wanted, ["forms_id", "firm"]).select(*placed.columns, "firm_key", "f"), index)
-    total = score(F.col("name_score"), F.col("f"), F.col("city"), F.col("state"), names.same_generation(F.col("suffix"), F.nullif("ending", F.lit(""))), config)
-    rated = levels.withColumn("score", F.bround(total.cast("decimal(28,8)"), places).cast("double"))
-    near = F.sum(F.when(F.col("name_score") >= config.near_name, F.col("n")).otherwise(0)).alias("near")
-    ranks = rated.groupBy("row_id", "score").agg(F.sum("n").alias("n"), F.min("id").alias("id"), near)
-    w = Window.partitionBy("row_id").orderBy(F.desc("score"))
-    following = F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    ranks = ranks.withColumns({"following": following, "namesakes": F.sum("near").over(Window.partitionBy("row_id")), "at": F.row_number().over(w)}).filter("at = 1")
+    asked = placed.select("forms_id", F.explode("words").alias("part")).distinct()
+    sets = folded.filter(~F.col("firm_key").isin(ANY, UNKNOWN)).select("forms_id", F.expr("substring(firm_key, 2)").alias("words")).distinct()
+    met = asked.join(_shares(asked, sets), "part").join(sets, ["forms_id", "words"])
+    met = met.select("forms_id", F.concat(F.lit("="), "words").alias("firm_key"), F.concat(F.lit("="), "part").alias("part"), "f")
+    other = folded.filter(F.col("firm_key").isin(ANY, UNKNOWN)).withColumns({"part": F.lit(ANY), "f": F.when(F.col("firm_key") == ANY, 0.0).otherwise(names.UNKNOWN_FIRM)})
+    held = boxes(folded.join(met, ["forms_id", "firm_key"]).unionByName(other))
+    parts = F.concat(F.array(F.lit(ANY)), F.transform("words", lambda w: F.concat(F.lit("="), w)))
+
+    def total(f: Column, city: Column, state: Column, ending: Column) -> Column:
+        whole = score(F.col("name_score"), f, city, state, names.same_generation(F.col("suffix"), ending), config)
+        return F.bround(whole.cast("decimal(28,8)"), places).cast("double")
+
+    best = two_best(placed.withColumn("parts", parts).drop("words", "n"), held, total)
+    near = placed.groupBy("row_id").agg(F.sum(F.when(F.col("name_score") >= config.near_name, F.col("n")).otherwise(0)).alias("namesakes"))
     gap = F.bround((F.col("score") - F.col("following")).cast("decimal(28,8)"), places).cast("double")
-    return rows.join(ranks.select("row_id", "id", "score", gap.alias("gap"), "namesakes"), "row_id").drop("row_id")
+    return rows.join(best.select("row_id", "id", "score", gap.alias("gap")), "row_id").join(near, "row_id").drop("row_id")
 
 
 def match_published(published: DataFrame, index: DataFrame, key: str, config: MatchConfig = MatchConfig()) -> DataFrame:

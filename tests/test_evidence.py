@@ -117,3 +117,20 @@ def test_work_follows_the_people(spark):
         return evidence.cells(index.withColumns({"firm_key": F.lit("=x"), "forms_id": F.lit(1)})).count()
 
     assert looked(3000) <= 10 * looked(300)
+
+
+def test_a_house_of_many_teams_is_looked_up_once(spark, monkeypatch):
+    """People of one name and house in teams of their own: a row looks up its house, not every known firm that agrees."""
+    sizes, plain = [], evidence.two_best
+
+    def seen(rows, held, total):
+        sizes.append((rows.select(F.explode("parts")).count(), held.count()))
+        return plain(rows, held, total)
+
+    monkeypatch.setattr(evidence, "two_best", seen)
+    letters = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03d}")
+    rows = [(1, "shaw", ["lynn"], "Zeta | Oak Hill", "x", "s", None), (2, "shaw", ["lynn"], "Oak Hill", "q", "s", "jr")]
+    for n in (20, 200):
+        index = [(i, "shaw", ["lynn"], ["Oak Hill LLC", f"team{letters(i)} zeta"], ["x"], ["s"], "jr" if i == 7 else None) for i in range(n)]
+        check(spark, rows, index)
+    assert sizes[0] == sizes[1]
