@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, display, names
+from .relational import cut
+from .rivals import ANY, boxes, cells, name_pairs, two_best
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,8 @@ def confirm(decided: DataFrame, truth: DataFrame, key: str, candidate: str) -> D
 CONTACT = MatchConfig(name=0.45, firm=0.30, city=0.10, state=0.15, namesakes=25)
 #: The name score of a person whose surname is in the address and whose firm agrees.
 BY_ADDRESS = 0.60
+#: Contact rows or candidates of one task: their names are parsed before any shuffle, and take few bytes but long.
+CONTACT_ROWS = 20_000
 
 
 def resolved_names(people: DataFrame, index: DataFrame, key: str, name: str = "name", surname: str = "last_key") -> DataFrame:
@@ -94,24 +98,49 @@ def match_contacts(people: DataFrame, index: DataFrame, key: str = "contact", ca
     """The person behind each contact row: (key, candidate, tier, score, gap, namesakes).
 
     ``people`` has (key, name, email, firm, city, state, given_id), ``index`` (last_key, candidate,
-    forms, firms, cities, states, suffix). An id that the row states is taken if the index has it.
-    Else candidates of the surname are scored; where the names disagree, an address with that
-    surname at a firm of the candidate still counts a little.
+    forms, firms, cities, states, suffix) with one row for each candidate and surname. An id that the
+    row states is taken if the index has it. Else candidates of the surname are scored; where the names
+    disagree, an address with that surname at a firm of the candidate still counts a little. Rows look
+    their candidates up in cells (``rivals``), so that a surname costs its rows, not their pairs.
     """
+    people, index = (df.repartition(max(1, -(-df.count() // CONTACT_ROWS)), k) for df, k in ((people, key), (index, candidate)))
+    index = cut(index)
     ids = index.select(F.col(candidate).alias("given_id")).distinct().withColumn("__stated", F.lit(True))
-    rows = resolved_names(people, index, key).join(ids, "given_id", "left")
-    pairs = rows.filter("__stated is null").join(index, "last_key")
-    has = lambda set_, value: F.coalesce(F.array_contains(set_, value), F.lit(False))
-    same_firm = has("firms", F.col("firm"))
-    by_name = names.best_given_score(F.col("given"), F.col("forms"))
-    addressed = F.coalesce(contacts.email_surname(F.col("email")) == F.col("last_key"), F.lit(False)) & same_firm
-    pairs = pairs.withColumn("name_score", F.when((by_name <= 0) & addressed, F.lit(BY_ADDRESS)).otherwise(by_name))
-    one = lambda flag: F.when(flag, 1.0).otherwise(0.0)
-    total = score(
-        F.col("name_score"), F.when(F.coalesce(F.col("firm"), F.lit("")) != "", one(same_firm)), one(has("cities", F.regexp_replace(F.lower("city"), "[^a-z]", ""))),
-        one(has("states", F.col("state"))), names.same_generation(names.generation(F.col("name")), F.col("suffix")), config,
+    rows = cut(resolved_names(people, index, key).join(ids, "given_id", "left"))
+    addressed = F.coalesce(contacts.email_surname(F.col("email")) == F.col("last_key"), F.lit(False)) & F.col("firm").isNotNull()
+    open_ = rows.filter("__stated is null and last_key is not null").select(
+        F.col(key).alias("row_id"), "last_key", "given", "firm", F.regexp_replace(F.lower("city"), "[^a-z]", "").alias("city"), "state",
+        names.generation(F.col("name")).alias("suffix"), (F.coalesce("firm", F.lit("")) != "").alias("tells"), addressed.alias("addressed"),
     )
-    best = decide(pairs.withColumn("score", total).select(key, candidate, "name_score", "score"), key, candidate, config)
+    index = index.select(F.col(candidate).alias("id"), "last_key", F.array_sort(F.array_distinct("forms")).alias("forms"), F.array_distinct(F.array_compact(F.coalesce("firms", F.array().cast("array<string>")))).alias("firms"), "cities", "states", "suffix")
+    known = cut(index.groupBy("last_key", "forms").agg(F.count("*").alias("n")).withColumn("forms_id", F.monotonically_increasing_id()))
+    keyed = index.join(known.drop("n"), ["last_key", "forms"]).withColumn("firm_key", F.explode(F.concat(F.array(F.lit(ANY)), F.transform("firms", lambda x: F.concat(F.lit("="), x)))))
+    folded = cut(cells(keyed))
+    held = boxes(folded.withColumns({"part": F.col("firm_key"), "f": F.when(F.col("firm_key") == ANY, 0.0).otherwise(1.0)}))
+    named = name_pairs(open_.select("last_key", F.col("given").alias("said")).distinct(), known.select("last_key", "forms")).withColumn("name_score", names.best_given_score(F.col("said"), F.col("forms"))).filter("name_score > 0")
+    named = named.join(known, ["last_key", "forms"]).withColumnRenamed("said", "given").drop("forms")
+    at_firm = F.concat(F.lit("="), "firm")
+    by_name = open_.join(named, ["last_key", "given"]).withColumn("parts", F.array_compact(F.array(F.lit(ANY), at_firm)))
+    # those of the firm whose names disagree: distinct names of the row's firm and surname
+    asked = open_.filter("addressed").select("last_key", "given", "firm").distinct()
+    there = folded.filter((F.col("firm_key") != ANY) & (F.col("city_key") == ANY) & (F.col("state_key") == ANY)).select("forms_id", F.expr("substring(firm_key, 2)").alias("firm")).distinct()
+    others = asked.join(known.join(there, "forms_id"), ["last_key", "firm"]).filter(names.best_given_score(F.col("given"), F.col("forms")) <= 0)
+    others = others.select("last_key", "given", "firm", "forms_id").withColumn("name_score", F.lit(BY_ADDRESS))
+    by_mail = open_.filter("addressed").join(others, ["last_key", "given", "firm"]).withColumn("parts", F.array(at_firm))
+    columns = ["row_id", "forms_id", "name_score", "tells", "parts", "city", "state", "suffix"]
+    placed = by_name.select(*columns).unionAll(by_mail.select(*columns))
+
+    def total(f: Column, city: Column, state: Column, ending: Column) -> Column:
+        return score(F.col("name_score"), f, city, state, names.same_generation(F.col("suffix"), ending), config)
+
+    near = by_name.filter(F.col("name_score") >= config.near_name).select("row_id", "n")
+    if BY_ADDRESS >= config.near_name:
+        at = keyed.filter(F.col("firm_key") != ANY).groupBy("forms_id", F.expr("substring(firm_key, 2)").alias("firm")).agg(F.count("*").alias("n"))
+        near = near.unionAll(by_mail.join(at, ["forms_id", "firm"]).select("row_id", "n"))
+    best = two_best(placed, held, total).join(near.groupBy("row_id").agg(F.sum("n").alias("namesakes")), "row_id", "left")
+    best = best.withColumns({"gap": F.col("score") - F.col("following"), "namesakes": F.coalesce("namesakes", F.lit(0))})
+    passed = (F.col("score") >= config.accept) & (F.col("gap") >= config.margin) & (F.col("namesakes") <= config.namesakes)
+    best = best.select(F.col("row_id").alias(key), F.col("id").alias(candidate), F.when(passed, "high").otherwise("review").alias("tier"), "score", "gap", "namesakes")
     out = rows.select(key, "given_id", "__stated").join(best, key, "left")
     sure = F.col("__stated").isNotNull()
     return out.select(

@@ -114,3 +114,24 @@ def test_surnames_from_the_index(spark, said, given, last):
     index = spark.createDataFrame([("oak",)], "last_key string")
     r = matching.resolved_names(spark.createDataFrame([(1, said)], "c int, name string"), index, "c").first()
     assert (r.given, r.last_key) == (given, last) and names.NICKNAMES
+
+
+def test_a_surname_of_many_people_makes_no_pairs(spark, monkeypatch):
+    """Ten times the people of one surname: ten times the lookups, equal boxes, and what every pair would give."""
+    sizes, plain = [], matching.two_best
+
+    def seen(rows, held, total):
+        sizes.append((rows.count(), held.count()))
+        return plain(rows, held, total)
+
+    monkeypatch.setattr(matching, "two_best", seen)
+    schema = "contact long, name string, email string, firm string, city string, state string, given_id long"
+    for n in (60, 600):
+        index = [{"id": i, "last_key": "shaw", "forms": [["lynn"], ["lyn", "l"], ["bob"]][i % 3], "firms": [f"f{i % 4}"], "cities": ["x" if i % 5 else "y"], "states": ["s"], "suffix": "jr" if i % 7 == 0 else None} for i in range(n)]
+        people = [(i, ["Lynn Shaw", "Zed Shaw", "L Shaw Jr."][i % 3], "z.shaw@x.com" if i % 2 else None, f"f{i % 4}" if i % 9 else None, "x", "s" if i % 4 else None, None) for i in range(n)]
+        rows, known = spark.createDataFrame(people, schema), spark.createDataFrame(index, "id long, last_key string, forms array<string>, firms array<string>, cities array<string>, states array<string>, suffix string")
+        got = {r.contact: (r.id, r.tier, round(r.score, 3)) for r in matching.match_contacts(rows, known).collect()}
+        if n == 60:
+            want = {r.contact: plain_match(r.asDict(), index, matching.CONTACT) for r in rows.collect()}
+            assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert sizes[1][0] <= 11 * sizes[0][0] and sizes[1][1] == sizes[0][1]
