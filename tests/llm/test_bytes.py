@@ -160,6 +160,31 @@ def test_suffix_query(spark):
     assert [got[k] for k in texts] == suffix_dedup.brute_force(list(texts.values()))
 
 
+def test_planted_passages_are_gone_from_what_the_suffix_query_keeps(spark, tmp_path):
+    """Passages of over 50 words go from unlike texts if they have 400 bytes; shorter ones and all else stay."""
+    r = random.Random(31)
+    say = lambda n, least, most: " ".join("".join(r.choice("aeiourstlnéß") for _ in range(r.randint(least, most))) for _ in range(n))
+    long, short, exact = [say(r.randint(60, 160), 6, 9) for _ in range(6)], [say(52, 2, 4) for _ in range(6)], say(60, 7, 7)
+    exact = exact[: next(n for n in range(len(exact)) if len(exact[:n].encode()) >= 400)]
+    assert min(len(p.encode()) for p in long) >= 400 > max(len(p.encode()) for p in short)
+    rows, passages = [], []
+    for k, p in enumerate(long + short):
+        for _ in range(3):
+            edge = chr(65 + len(rows))  # no two texts of a passage agree beside it
+            head, tail = say(30, 2, 9) + edge, edge + say(30, 2, 9)
+            rows.append((head + p + tail, head + tail if k < len(long) else head + p + tail))
+            passages.append(p)
+    clean = [say(80, 2, 9) for _ in range(20)]
+    rows += [(t, t) for t in clean]
+    # the repeated string starts in the middle of a character, of which one byte is left
+    rows += [("0\u00e9" + exact + "1", "0\ufffd1"), ("2\u0129" + exact + "3", "2\ufffd3"), (None, "")]
+    spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in q.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[k].kept_text for k in range(len(rows))] == [left for _, left in rows]
+    assert all((p in got[k].kept_text) == (len(p.encode()) < 400) == (got[k].n_removed == 0) for k, p in enumerate(passages))
+    assert got[len(rows) - 3].kept_sha256 == hashlib.sha256(b"0\xc31").hexdigest()
+
+
 def test_long_rows_merge_like_the_short_ones_do():
     """Rows whose rounds merge many pairs give the ids of one pair a round, low new ranks included."""
     r = random.Random(12)
