@@ -34,3 +34,19 @@ def test_branches_with_large_part_keys_stay_apart(spark, tmp_path):
     got = QUERIES["connected_branches"](spark, str(tmp_path)).collect()
     sizes = sorted(sum(r.component == c for r in got) for c in {r.component for r in got})
     assert len(got) == 4 and sizes == [1, 1, 2]
+
+
+def test_every_person_has_a_radius(spark):
+    got = QUERIES["near_me_widening"](spark, DATA).toPandas()
+    people = duckdb.connect().execute(f"SELECT count(DISTINCT c_custkey) FROM '{DATA}/customer.parquet'").fetchall()[0][0]
+    assert len(got) == people and rows(got) == rows(wanted(ORACLE_SQL["near_me_widening"]))
+
+
+def test_radius_around_people_who_share_places(spark, tmp_path):
+    """Keys 120,000 apart lie at one place, so each place here has its person and two more."""
+    keys = [k + n * 120_000 for k in (1, 7, 20, 33) for n in range(3)]
+    spark.createDataFrame([(k, "n", 0, 0.0, "s") for k in keys], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = QUERIES["near_me_widening"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.o_id) == sorted(keys) and rows(got) == rows(con.execute(ORACLE_SQL["near_me_widening"]).df())
